@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import quality
+from tracewell.llm import near_dup, quality
 from tracewell.session import read_table
 
 
@@ -12,7 +12,12 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_near_duplicates": op5_near_duplicates,
     "op10_host_quality": op10_host_quality,
 }
 ORACLE_SQL = {
