@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -12,6 +14,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tracewell.session import ship_package
 
 
+SLICE_BYTES = 4 << 20  # what fn sees at once, give or take one long row
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if not batch.num_rows:
+        return
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes + 64)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list]], schema: T.StructType | str) -> DataFrame:
     """Applies fn to each Arrow batch as lists by column (and a state dict that lives as long as the task); fn returns lists by column."""
     ship_package(df.sparkSession)
@@ -20,7 +40,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             out = fn({name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}, state)
             if out and len(out[arrow.names[0]]):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

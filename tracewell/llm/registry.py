@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import near_dup, quality
+from tracewell.llm import near_dup, packing, pii, quality
 from tracewell.session import read_table
 
 
@@ -12,11 +12,21 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_personal_data": op3_personal_data,
+    "op8_packing": op8_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op10_host_quality": op10_host_quality,
 }
