@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import near_dup, packing, pii, quality
+from tracewell.llm import flat_files, near_dup, packing, pii, quality, sharding
 from tracewell.session import read_table
 
 
@@ -20,16 +20,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
+
+
+def op9_flat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_files.flat_token_files(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_sharding": op4_sharding,
+    "op9_flat_files": op9_flat_files,
     "op3_personal_data": op3_personal_data,
     "op8_packing": op8_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op10_host_quality": op10_host_quality,
 }
 ORACLE_SQL = {
+    "op4_sharding": sharding.ORACLE_SQL,
     "op10_host_quality": quality.ORACLE_SQL,
 }

@@ -29,6 +29,7 @@ class TokenEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path or default_vocabulary())
+        self.size = self._tokenizer.get_vocab_size()
         self._cache: dict[str, bytes] = {}
         self._limit = cache_chunks
 
