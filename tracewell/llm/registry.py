@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import flat_files, near_dup, packing, pii, quality, sharding
+from tracewell.llm import flat_files, main_text, near_dup, neighbours, packing, pii, quality, sharding, warc
 from tracewell.session import read_table
 
 
@@ -12,6 +12,18 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +45,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_main_text": op2_main_text,
+    "op6_neighbours": op6_neighbours,
+    "op7_warc": op7_warc,
     "op4_sharding": op4_sharding,
     "op9_flat_files": op9_flat_files,
     "op3_personal_data": op3_personal_data,
@@ -41,6 +56,7 @@ QUERIES = {
     "op10_host_quality": op10_host_quality,
 }
 ORACLE_SQL = {
+    "op7_warc": warc.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op10_host_quality": quality.ORACLE_SQL,
 }
