@@ -17,8 +17,8 @@ from tracewell.session import ship_package
 SLICE_BYTES = 4 << 20  # what fn sees at once, give or take one long row
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of batch in parts of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batch in parts of about `most` bytes of text."""
     if not batch.num_rows:
         return
     sizes = np.zeros(batch.num_rows, np.int64)
@@ -28,7 +28,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(sizes + 64)
     at = 0
     while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, upto - at)
         at = upto
 
@@ -37,7 +37,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list]], schema: T.StructType | str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list]], schema: T.StructType | str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Applies fn to each Arrow batch as lists by column (and a state dict that lives as long as the task); fn returns lists by column."""
     ship_package(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -45,7 +45,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, slice_bytes)):
             out = fn({name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}, state)
             if out and len(out[arrow.names[0]]):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import flat_files, main_text, near_dup, neighbours, packing, pii, quality, sharding, warc
+from tracewell.llm import flat_files, main_text, near_dup, neighbours, packing, pii, quality, segmentations, sharding, warc
 from tracewell.session import read_table
 
 
@@ -12,6 +12,10 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations.sample_segmentations(read_table(spark, sf_dir, "documents"))
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(read_table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_segmentations": op1_segmentations,
     "op2_main_text": op2_main_text,
     "op6_neighbours": op6_neighbours,
     "op7_warc": op7_warc,
