@@ -12,8 +12,11 @@ From meeting to linking, without all pairs of a group:
 2. Collections that nobody shares are dropped before tables are formed.
 3. In each bucket every member is tested against a leader on the full sets; verified links give components.
 4. In buckets that still hold several components, members are tested against the member with most links so far,
-   some rounds long; last, what is left is tested pairwise between *different* components only. No link between
-   different texts that meet in a table is lost, since a pair is left untested only inside one component.
+   some rounds long.
+5. Last, members that can't reach another one are peeled off by an exact bound (see _peel), and pairs of *different*
+   components among the rest are tested, if a sketch of 2048 one-bit minhashes leaves them within 5.7 standard
+   deviations of the threshold (1e-8 of links lost). A pair that meets in a table is left untested only inside one
+   component or where a bound rules a link out.
 
 Null or wordless text has an empty set: linked with nothing. Shingles are 64-bit hashes of words mixed in order.
 Documents with fewer words than a shingle have one shingle, the whole sequence. Rows of equal id and text are one
@@ -36,6 +39,9 @@ THRESHOLD = 85  # per cent
 COLLECTIONS = 12  # on each side
 ROWS = 3
 LEADER_ROUNDS = 3
+PEEL_ROUNDS = 4
+BITS = 2048
+APART = 221  # of BITS: 5.7 standard deviations above the mean of a pair at the threshold
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -52,6 +58,10 @@ _XOR = _mix(np.arange(1, _N + 1, dtype=np.uint64) * _M1)
 _MUL = _mix(_XOR + _M1) | np.uint64(1)
 
 
+_BIT_XOR = _mix(np.arange(10_001, 10_001 + BITS, dtype=np.uint64) * _M1)
+_BIT_MUL = _mix(_BIT_XOR + _M1) | np.uint64(1)
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
 
@@ -167,9 +177,12 @@ def _link(classes: DataFrame, docs: DataFrame) -> DataFrame:
             if open_.isEmpty():
                 return label
         last = turn >= LEADER_ROUNDS
-        lead = _members(open_) if last else _leaders(open_, links, turn)
-        across = open_.join(lead, "tk").filter("comp != cy").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
-        more = stash(_as_pairs(across).join(tested.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+        if last:
+            found = _residue(open_, classes, sets)
+        else:
+            lead = _leaders(open_, links, turn)
+            found = open_.join(lead, "tk").filter("comp != cy").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
+        more = stash(_as_pairs(found).join(tested.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         if more.isEmpty():
             if last:
                 return label
@@ -184,8 +197,68 @@ def _link(classes: DataFrame, docs: DataFrame) -> DataFrame:
             return label if open_ is not None else stash(components(tested.filter("linked").select("u", "v")), "labels")
 
 
-def _members(open_: DataFrame) -> DataFrame:
-    return open_.select("tk", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+def _each_shingle(cols: dict, _state: dict) -> dict:
+    sets = [np.frombuffer(x, np.int64) for x in cols["shingles"]]
+    return {"rep": np.repeat(np.array(cols["rep"], np.int64), [len(x) for x in sets]), "sh": np.concatenate(sets) if sets else []}
+
+
+def _sketch(cols: dict, _state: dict) -> dict:
+    """BITS one-bit minhashes of each set, in longs. Two sets differ in a bit with probability (1 - similarity) / 2."""
+    out: dict = {"rep": cols["rep"]} | {f"w{k}": [] for k in range(BITS // 64)}
+    with np.errstate(over="ignore"):
+        for data in cols["shingles"]:
+            s = np.frombuffer(data, np.uint64)
+            bits = []
+            for k in range(0, BITS, 256):
+                low = np.full(256, np.iinfo(np.uint64).max, np.uint64)
+                for j in range(0, len(s), 1024):
+                    x = (s[j : j + 1024, None] ^ _BIT_XOR[k : k + 256]) * _BIT_MUL[k : k + 256]
+                    np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0), out=low)
+                bits.append((_mix(low) & np.uint64(1)).astype(np.uint8))
+            for k, w in enumerate(np.packbits(np.concatenate(bits)).view(np.int64).tolist()):
+                out[f"w{k}"].append(w)
+    return out
+
+
+def _peel(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, n, comp of the members that can still have a link across components.
+
+    A link's common shingles all lie in both sets, so those that no other member holds bound the similarity from
+    above, with the smallest set met in a bucket as the partner's size. Members out of reach are dropped, which can
+    put others out of reach.
+    """
+    alive = open_.select("rep", "n", "comp").distinct()
+    rows = stash(map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _each_shingle, "rep long, sh long"), "shingles")
+    for _ in range(PEEL_ROUNDS):
+        inside = open_.join(alive.select("rep"), "rep", "left_semi")
+        least = inside.groupBy("tk").agg(F.min("n").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("tk", "m")
+        met = inside.join(least, "tk").groupBy("rep", "n", "comp").agg(F.min("m").alias("m"))
+        live = rows.join(alive.select("rep"), "rep", "left_semi")
+        common = live.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sh")
+        shared = live.join(common, "sh", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
+        reach = 100 * F.col("s") >= THRESHOLD * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * THRESHOLD / 100)) - F.col("s"))
+        alive = stash(met.join(shared, "rep").filter(reach).select("rep", "n", "comp"), "alive")
+    return alive
+
+
+def _residue(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, nx, y, ny: pairs of different components that may be linked, among members that share a left collection."""
+    alive = _peel(open_, sets)
+    words = [f"w{k}" for k in range(BITS // 64)]
+    schema = "rep long, " + ", ".join(f"{w} long" for w in words)
+    sketched = map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _sketch, schema)
+    left = [f"l{k}" for k in range(COLLECTIONS)]
+    named = classes.join(alive.select("rep", "comp"), "rep").select("rep", "n", "comp", *[F.col("keys")[k].alias(c) for k, c in enumerate(left)])
+    whole = named.join(sketched, "rep")
+    one = stash(whole.select("*", F.posexplode(F.array(*left)).alias("pos", "ck")), "residue")
+    two = one.select("ck", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), *[F.col(c).alias("v" + c) for c in left + words])
+    # a pair comes out of the first collection that it shares
+    first = F.lit(COLLECTIONS)
+    for k in reversed(range(COLLECTIONS)):
+        first = F.when(F.col(left[k]) == F.col("v" + left[k]), k).otherwise(first)
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("v" + w))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col("v" + words[0]))))
+    near = (F.col("comp") != F.col("cy")) & (F.col("rep") < F.col("y")) & (100 * F.least("n", "ny") >= THRESHOLD * F.greatest("n", "ny")) & (first == F.col("pos")) & (apart <= APART)
+    return one.alias("one").join(two.alias("two"), (F.col("one.ck") == F.col("two.ck")) & near).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
 
 
 def _leaders(open_: DataFrame, links: DataFrame, turn: int) -> DataFrame:
