@@ -229,7 +229,7 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                         break
                     queue.append(y)
         if end < 0:
-            return [k in back or (left[k] >= -1e-9 and scores[k] > 0) for k in range(n)]
+            return [k in back for k in range(n)]
         path = [end]
         while back[path[-1]] >= 0:
             path.append(back[path[-1]])

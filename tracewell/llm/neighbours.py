@@ -181,7 +181,7 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
         # an exact way: these queries against all rows, in blocks
         blocks = max(1, -(-vecs.count() // BLOCK))
         left = map_rows(vecs, _as_binary, "cid long, vec binary").withColumn("tk", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
-        right = map_rows(few.select("cid", "vec"), _as_binary, "cid long, vec binary").withColumn("tk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        right = map_rows(few.select("cid", "vec"), _as_binary, "cid long, vec binary").withColumn("tk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         found = found.unionByName(_search(left, right)).groupBy("q", "c").agg(F.max("score").alias("score"))
     best = found.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("k") <= KEEP).drop("k")
     near = best.join(classes.select(F.col("cid").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("near_id"))
