@@ -11,7 +11,7 @@ import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 # a blank before a character that no definition of white space includes
 _CUT = re.compile(" (?=[!-~¡-ᙿ぀-퟿])")
 
