@@ -38,8 +38,8 @@ SHINGLE = 3
 THRESHOLD = 85  # per cent
 COLLECTIONS = 12  # on each side
 ROWS = 3
-LEADER_ROUNDS = 3
-PEEL_ROUNDS = 4
+LEADER_ROUNDS = 1
+PEEL_ROUNDS = 3
 BITS = 2048
 APART = 221  # of BITS: 5.7 standard deviations above the mean of a pair at the threshold
 
