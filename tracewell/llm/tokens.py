@@ -1,7 +1,9 @@
-"""Token ids of texts, by the tokenizers library, with a bounded cache of the chunks that lie between blanks.
+"""Token ids of texts, by the tokenizers library, with a bounded cache of the words that lie between blanks.
 
 In a byte-level vocabulary with this pre-tokeniser a blank that comes before a visible character always starts a new
-pre-token, so the ids of a text are those of its chunks in a row. A chunk is encoded once and then looked up.
+pre-token, so the ids of a text are those of its words in a row, each with the blank before it. A word is encoded once
+and then looked up; letters followed by ASCII punctuation are looked up apart from it, as a pre-token ends there. Texts
+with other blanks (doubled, at the end, before a line break) are encoded whole.
 """
 
 from __future__ import annotations
@@ -9,11 +11,16 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_CHUNKS = 1_000_000
-# a blank before a character that no definition of white space includes
-_CUT = re.compile(" (?=[!-~¡-ᙿ぀-퟿])")
+CACHE_WORDS = 1_000_000
+# a character that no definition of white space includes
+_VISIBLE = re.compile("[!-~¡-ᙿ가-퟿]")
+# letters, then something that ends their pre-token: no letter, no apostrophe
+_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~\n].*)", re.S)
+_SEPARATOR, _AT_ONCE = "<|endoftext|>", 2000
 
 
 def default_vocabulary() -> str:
@@ -25,30 +32,62 @@ def default_vocabulary() -> str:
 class TokenEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str | None = None, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path or default_vocabulary())
         self.size = self._tokenizer.get_vocab_size()
-        self._cache: dict[str, bytes] = {}
-        self._limit = cache_chunks
+        own = {t.content: (k, t) for k, t in self._tokenizer.get_added_tokens_decoder().items()}
+        k, token = own.get(_SEPARATOR, (None, None))
+        self._separator = k if token and not (token.lstrip or token.rstrip or token.single_word) else None
+        self._special = re.compile("|".join(map(re.escape, own)) or "(?!)")
+        # ids of a word with the blank before it, None if it can't be told apart; ids of a word's parts
+        self._words: dict[str, bytes | None] = {}
+        self._parts: dict[str, bytes] = {}
+        self._limit = cache_words
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text by itself."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """The same for texts without special tokens: encoded in one string, with a special token between them."""
+        if self._separator is None:
+            return self._each(texts)
+        out = []
+        for k in range(0, len(texts), _AT_ONCE):
+            ids = np.array(self._tokenizer.encode_batch_fast([_SEPARATOR.join(texts[k : k + _AT_ONCE])], add_special_tokens=False)[0].ids, "<u4")
+            ends, data = (4 * np.flatnonzero(ids == self._separator)).tolist(), ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(data)])]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        found = {}
+        for word in words:
+            if not word or not _VISIBLE.match(word) or self._special.search(word):
+                self._words[word] = None
+            else:
+                stem = _STEM.fullmatch(word)
+                found[word] = (" " + stem[1], stem[2]) if stem else (" " + word,)
+        new = list({p for parts in found.values() for p in parts}.difference(self._parts))
+        self._parts.update(zip(new, self._joined(new)))
+        for word, parts in found.items():
+            self._words[word] = b"".join(map(self._parts.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        if len(self._cache) > self._limit:
-            self._cache.clear()
-        known = self._cache
-        split = []
-        for text in texts:
-            parts = _CUT.split(text)
-            split.append([parts[0], *[" " + x for x in parts[1:]]])
-        new = list({x for parts in split for x in parts if x not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for x, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        if len(self._words) + len(self._parts) > 2 * self._limit:
+            self._words.clear()
+            self._parts.clear()
+        split = [x.split(" ") for x in texts]
+        firsts = self._each([x[0] for x in split])
+        self._learn(set().union(*[x[1:] for x in split]).difference(self._words))
+        out, look = [], self._words.__getitem__
+        for text, first, words in zip(texts, firsts, split):
+            try:
+                out.append(first + b"".join(map(look, words[1:])))
+            except TypeError:  # a None among them
+                out.append(self._each([text])[0])
+        return out
 
 
 _ENCODERS: dict = {}
