@@ -15,7 +15,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 # a character that no definition of white space includes
 _VISIBLE = re.compile("[!-~¡-ᙿ가-퟿]")
 # letters, then something that ends their pre-token: no letter, no apostrophe
@@ -75,9 +75,10 @@ class TokenEncoder:
             self._words[word] = b"".join(map(self._parts.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._words) + len(self._parts) > 2 * self._limit:
-            self._words.clear()
-            self._parts.clear()
+        for cache in (self._words, self._parts):
+            if len(cache) > self._limit + self._limit // 4:
+                while len(cache) > self._limit:  # the words met first are the frequent ones: the last ones go
+                    cache.popitem()
         split = [x.split(" ") for x in texts]
         firsts = self._each([x[0] for x in split])
         self._learn(set().union(*[x[1:] for x in split]).difference(self._words))
