@@ -378,3 +378,18 @@ def test_segmentations(spark, docs):
     assert all(v.decode(x[0].tolist()) == t for t, r in zip(odd, segmentations.sample(v, [1, 2, 3], odd, 2)) for x in r)
     again = segmentations.sample(v, [9, 5], [words(50, 1), odd[0]], 2)
     assert [x[0].tolist() for x in again[1]] == [x[0].tolist() for x in segmentations.sample(v, [5], [odd[0]], 2)[0]]
+
+
+def test_encoder_with_odd_blanks_and_a_full_cache():
+    import random
+
+    from tracewell.llm.tokens import TokenEncoder
+
+    pick = random.Random(5)
+    bits = ["a", "é", "的", " ", "  ", "\n", "\t", "'s", "'", ".", ",", "<|endoftext|>", "<|", "1", "\u0085", "can't", "😀"]
+    texts = ["".join(pick.choices(bits, k=pick.randint(0, 30))) for _ in range(3000)] + ["", " ", "a. b, c", "don't. x\ny"]
+    small = TokenEncoder(cache_words=50)
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        assert small.encode(part) == small._each(part)
+    assert len(small._words) < 5000
