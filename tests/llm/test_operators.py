@@ -174,6 +174,35 @@ def test_personal_data(spark, docs):
     assert pii.personal_data(docs).count() == docs.count() and pii.sanitise(docs).columns == docs.columns
 
 
+def brute_terms(rows):
+    """Term spans of each text by the definition: a loop over all entities and words."""
+    n, docs = len(rows), [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for _, t in rows]
+    held = [{(k, t[a:b].lower()) for a, k, b in brute_spans(t)} if t else set() for _, t in rows]
+    out = {}
+    for (i, t), mine in zip(rows, held):
+        spans = brute_spans(t) if mine else []
+        words_ = [m for m in re.finditer(r"[^\W\d_]{3,}", t or "") if all(b <= m.start() or a >= m.end() for a, _, b in spans)]
+        best = {}
+        for e in mine:
+            ne = sum(e in h for h in held)
+            for w in {m[0].lower() for m in words_}:
+                nt, nte = sum(w in d for d in docs), sum(w in d and e in h for d, h in zip(docs, held))
+                best[w] = max(best.get(w, 0), math.log2(n * nte / (nt * ne)) / math.log2(n / ne) if ne < n else 0)
+        out[i] = {(m.start(), m.end()) for m in words_ if best.get(m[0].lower(), 0) >= pii.GENERALISE}
+    return out
+
+
+def test_terms_of_one_text_and_far_away(spark):
+    rows = [(k, f"Zorblatt {words(12, 0, 30)} common words here {'again and ' * 20} reach zed@corp.example now") for k in range(2)]
+    rows += [(2, "Quimby called from 10.1.2.3 and 10.1.2.4 again and again; Quimby lives here"), (3, "Shared 10.9.9.9 Alpha beacon"), (4, "Shared 10.9.9.9 Gamma beacon"), (5, None), (6, "")]
+    rows += [(k, f"common words here again and from now {['lives', 'Gamma', 'called'][k % 3]}") for k in range(10, 60)]
+    got = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")} for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_terms(rows)
+    assert (0, 8) in got[0] and got[0] == got[1] and {(0, 6), (rows[2][1].rindex("Quimby"), rows[2][1].rindex("Quimby") + 6)} <= got[2]
+    text = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Zorblatt" not in text[0] and "Quimby" not in text[2] and "common words here" in text[0]
+
+
 # ---- 8, 9
 
 

@@ -1,12 +1,16 @@
 """Operator 3: personal data, with information-theoretic sanitisation of what is written around it.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, found by pattern. Each value is a
-protected entity e. For each term t (a word of three letters or more) in a window around an entity, corpus counts say
+protected entity e. For each term t (a word of three letters or more) in a document with an entity, corpus counts say
 how strongly it reveals the entity: PMI(t; e) = log2(P(t, e) / (P(t) P(e))), against IC(e) = -log2 P(e), what there is
-to reveal. P(t) is over all documents, not only those with entities. A term with PMI >= GENERALISE * IC, seen with
-the entity in MIN_SUPPORT different texts at least, is generalised; from REMOVE * IC on it is removed. A ratio of 1
-means that whoever reads the term can tell the entity. Terms are touched only near the entity that they reveal, so a
-document without base spans stays as it is.
+to reveal. P(t) and P(t, e) are over whole documents, all of them; copies count each. A term with PMI >= GENERALISE * IC
+is generalised; from REMOVE * IC on it is removed. A ratio of 1 means that whoever reads the term can tell the entity.
+Terms are touched wherever they stand in a document that holds the entity that they reveal, so a document without base
+spans stays as it is.
+
+Entities found in the same texts have the same counts with every term. They are counted as one class, so the many
+values of a long list cost no more than one. As P(t, e) <= P(e), a term in more than N^(1 - GENERALISE) *
+n(e)^GENERALISE documents can't reach the limit; such terms leave before pairs are made.
 
 Null text counts as empty and stays null when sanitised. Rows of equal id and text get the same spans; a null id is
 allowed; empty tables give empty results; further columns don't matter (and pass through sanitise()).
@@ -26,8 +30,6 @@ from tracewell.llm.arrow import map_rows
 from tracewell.session import ship_package, stash
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 8  # words on each side of an entity
-MIN_SUPPORT = 2
 GENERALISE, REMOVE = 0.9, 0.98
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -92,26 +94,22 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _digits(value)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, term, entity) of the terms within WINDOW words of a span; terms inside a span don't count."""
-    terms = [m for m in _TERM.finditer(text)]
-    free, at, spans_at = [], 0, sorted((a, b) for a, _, b in spans)
-    for m in terms:
-        while at < len(spans_at) and spans_at[at][1] <= m.start():
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Places (start, end) of each term, by term; none inside of spans."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    ends, at, upto = sorted((a, b) for a, _, b in spans), 0, 0
+    for m in _TERM.finditer(text):
+        while at < len(ends) and ends[at][0] < m.end():
+            upto = max(upto, ends[at][1])
             at += 1
-        if all(a >= m.end() or b <= m.start() for a, b in spans_at[at : at + 8]):
-            free.append(m)
-    starts = [m.start() for m in free]
-    out = set()
-    for a, k, b in spans:
-        entity = _entity(k, text[a:b])
-        for m in free[max(0, bisect_left(starts, a) - WINDOW) : bisect_left(starts, b) + WINDOW]:
-            out.add((m.start(), m.end(), m[0].lower(), entity))
-    return sorted(out)
+        places = out.setdefault(m[0].lower(), [])
+        if upto <= m.start():
+            places.append((m.start(), m.end()))
+    return out
 
 
 def _scan(cols: dict, _state: dict) -> dict:
-    out: dict = {k: [] for k in ("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near")}
+    out: dict = {k: [] for k in ("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "places")}
     out["doc_id"], out["text_key"] = cols["doc_id"], cols["text_key"]
     for text in cols["text"]:
         spans = base_spans(text)
@@ -119,7 +117,9 @@ def _scan(cols: dict, _state: dict) -> dict:
             out[name].append(sum(s[1] == k for s in spans))
         out["base_sha256"].append(hashlib.sha256(span_text(spans).encode()).hexdigest())
         out["base"].append([{"a": a, "k": k, "b": b} for a, k, b in spans])
-        out["near"].append([{"a": a, "b": b, "t": t, "e": e} for a, b, t, e in contexts(text, spans)] if spans else [])
+        out["entities"].append(sorted({_entity(k, text[a:b]) for a, k, b in spans}))
+        places = free_terms(text, spans) if spans else {}
+        out["places"].append([{"t": t, "at": [{"a": a, "b": b} for a, b in at]} for t, at in places.items()])
     return out
 
 
@@ -128,40 +128,51 @@ def _document_terms(cols: dict, _state: dict) -> dict:
     seen: dict[str, int] = {}
     for text in cols["text"]:
         if text:
-            for t in set(_TERM.findall(text.lower())):
+            for t in {x.lower() for x in set(_TERM.findall(text))}:
                 seen[t] = seen.get(t, 0) + 1
     return {"t": list(seen), "c": list(seen.values())}
 
 
 SCAN = (
     "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "base array<struct<a: int, k: int, b: int>>, near array<struct<a: int, b: int, t: string, e: string>>"
+    "base array<struct<a: int, k: int, b: int>>, entities array<string>, places array<struct<t: string, at: array<struct<a: int, b: int>>>>"
 )
 
 
-def disclosing(near: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
-    """t, e, ratio of the terms that reveal an entity. near: doc_id, text_key, t, e; terms: t, c."""
-    seen = near.select("doc_id", "text_key", "t", "e").distinct()
-    joint = seen.groupBy("t", "e").agg(F.count(F.lit(1)).alias("nte"), F.countDistinct("text_key").alias("support")).filter(F.col("support") >= MIN_SUPPORT)
-    alone = near.select("doc_id", "text_key", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
-    df = terms.groupBy("t").agg(F.sum("c").alias("nt"))
+def entity_classes(held: DataFrame) -> DataFrame:
+    """text_key, class, ne: the classes of entities in each text and the documents that hold them. held: text_key, copies, entities."""
+    each = held.select("text_key", "copies", F.explode("entities").alias("e"))
+    same = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("text_key")).alias("x"), F.bit_xor(F.xxhash64("text_key", F.lit(1))).alias("y"))
+    alone = each.groupBy("e").agg(F.sum("copies").alias("ne"), same.alias("class"))
+    return each.select("text_key", "e").join(alone, "e").select("text_key", "class", "ne").distinct()
+
+
+def disclosing(texts: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
+    """text_key, t, at, ratio of the terms that reveal an entity of their text. texts: text_key, copies, entities, places, one row each; terms: t, c."""
     n = F.lit(float(max(documents, 1)))
+    most = F.pow(n, F.lit(1 - GENERALISE)) * F.pow("ne", F.lit(GENERALISE)) * (1 + 1e-9)
+    classes = stash(entity_classes(texts.select("text_key", "copies", "entities")), "classes")
+    df = terms.groupBy("t").agg(F.sum("c").alias("nt"))
+    top = classes.groupBy("text_key").agg(F.max(most).alias("top"))
+    each = texts.select("text_key", "copies", F.explode("places").alias("x")).select("text_key", "copies", "x.t", "x.at")
+    rare = stash(each.join(df, "t").join(top, "text_key").filter(F.col("nt") <= F.col("top")).drop("top"), "rare")
+    pairs = rare.select("text_key", "t", "copies", "nt").join(classes, "text_key").filter(F.col("nt") <= most)
+    joint = pairs.groupBy("t", "class").agg(F.sum("copies").alias("nte"), F.first("nt").alias("nt"), F.first("ne").alias("ne"))
     pmi = F.log2(n * F.col("nte") / (F.col("nt") * F.col("ne")))
-    all_ = joint.join(alone, "e").join(df, "t").withColumn("ratio", F.when(F.col("ne") < n, pmi / F.log2(n / F.col("ne"))).otherwise(F.lit(0.0)))
-    return all_.filter(F.col("ratio") >= GENERALISE).select("t", "e", "ratio")
+    found = joint.withColumn("ratio", F.when(F.col("ne") < n, pmi / F.log2(n / F.col("ne"))).otherwise(F.lit(0.0))).filter(F.col("ratio") >= GENERALISE)
+    strong = pairs.select("text_key", "t", "class").join(found.select("t", "class", "ratio"), ["t", "class"]).groupBy("text_key", "t").agg(F.max("ratio").alias("ratio"))
+    return rare.select("text_key", "t", "at").join(strong, ["text_key", "t"])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base counts and digest, base: spans (a, k, b), terms: further spans (a, b, cut)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
     scan = stash(map_rows(slim, _scan, SCAN), "pii")
-    near = scan.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
+    texts = scan.filter(F.size("entities") > 0).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("places").alias("places"))
     terms = map_rows(slim.select("text"), _document_terms, "t string, c long")
-    found = stash(disclosing(near, terms, scan.count()), "disclosing")
-    spans = near.join(found, ["t", "e"]).groupBy("doc_id", "text_key", "a", "b").agg(F.max("ratio").alias("ratio"))
-    cut = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("a", "b", (F.col("ratio") >= REMOVE).alias("cut")))).alias("terms"))
-    cut = cut.select(F.col("doc_id").alias("i"), F.col("text_key").alias("j"), "terms")
-    joined = scan.drop("near").join(cut, scan["doc_id"].eqNullSafe(cut["i"]) & (scan["text_key"] == cut["j"]), "left").drop("i", "j")
+    found = disclosing(texts, terms, scan.count()).select("text_key", "ratio", F.explode("at").alias("x"))
+    cut = found.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.a", "x.b", (F.col("ratio") >= REMOVE).alias("cut")))).alias("terms"))
+    joined = scan.drop("entities", "places").join(cut, "text_key", "left").select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms")
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<a: int, b: int, cut: boolean>>")))
 
 
