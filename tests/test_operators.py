@@ -140,3 +140,15 @@ def test_rendered_page_carries_its_text(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert risk.assess(risk.with_intents(risk.document_segments(empty))).count() == 0
+
+
+def test_all_five_kinds_of_targets(spark, tmp_path):
+    from tracewell.plans import queries
+
+    evm, bech = "0x" + "aB" * 20, "bc1" + "q" * 20
+    rows = [(1, f"pay {evm} or {bech}"), (2, "//Evil.net/x and (//evil.org/y, src=//evil.net/z"), (3, "//cdn.example/x //localhost/ //127.0.0.1/x //plain a//b.net http://x.example//b.net"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.kind): (r.n, r.first_match) for r in queries.unsafe_targets(spark, str(tmp_path)).collect()}
+    assert got == {(1, "wallet"): (2, evm), (2, "protocol-relative"): (3, "//Evil.net")}
+    reasons = corpus.ledger(spark.createDataFrame([("see //evil.net/x for more", "MIT")], "text string, licence string")).first()
+    assert reasons.reason_code == "REAL_TARGET"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules, text as T
 
 URL = r"(?i)https?://[^\s\"'<>()\]\[]+"
+PROTOCOL_RELATIVE = r"(?i)(?:^|[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\"'(=])//([a-z0-9-]+(?:\.[a-z0-9-]+)+)"
 EMAIL_HOST = r"(?i)[0-9A-Za-z_.+-]+@([a-z0-9-]+(?:\.[a-z0-9-]+)+)"
 IPV4 = r"(?<![0-9A-Za-z_])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_])"
 WALLET = r"(?<![0-9A-Za-z_])(?:0x[0-9a-fA-F]{40}|bc1[02-9ac-hj-np-z]{11,71})(?![0-9A-Za-z_])"
@@ -30,6 +31,7 @@ def unsafe_targets(text: Column) -> Column:
     of = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("match")))
     parts = [
         of("url", F.filter(all_(URL), lambda u: ~is_reserved_host(host(u)))),
+        of("protocol-relative", F.transform(F.filter(all_(PROTOCOL_RELATIVE, 1), lambda h: ~is_reserved_host(h)), lambda h: F.concat(F.lit("//"), h))),
         of("ipv4", F.filter(all_(IPV4), lambda x: ~x.isin("127.0.0.1", "0.0.0.0"))),
         of("email", F.filter(all_(EMAIL_HOST), lambda x: ~is_reserved_host(F.substring_index(x, "@", -1)))),
         of("wallet", all_(WALLET)),

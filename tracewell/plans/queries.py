@@ -146,7 +146,7 @@ a AS (SELECT DISTINCT doc_id, 'email' AS kind, m FROM e WHERE NOT {S.reserved("r
   UNION ALL SELECT DISTINCT doc_id, 'url', m FROM u WHERE NOT {S.reserved("regexp_extract(m, '(?i)^https?://(?:[^@/?#]*@)?([^/:?#]*)', 1)")})
 SELECT doc_id, kind, count(*) AS n, min(m) AS first_match FROM a GROUP BY 1, 2""")
 def unsafe_targets(spark, d):
-    found = _docs(spark, d).select("doc_id", F.explode(corpus.unsafe_targets(F.col("text"))).alias("t")).filter("t.kind != 'wallet'")
+    found = _docs(spark, d).select("doc_id", F.explode(corpus.unsafe_targets(F.col("text"))).alias("t"))
     return found.groupBy("doc_id", F.col("t.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("t.match").alias("first_match"))
 
 
