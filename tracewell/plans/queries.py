@@ -32,7 +32,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return risk.document_segments(_docs(spark, d))
+    return risk.nfkc(risk.document_segments(_docs(spark, d)))
 
 
 @query(f"WITH {S.levels()} SELECT source, capability, level, count(*) AS segments FROM levels GROUP BY ALL")
