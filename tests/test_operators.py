@@ -165,3 +165,19 @@ def test_document_queries_see_compatibility_characters(spark, tmp_path):
     for q in ("segment_levels_by_capability", "intent_counts", "addressed_counts", "gate_drops", "level_count", "labels_confusion"):
         plain, got = (sorted(map(str, queries.QUERIES[q](spark, f"{tmp_path}/{name}").collect())) for name in ("plain", "wide"))
         assert got == plain, q
+
+
+def test_ai_only_leaves_near_equal_text_out(spark):
+    base = spark.createDataFrame([(1, "the quick brown fox jumps over lazy dogs today"), (2, "something else entirely here")], "page_id long, key string")
+    probe = spark.createDataFrame([(1, "the quick brown fox jumps over lazy cats today"), (2, "the quick brown fox jumps over lazy cats today"), (1, "agents must obey this note"), (1, "short"), (3, "页面上没有的一段很长的文字内容在这里")], "page_id long, key string")
+    got = {(r.page_id, r.key[:6]) for r in grouping.ai_only(probe, base).collect()}
+    assert got == {(2, "the qu"), (1, "agents"), (3, "页面上没有的")}
+
+
+def test_fuzzy_attach_follows_the_slots(spark):
+    a, b = "one two six ten red", "one two six ten blue"
+    groups_ = spark.createDataFrame([(1, a, 0), (1, "far away from all", 2), (1, "", 4)], "page_id long, key string, ord int")
+    segments = spark.createDataFrame([(1, b, 1), (1, "one two six ten pink", 3), (1, b, 5), (1, a, 7), (1, "nothing like that here", 9), (2, b, 1)], "page_id long, key string, ord int")
+    got = {(r.page_id, r.ord): r.group_key for r in grouping.fuzzy_attach(groups_, segments).collect()}
+    # page 1: b takes a's slot and leaves a group of its own key, whose slot the next one takes; equal keys join in any case
+    assert got == {(1, 1): a, (1, 3): b, (1, 5): b, (1, 7): a, (1, 9): "nothing like that here", (2, 1): b}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.functions import rules
+from tracewell.functions import rules, text as T
+from tracewell.session import ship_package
 
 
 def groups(items: DataFrame) -> DataFrame:
@@ -24,8 +25,11 @@ def matrix(grouped: DataFrame) -> DataFrame:
 
 
 def ai_only(probe: DataFrame, base: DataFrame) -> DataFrame:
-    """Probe items (page_id, key) that the base view lacks: longer than 12 characters, no equal key."""
-    return probe.filter(F.length("key") > 12).join(base.select("page_id", "key"), ["page_id", "key"], "left_anti")
+    """Probe items (page_id, key) that the base view lacks: longer than 12 characters, no equal key, no key of word similarity over 0.7 on the page."""
+    lacking = probe.filter(F.length("key") > 12).join(base.select("page_id", "key"), ["page_id", "key"], "left_anti")
+    near = base.select(F.col("page_id").alias("__page"), T.token_set(F.col("key")).alias("__base")).distinct()
+    left = lacking.withColumn("__probe", T.token_set(F.col("key")))
+    return left.join(near, (left["page_id"] == near["__page"]) & (T.jaccard(F.col("__probe"), F.col("__base")) > 0.7), "left_anti").drop("__probe")
 
 
 def level_counts(findings: DataFrame, by) -> DataFrame:
@@ -44,11 +48,61 @@ def ordered_findings(findings: DataFrame, by, order) -> DataFrame:
     return f.withColumn("place", F.row_number().over(w))
 
 
-def fuzzy_attach(groups_: DataFrame, segments: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """page_id, key of each segment with the group it joins: its equal key, else the first best by word similarity over the threshold."""
-    from tracewell.functions import text as T
+def attach_page(groups_: list[tuple[str, list[str]]], segments: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """The group key that each segment (key, words) of a page joins, taken in order. groups_: (key, words) in order.
+
+    An equal key comes first. Else the segment takes the first best of the groups whose slot is free, by word
+    similarity over the threshold; else it opens a group. Its own key is a group for what follows in any case.
+    """
+    place: dict[str, int] = {}
+    keys: list[str] = []
+    sizes: list[int] = []
+    free: list[bool] = []
+    having: dict[str, list[int]] = {}  # groups with each word
+
+    def open_group(key, words):
+        if key not in place:
+            place[key] = len(keys)
+            keys.append(key)
+            sizes.append(len(words))
+            free.append(True)
+            for w in words:
+                having.setdefault(w, []).append(place[key])
+        return place[key]
+
+    for key, words in groups_:
+        open_group(key, words)
+    out = []
+    for key, words in segments:
+        best = place.get(key)
+        if best is None:
+            shared: dict[int, int] = {}
+            for w in words:
+                for g in having.get(w, ()):
+                    if free[g]:
+                        shared[g] = shared.get(g, 0) + 1
+            most = threshold
+            for g in sorted(shared):
+                if (sim := shared[g] / (sizes[g] + len(words) - shared[g])) > most:
+                    best, most = g, sim
+            own = open_group(key, words)
+            best = own if best is None else best
+        free[best] = False
+        out.append(keys[best])
+    return out
+
 
-    g = groups_.select("page_id", F.col("key").alias("group_key"), F.col("ord").alias("group_ord"), T.token_set(F.col("key")).alias("gt"))
-    s = segments.select("page_id", "key", "ord", T.token_set(F.col("key")).alias("st"))
-    pairs = s.join(g, "page_id").withColumn("sim", F.when(F.col("key") == F.col("group_key"), F.lit(2.0)).otherwise(T.jaccard(F.col("st"), F.col("gt")))).filter(F.col("sim") > threshold)
-    return pairs.groupBy("page_id", "key", "ord").agg(F.min_by("group_key", F.struct(-F.col("sim"), F.col("group_ord"))).alias("group_key"))
+def fuzzy_attach(groups_: DataFrame, segments: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """page_id, key, ord of each segment with the group it joins, greedily by page in the order of ord; one without a match keeps its own key."""
+    ship_package(segments.sparkSession)
+    rows = [x.select("page_id", "key", "ord", F.lit(k).alias("segment"), T.token_set(F.col("key")).alias("words")).filter("key != ''") for k, x in ((False, groups_), (True, segments))]
+
+    def one(page):
+        page = page.sort_values(["segment", "ord", "key"], kind="stable")
+        each, later = list(zip(page["key"], map(list, page["words"]))), page["segment"].to_numpy(dtype=bool)
+        n = len(each) - int(later.sum())
+        return page[later].assign(group_key=attach_page(each[:n], each[n:], threshold))[["page_id", "key", "ord", "group_key"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows[1].schema}
+    # keyed by page: a page's items are bounded by the page, and each choice depends on the ones before
+    return rows[0].unionByName(rows[1]).groupBy("page_id").applyInPandas(one, f"page_id {kinds['page_id']}, key string, ord {kinds['ord']}, group_key string")
