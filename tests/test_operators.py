@@ -181,3 +181,14 @@ def test_fuzzy_attach_follows_the_slots(spark):
     got = {(r.page_id, r.ord): r.group_key for r in grouping.fuzzy_attach(groups_, segments).collect()}
     # page 1: b takes a's slot and leaves a group of its own key, whose slot the next one takes; equal keys join in any case
     assert got == {(1, 1): a, (1, 3): b, (1, 5): b, (1, 7): a, (1, 9): "nothing like that here", (2, 1): b}
+
+
+def test_copies_stay_in_the_similarity_join(spark, tmp_path):
+    from tracewell.plans import queries
+
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(4, text), (2, text), (9, text), (3, text + " extra"), (5, "other words"), (6, None), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [(r.a, r.b) for r in queries.QUERIES["token_jaccard_pairs"](spark, str(tmp_path)).collect()]
+    members = {r.doc_id: r.id for r in queries.QUERIES["token_jaccard_members"](spark, str(tmp_path)).collect()}
+    assert pairs == [(2, 3)] and members == {4: 2, 2: 2, 9: 2, 3: 3, 5: 5, 6: 6, 7: 6}

@@ -75,6 +75,14 @@ def token_jaccard_pairs(spark, d):
     return corpus.similar_pairs(distinct.select("id", T.token_set(F.col("text")).alias("tokens")), 0.9)
 
 
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS id FROM documents")
+def token_jaccard_members(spark, d):
+    """Each document with the id that stands for its text in token_jaccard_pairs."""
+    docs = _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha"))
+    firsts = docs.groupBy("sha").agg(F.min("doc_id").alias("id")).withColumnRenamed("sha", "of")
+    return docs.join(firsts, F.col("sha").eqNullSafe(F.col("of"))).select("doc_id", "id")
+
+
 @query("SELECT page_id, count(*) AS n, sum(length(t)) AS chars FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '<!--([\\s\\S]*?)-->', 1))) AS t FROM pages) WHERE t <> '' GROUP BY 1")
 def comment_scan(spark, d):
     return extract.comments(read_table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
