@@ -192,3 +192,12 @@ def test_copies_stay_in_the_similarity_join(spark, tmp_path):
     pairs = [(r.a, r.b) for r in queries.QUERIES["token_jaccard_pairs"](spark, str(tmp_path)).collect()]
     members = {r.doc_id: r.id for r in queries.QUERIES["token_jaccard_members"](spark, str(tmp_path)).collect()}
     assert pairs == [(2, 3)] and members == {4: 2, 2: 2, 9: 2, 3: 3, 5: 5, 6: 6, 7: 6}
+
+
+def test_whole_ledger_has_the_safety_rule(spark, tmp_path):
+    from tracewell.plans import queries
+
+    rows = [(8, "mail me@evil.net now, please"), (16, "host 10.1.2.3 is up and running"), (9, "see https://evil.net/x for more"), (10, "see //evil.net/x for more"), (24, "a plain and harmless text"), (32, "a@b.net"), (3, "mail me@evil.net now, please"), (40, "see https://a.example/ for more"), (48, "tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.reason_code: r.n for r in queries.QUERIES["exclusion_ledger_targets"](spark, str(tmp_path)).collect()}
+    assert got == {"REAL_TARGET": 5, "LICENSE_NC": 1, "INCLUDED": 2, "TOO_SHORT": 1}

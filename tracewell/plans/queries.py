@@ -181,6 +181,13 @@ def exclusion_ledger(spark, d):
     return corpus.ledger(records).groupBy(F.coalesce("reason_code", F.lit("INCLUDED")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def exclusion_ledger_targets(spark, d):
+    """Reasons of exclusion by licence, safety and relevance: the whole ledger, over the texts as they are."""
+    records = _docs(spark, d).select("text", _licence().alias("licence"))
+    return corpus.ledger(records).groupBy(F.coalesce("reason_code", F.lit("INCLUDED")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH f AS (SELECT sha256(text) AS sha, min(doc_id) AS line_no, any_value(text) AS text FROM documents GROUP BY 1) SELECT arg_min(sha, (sha, line_no)) AS sha, arg_min(line_no, (sha, line_no)) AS line_no FROM f GROUP BY {S.norm_key('text')}")
 def dedupe_exact(spark, d):
     records = _docs(spark, d).select(F.sha2("text", 256).alias("sha"), F.col("doc_id").alias("line_no"), F.col("doc_id").cast("string").alias("uid"), "text")
