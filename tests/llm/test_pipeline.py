@@ -1,14 +1,11 @@
 """The pipeline's stages against plain Python, on the smallest tables."""
 
 import os
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
 import corpus_pipeline
-from test_operators import brute_components, brute_spans, brute_stats, crc, plain_ids
+from llm_brute import brute_components, brute_spans, brute_stats, crc, plain_ids
 
 from tracewell.llm import quality
 from tracewell.session import read_table, scratch
