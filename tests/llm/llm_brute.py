@@ -1,6 +1,7 @@
 """Plain versions of the operators, for the tests to hold them against."""
 
 import collections
+import functools
 import math
 import random
 import re
@@ -71,12 +72,16 @@ def brute_terms(rows):
     return out
 
 
-def plain_ids(text):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def plain_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def crc(ids):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import arrow_schema, slices
+from tracewell.llm.arrow import arrow_schema, give_back, slices
 from tracewell.llm.tokens import encoder
 from tracewell.session import RangeReader, ensure_folder, local_path, put_bytes, scratch, ship_package, stash
 
@@ -98,6 +98,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str | None = None) -> D
                     yield from ((d, x + end) for d, x in zip(batch.column(0).to_pylist(), ids))
 
         name, index, n, total = write_shard(root, part, each(), item)
+        give_back()
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, name, index, n, total, item), out)], schema=out)
 
