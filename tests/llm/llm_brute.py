@@ -23,11 +23,12 @@ def brute_stats(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
-def brute_components(rows):
-    sets = {}
-    for i, t in rows:
+def brute_components(rows, width=3, per_cent=85):
+    """By id: size of the set and smallest id that is reached. Of repeated ids each row is a node, the last one's size is given."""
+    sets, ids = {}, [i for i, _ in rows]
+    for k, (_, t) in enumerate(rows):
         w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = frozenset([tuple(w)]) if 0 < len(w) < 3 else frozenset(zip(w, w[1:], w[2:]))
+        sets[k] = frozenset([tuple(w)]) if 0 < len(w) < width else frozenset(zip(*(w[j:] for j in range(width))))
     root = {i: i for i in sets}
 
     def find(x):
@@ -37,10 +38,13 @@ def brute_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return {i: (len(sets[k]), least[find(k)]) for k, i in enumerate(ids)}
 
 
 def brute_spans(t):

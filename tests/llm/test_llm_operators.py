@@ -85,6 +85,34 @@ def test_near_duplicates(spark):
     assert got == brute_components(rows)
 
 
+def family(r, base, size, edits):
+    for _ in range(size):
+        t = list(base)
+        for _ in range(r.randrange(edits)):
+            t[r.randrange(len(t))] = "e%d" % r.randrange(10**6)
+        yield " ".join(t)
+
+
+def test_near_duplicates_with_other_settings(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 7)  # collections are dealt to several blocks
+    r, rows = random.Random(14), [(0, "One two"), (1, "one  TWO")]
+    for g in range(4):
+        rows += [(2 + 40 * g + k, t) for k, t in enumerate(family(r, words(110, 200 + g, 3000).split(), 40, 7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ((5, 80), (3, 85)):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(df, *how).collect()} == brute_components(rows, *how)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    a, b, c = words(80, 31, 2000), words(80, 32, 2000), words(80, 33, 2000)
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " tail"), (4, c), (4, c), (4, c + " tail"), (5, "A B"), (5, "a b"), (6, None), (6, None)]
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, row int")
+    got = sorted((x.doc_id, x.component_id) for x in near_dup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 5), (5, 5), (6, 6), (6, 6)]
+    kept = sorted((x.doc_id, x.text or "") for x in near_dup.keep_first_copies(df).collect())
+    assert len(kept) == 6 and kept[:2] == sorted([(1, a), (1, b)]) and [i for i, _ in kept[2:]] == [4, 5, 6, 6]
+
+
 def test_peeling_keeps_links():
     a = near_dup.shingle_sets([words(50, 8)])[0].tobytes()
     assert near_dup.jaccard_reaches(a, a) and not near_dup.jaccard_reaches(a, near_dup.shingle_sets([words(50, 9)])[0].tobytes())

@@ -1,10 +1,10 @@
 """Operator 5: near-duplicate documents by MinHash with tensored banding.
 
-Each document's set of 3-word shingles gets 2 * COLLECTIONS small collections of ROWS minhashes each, one half on a
-left and one half on a right side. A table of the usual banding scheme is a pair (left collection, right collection),
-so COLLECTIONS ** 2 tables of 2 * ROWS minhashes cost 2 * COLLECTIONS * ROWS hash functions instead of
-2 * COLLECTIONS ** 2 * ROWS. A pair of documents meets in some table if one of its left and one of its right
-collections agree; at similarity 0.85 it misses with probability 2 * (1 - 0.85 ** ROWS) ** COLLECTIONS, 2e-5 here.
+Each document's set of word shingles gets 2 * c small collections of ROWS minhashes each, one half on a left and one
+half on a right side. A table of the usual banding scheme is a pair (left collection, right collection), so c ** 2
+tables of 2 * ROWS minhashes cost 2 * c * ROWS hash functions instead of 2 * c ** 2 * ROWS. A pair of documents meets
+in some table if one of its left and one of its right collections agree; at similarity s it misses with probability
+2 * (1 - s ** ROWS) ** c at most, and c is the smallest number that keeps this under MISS at the threshold (12 at 0.85).
 
 From meeting to linking, without all pairs of a group:
 
@@ -15,16 +15,22 @@ From meeting to linking, without all pairs of a group:
    some rounds long.
 5. Last, members that can't reach another one are peeled off by an exact bound (see _peel), and pairs of *different*
    components among the rest are tested, if a sketch of 2048 one-bit minhashes leaves them within 5.7 standard
-   deviations of the threshold (1e-8 of links lost). A pair that meets in a table is left untested only inside one
-   component or where a bound rules a link out.
+   deviations of the threshold (1e-8 of links lost). Members of a large collection meet in blocks. A pair that meets in
+   a table is left untested only inside one component or where a bound rules a link out.
 
 Null or wordless text has an empty set: linked with nothing. Shingles are 64-bit hashes of words mixed in order.
-Documents with fewer words than a shingle have one shingle, the whole sequence. Rows of equal id and text are one
-document. A null id gets a null component and is not kept. Empty tables give empty results.
+Documents with fewer words than a shingle have one shingle, the whole sequence. Each row is a document of its own, also
+where ids repeat with different texts; classes are named by row numbers, components by their smallest id. A null id
+gets a null component and is not kept. Very long texts are read whole, their minhashes taken in parts. Empty tables
+give empty results; further columns don't matter (and pass through keep_first_copies()).
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,12 +42,32 @@ from tracewell.session import stash
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
-COLLECTIONS = 12  # on each side
 ROWS = 3
+MISS = 3e-5
 LEADER_ROUNDS = 1
 PEEL_ROUNDS = 3
 BITS = 2048
-APART = 221  # of BITS: 5.7 standard deviations above the mean of a pair at the threshold
+BLOCK = 512  # members of a collection that meet in one task at most
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Words of a shingle and the similarity of a link in per cent; what follows from them."""
+
+    width: int = SHINGLE
+    per_cent: int = THRESHOLD
+
+    @property
+    def collections(self) -> int:
+        """On each side."""
+        return math.ceil(math.log(MISS / 2) / math.log1p(-((self.per_cent / 100) ** ROWS)))
+
+    @property
+    def apart(self) -> int:
+        """Of BITS, how many may differ: 5.7 standard deviations above the mean of a pair at the threshold."""
+        p = (1 - self.per_cent / 100) / 2
+        return int(BITS * p + 5.7 * math.sqrt(BITS * p * (1 - p)))
+
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -53,13 +79,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_N = 2 * COLLECTIONS * ROWS
-_XOR = _mix(np.arange(1, _N + 1, dtype=np.uint64) * _M1)
-_MUL = _mix(_XOR + _M1) | np.uint64(1)
-
-
-_BIT_XOR = _mix(np.arange(10_001, 10_001 + BITS, dtype=np.uint64) * _M1)
-_BIT_MUL = _mix(_BIT_XOR + _M1) | np.uint64(1)
+@cache
+def _functions(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n hash functions, from number `first` on, xor and multiply with."""
+    with np.errstate(over="ignore"):
+        xor = _mix(np.arange(first, first + n, dtype=np.uint64) * _M1)
+        return xor, _mix(xor + _M1) | np.uint64(1)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -87,30 +112,37 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
     return out
 
 
-def collection_keys(shingles: np.ndarray) -> np.ndarray:
-    """2 * COLLECTIONS keys of a set, the left ones first; each is a hash of ROWS minhashes and its place."""
-    low = np.full(_N, np.iinfo(np.uint64).max, np.uint64)
+def collection_keys(shingles: np.ndarray, collections: int) -> np.ndarray:
+    """2 * collections keys of a set, the left ones first; each is a hash of ROWS minhashes and its place."""
+    n = 2 * collections * ROWS
+    xor, mul = _functions(1, n)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, len(shingles), 4096):  # bounds memory for very long texts
-            x = (shingles[k : k + 4096, None] ^ _XOR) * _MUL
+            x = (shingles[k : k + 4096, None] ^ xor) * mul
             np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0), out=low)
-        keys = np.arange(2 * COLLECTIONS, dtype=np.uint64) * _M1
-        rows = low.reshape(2 * COLLECTIONS, ROWS)
+        keys = np.arange(2 * collections, dtype=np.uint64) * _M1
+        rows = low.reshape(2 * collections, ROWS)
         for k in range(ROWS):
             keys = _mix(keys * _M2 + rows[:, k])
     return keys.view(np.int64)
 
 
-def _sign(cols: dict, _state: dict) -> dict:
-    sets = shingle_sets(cols["text"])
-    with np.errstate(over="ignore"):
-        a = [int(np.bitwise_xor.reduce(_mix(s + _M1)).view(np.int64)) if len(s) else 0 for s in sets]
-        b = [int(_mix(s ^ _M2).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-    return {"doc_id": cols["doc_id"], "n": [len(s) for s in sets], "h1": a, "h2": b, "keys": [collection_keys(s) if len(s) else None for s in sets]}
+def _sign(how: Settings):
+    c = how.collections
 
+    def fn(cols: dict, _state: dict) -> dict:
+        sets = shingle_sets(cols["text"], how.width)
+        with np.errstate(over="ignore"):
+            a = [int(np.bitwise_xor.reduce(_mix(s + _M1)).view(np.int64)) if len(s) else 0 for s in sets]
+            b = [int(_mix(s ^ _M2).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
+        return {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "n": [len(s) for s in sets], "h1": a, "h2": b, "keys": [collection_keys(s, c) if len(s) else None for s in sets]}
 
-def _sets(cols: dict, _state: dict) -> dict:
-    return {"rep": cols["rep"], "shingles": [s.tobytes() for s in shingle_sets(cols["text"])]}
+    return fn
+
+
+def _sets(how: Settings):
+    return lambda cols, _state: {"rep": cols["rep"], "shingles": [s.tobytes() for s in shingle_sets(cols["text"], how.width)]}
 
 
 def jaccard_reaches(a: bytes, b: bytes, per_cent: int = THRESHOLD) -> bool:
@@ -119,16 +151,18 @@ def jaccard_reaches(a: bytes, b: bytes, per_cent: int = THRESHOLD) -> bool:
     return 100 * both >= per_cent * (len(x) + len(y) - both)
 
 
-def _verify(cols: dict, _state: dict) -> dict:
-    rows = [(u, v, jaccard_reaches(a, b)) for u, v, a, b in zip(cols["u"], cols["v"], cols["a"], cols["b"])]
-    return {"u": [r[0] for r in rows], "v": [r[1] for r in rows], "linked": [r[2] for r in rows]}
+def _verify(how: Settings):
+    def fn(cols: dict, _state: dict) -> dict:
+        return {"u": cols["u"], "v": cols["v"], "linked": [jaccard_reaches(a, b, how.per_cent) for a, b in zip(cols["a"], cols["b"])]}
+
+    return fn
 
 
-def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _tested(how: Settings, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, linked of candidate pairs, on full sets; pairs carry sizes nu, nv that can rule a link out."""
-    pairs = pairs.filter(100 * F.least("nu", "nv") >= THRESHOLD * F.greatest("nu", "nv")).select("u", "v")
+    pairs = pairs.filter(100 * F.least("nu", "nv") >= how.per_cent * F.greatest("nu", "nv")).select("u", "v")
     both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b")), "v")
-    return map_rows(both.select("u", "v", "a", "b"), _verify, "u long, v long, linked boolean")
+    return map_rows(both.select("u", "v", "a", "b"), _verify(how), "u long, v long, linked boolean")
 
 
 def _as_pairs(found: DataFrame) -> DataFrame:
@@ -141,14 +175,14 @@ def _as_pairs(found: DataFrame) -> DataFrame:
     )
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(how: Settings, classes: DataFrame) -> DataFrame:
     """tk, rep, n: members of the tables' buckets that have two members or more. classes: rep, n, keys."""
     each = classes.select("rep", "n", F.posexplode("keys").alias("pos", "ck"))
     shared = each.groupBy("ck").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("ck")
-    left = F.col("pos") < COLLECTIONS
+    left = F.col("pos") < how.collections
     sides = (
         each.join(shared, "ck", "left_semi")
-        .groupBy("rep", "n")  # at most 2 * COLLECTIONS rows each
+        .groupBy("rep", "n")  # at most 2 * collections rows each
         .agg(F.collect_list(F.when(left, F.col("ck"))).alias("l"), F.collect_list(F.when(~left, F.col("ck"))).alias("r"))
     )
     members = stash(sides.select("rep", "n", F.explode("l").alias("lk"), "r").select("rep", "n", "lk", F.explode("r").alias("rk")).select("rep", "n", F.xxhash64("lk", "rk").alias("tk")), "tables")
@@ -156,16 +190,15 @@ def buckets(classes: DataFrame) -> DataFrame:
     return stash(members.join(full, "tk", "left_semi"), "buckets")
 
 
-def _link(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, component over the classes that have a link. classes: rep, n, keys; docs: doc_id, text."""
-    inside = buckets(classes)
+def _link(how: Settings, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, component over the classes that have a link. classes: rep, n, keys, id, text_key; docs: doc_id, text_key, text."""
+    inside = buckets(how, classes)
     firsts = inside.groupBy("tk").agg(F.min(F.struct("rep", "n")).alias("m")).select("tk", F.col("m.rep").alias("y"), F.col("m.n").alias("ny"))
     pairs = stash(_as_pairs(inside.select("tk", F.col("rep").alias("x"), F.col("n").alias("nx")).join(firsts, "tk")), "pairs")
-    wanted = inside.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    # rows of equal id and text are one document
-    sets = stash(map_rows(texts, _sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
-    tested = stash(_tested(pairs, sets), "tested")
+    wanted = classes.join(inside.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("id").alias("doc_id"), "text_key")
+    # rows of equal id and text have one set
+    sets = stash(map_rows(docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text"), _sets(how), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    tested = stash(_tested(how, pairs, sets), "tested")
     label, open_, turn = None, None, 0
     while True:
         links = tested.filter("linked").select("u", "v")
@@ -178,7 +211,7 @@ def _link(classes: DataFrame, docs: DataFrame) -> DataFrame:
                 return label
         last = turn >= LEADER_ROUNDS
         if last:
-            found = _residue(open_, classes, sets)
+            found = _residue(how, open_, classes, sets)
         else:
             lead = _leaders(open_, links, turn)
             found = open_.join(lead, "tk").filter("comp != cy").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
@@ -189,7 +222,7 @@ def _link(classes: DataFrame, docs: DataFrame) -> DataFrame:
             turn = LEADER_ROUNDS
             continue
         turn += 1
-        checked = stash(_tested(more, sets), "tested")
+        checked = stash(_tested(how, more, sets), "tested")
         if not checked.filter("linked").isEmpty():
             open_ = None
         tested = tested.unionByName(checked)
@@ -205,6 +238,7 @@ def _each_shingle(cols: dict, _state: dict) -> dict:
 def _sketch(cols: dict, _state: dict) -> dict:
     """BITS one-bit minhashes of each set, in longs. Two sets differ in a bit with probability (1 - similarity) / 2."""
     out: dict = {"rep": cols["rep"]} | {f"w{k}": [] for k in range(BITS // 64)}
+    xor, mul = _functions(10_001, BITS)
     with np.errstate(over="ignore"):
         for data in cols["shingles"]:
             s = np.frombuffer(data, np.uint64)
@@ -212,7 +246,7 @@ def _sketch(cols: dict, _state: dict) -> dict:
             for k in range(0, BITS, 256):
                 low = np.full(256, np.iinfo(np.uint64).max, np.uint64)
                 for j in range(0, len(s), 1024):
-                    x = (s[j : j + 1024, None] ^ _BIT_XOR[k : k + 256]) * _BIT_MUL[k : k + 256]
+                    x = (s[j : j + 1024, None] ^ xor[k : k + 256]) * mul[k : k + 256]
                     np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0), out=low)
                 bits.append((_mix(low) & np.uint64(1)).astype(np.uint8))
             for k, w in enumerate(np.packbits(np.concatenate(bits)).view(np.int64).tolist()):
@@ -220,7 +254,7 @@ def _sketch(cols: dict, _state: dict) -> dict:
     return out
 
 
-def _peel(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def _peel(how: Settings, open_: DataFrame, sets: DataFrame) -> DataFrame:
     """rep, n, comp of the members that can still have a link across components.
 
     A link's common shingles all lie in both sets, so those that no other member holds bound the similarity from
@@ -236,29 +270,40 @@ def _peel(open_: DataFrame, sets: DataFrame) -> DataFrame:
         live = rows.join(alive.select("rep"), "rep", "left_semi")
         common = live.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sh")
         shared = live.join(common, "sh", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
-        reach = 100 * F.col("s") >= THRESHOLD * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * THRESHOLD / 100)) - F.col("s"))
+        reach = 100 * F.col("s") >= how.per_cent * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * how.per_cent / 100)) - F.col("s"))
         alive = stash(met.join(shared, "rep").filter(reach).select("rep", "n", "comp"), "alive")
     return alive
 
 
-def _residue(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, nx, y, ny: pairs of different components that may be linked, among members that share a left collection."""
-    alive = _peel(open_, sets)
+def _residue(how: Settings, open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, nx, y, ny: pairs of different components that may be linked, among members that share a left collection.
+
+    A collection of more than BLOCK members is dealt to blocks by a hash; each two blocks meet under a key of their own.
+    """
+    alive = _peel(how, open_, sets)
     words = [f"w{k}" for k in range(BITS // 64)]
     schema = "rep long, " + ", ".join(f"{w} long" for w in words)
     sketched = map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _sketch, schema)
-    left = [f"l{k}" for k in range(COLLECTIONS)]
+    left = [f"l{k}" for k in range(how.collections)]
     named = classes.join(alive.select("rep", "comp"), "rep").select("rep", "n", "comp", *[F.col("keys")[k].alias(c) for k, c in enumerate(left)])
-    whole = named.join(sketched, "rep")
-    one = stash(whole.select("*", F.posexplode(F.array(*left)).alias("pos", "ck")), "residue")
-    two = one.select("ck", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), *[F.col(c).alias("v" + c) for c in left + words])
+    met = named.select("rep", "comp", F.posexplode(F.array(*left)).alias("pos", "ck"))
+    mixed = met.groupBy("ck").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b")
+    dealt = met.join(mixed.select("ck", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "ck")
+    dealt = stash(dealt.select("rep", "pos", "ck", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")), "residue")
+    whole = stash(named.join(sketched, "rep"), "sketches")
+    others = lambda first, last: F.explode(F.sequence(first, last)).alias("other")
+    one = dealt.select("rep", "pos", "ck", F.col("own").alias("ba"), others(F.col("own"), F.col("blocks") - 1)).withColumnRenamed("other", "bb").join(whole, "rep")
+    two = dealt.select("rep", "ck", F.col("own").alias("bb"), others(F.lit(0), F.col("own"))).withColumnRenamed("other", "ba").join(whole, "rep")
+    two = two.select("ck", "ba", "bb", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), *[F.col(c).alias("v" + c) for c in left + words])
     # a pair comes out of the first collection that it shares
-    first = F.lit(COLLECTIONS)
-    for k in reversed(range(COLLECTIONS)):
+    first = F.lit(len(left))
+    for k in reversed(range(len(left))):
         first = F.when(F.col(left[k]) == F.col("v" + left[k]), k).otherwise(first)
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("v" + w))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col("v" + words[0]))))
-    near = (F.col("comp") != F.col("cy")) & (F.col("rep") < F.col("y")) & (100 * F.least("n", "ny") >= THRESHOLD * F.greatest("n", "ny")) & (first == F.col("pos")) & (apart <= APART)
-    return one.alias("one").join(two.alias("two"), (F.col("one.ck") == F.col("two.ck")) & near).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
+    once = (F.col("one.ba") < F.col("one.bb")) | (F.col("rep") < F.col("y"))
+    near = (F.col("comp") != F.col("cy")) & once & (100 * F.least("n", "ny") >= how.per_cent * F.greatest("n", "ny")) & (first == F.col("pos")) & (apart <= how.apart)
+    same = (F.col("one.ck") == F.col("two.ck")) & (F.col("one.ba") == F.col("two.ba")) & (F.col("one.bb") == F.col("two.bb"))
+    return one.alias("one").join(two.alias("two"), same & near).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
 
 
 def _leaders(open_: DataFrame, links: DataFrame, turn: int) -> DataFrame:
@@ -269,22 +314,43 @@ def _leaders(open_: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     return lead.select("tk", F.col("m.rep").alias("y"), F.col("m.n").alias("ny"), F.col("m.comp").alias("cy"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed = stash(map_rows(slim, _sign, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")
+def _judged(docs: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, text_key, n, h1, h2; each class's n, h1, h2, id and text_key of its first row, node (what it is linked with has the same) and component_id."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
+    signed = map_rows(slim, _sign(how), "doc_id long, text_key long, n long, h1 long, h2 long, keys array<long>")
+    signed = stash(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    # keys of a class are those of any member: fetched by the representative's id
-    keyed = usable.select("doc_id", "keys").join(classes.select("rep", "n"), F.col("doc_id") == F.col("rep")).select("rep", "n", "keys").dropDuplicates(["rep"])
-    label = _link(stash(keyed, "classes"), slim)
-    named = classes.join(label, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    # a class has the row number and the keys of its first row
+    firsts = usable.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("m")).select("n", "h1", "h2", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("id"), F.col("m.text_key").alias("text_key"))
+    classes = stash(firsts.join(usable.select(F.col("row").alias("rep"), "keys"), "rep"), "classes")
+    label = _link(how, classes, slim)
+    inside = classes.join(label, F.col("rep") == F.col("node")).select("n", "h1", "h2", "id", "text_key", "component")
+    least = inside.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("m")).select("component", F.col("m.id").alias("component_id"), F.col("m.text_key").alias("first_key"))
+    known = inside.join(least, "component").select("n", "h1", "h2", "component_id", "first_key")
+    return signed, classes.join(known, ["n", "h1", "h2"], "left").select("n", "h1", "h2", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("first_key", "text_key").alias("first_key"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, per_cent: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    signed, classes = _judged(docs, Settings(width, per_cent))
+    out = signed.select("doc_id", "n", "h1", "h2").join(classes.drop("first_key"), ["n", "h1", "h2"], "left")
+    comp = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are near duplicates of one with a smaller id; all columns stay."""
-    dropped = near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__id"], "left_anti")
+def keep_first_copies(docs: DataFrame, width: int = SHINGLE, per_cent: int = THRESHOLD) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id, with all columns of docs.
+
+    Rows without words or id all stay, as nothing is known to be like them. Of rows with equal id and text one stays.
+    """
+    signed, classes = _judged(docs, Settings(width, per_cent))
+    rows = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "text_key", "n", "h1", "h2")
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    dropped = rows.join(classes, ["n", "h1", "h2"]).filter(~first).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    on = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    kept = docs.join(dropped, on, "left_anti")
+    twice = stash(rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "twice")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(twice, on, "left_semi").withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return kept.join(twice, on, "left_anti").unionByName(one)
