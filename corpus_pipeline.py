@@ -8,14 +8,19 @@ from tracewell.llm import near_dup, packing, pii, quality
 from tracewell.session import read_table, scratch
 
 
+# What a stage does with nulls, empty and very long texts, ties, repeated rows and further columns is what its operator
+# states: null and empty texts fail the quality rules; null hosts are one host; null ids pass all stages; of equal rows
+# one stays; all columns are handed on, whatever their names. An empty table gives an empty one after each stage.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
     return quality.filter_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dup.keep_first_copies(docs)
+    """One document of each group of near duplicates: four fifths of the 5-word shingles in common."""
+    return near_dup.keep_first_copies(docs, width=5, per_cent=80)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
