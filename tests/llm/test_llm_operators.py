@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -321,6 +322,44 @@ def test_main_text(spark):
 # ---- 1
 
 
+def test_segmentations_against_all_of_a_lattice():
+    """Log-probabilities, their order and the first sample's frequencies, against every segmentation of a short text."""
+    v = segmentations.Vocabulary()
+    pieces = {v.bytes[k].decode(): k for k in range(len(v.bytes)) if np.isfinite(v.log_weight[k])}
+
+    def cuts(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            if text[:n] in pieces:
+                yield from ([pieces[text[:n]], *rest] for rest in cuts(text[n:]))
+
+    for text in ("the cat", "a  bc", "café au"):
+        # a unit is blanks and what follows, and no piece goes on over its end
+        every = [[]]
+        for unit in re.findall(" +[^ ]*", " " + text):
+            every = [x + y for x in every for y in cuts(unit)]
+        weight = {tuple(x): math.exp(sum(v.log_weight[x])) for x in every}
+        whole = sum(weight.values())
+        rows = segmentations.sample(v, list(range(4000)), [text] * 4000, 4)
+        assert all(abs(math.exp(x[1]) - weight[tuple(x[0].tolist())] / whole) < 1e-9 for r in rows for x in r)
+        assert all(len({tuple(x[0].tolist()) for x in r}) == min(4, len(every)) for r in rows)
+        first = collections.Counter(tuple(r[0][0].tolist()) for r in rows)
+        for ids, w in sorted(weight.items(), key=lambda x: -x[1])[:5]:
+            assert abs(first[ids] / 4000 - w / whole) < 5 * math.sqrt(w / whole / 4000)
+
+
+def test_segmentations_draw_afresh_for_each_key_and_place():
+    v = segmentations.Vocabulary()
+    get = lambda key, text: segmentations.sample(v, [key], [text], 1)[0][0]
+    long = "internationalisation" * 400  # one unit of many pieces
+    assert get(None, long)[0].tolist() != get(-1, long)[0].tolist() != get(0, long)[0].tolist()
+    ids = get(7, " ".join([long] * 2))[0].tolist()
+    half = len(ids) // 2
+    assert ids[1000:1500] != ids[half + 1000 : half + 1500]
+    assert v.spell(np.array(ids)).decode() == " " + " ".join([long] * 2)
+
+
 def test_segmentations(spark, docs):
     v = segmentations.Vocabulary()
     n = 6000
