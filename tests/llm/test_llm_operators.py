@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -319,6 +320,55 @@ def test_main_text(spark):
     assert main_text.main_text("<article>" + "<p>A sentence of some length here.</p>" * 3000).count("\n\n") == 2999
 
 
+def test_names_don_t_sink_articles():
+    text = lambda h: main_text.main_text(h).split("\n\n")
+    line = "Words that were written for this page."
+    for around in ('<article class="post tags-politics">%s</article>', '<body class="has-sidebar search"><article>%s</article></body>', '<div class="social-science"><article>%s</article></div>', '<form id="aspnetForm"><nav><a href=x>Home</a></nav><main>%s</main></form>'):
+        assert text(around % f"<p>{line}</p><p>x</p>") == [line, "x"]
+    assert text(f'<article><h1>T</h1><div class="related-work"><p>{line}</p><p>y</p></div></article>') == ["T", line, "y"]
+    assert text(f"<article><p>{line}</p></article><div id=comments><ol><li><article class='comment-body'><p>Great post, thanks for all of this!</p></article></ol></div>") == [line]
+    assert text(f"<article><p>{line}</p><div class='related-posts'><p>Another story that is here.</p></div><aside><p>Subscribe today, it is free.</p></aside><p>{line}</p></article>") == [line, line]
+    assert main_text.main_text("<article><h1>one</h1></article><footer>two</footer>") == "one"
+
+
+def test_the_cut_decides():
+    """Weak blocks go with those around them: labels differ from the classifier's own, and nothing changes for strong ones."""
+    page = "<body><div><a href=1>Home</a></div><div><h1>A title</h1><p>%s</p><p>Short</p><p>%s</p></div><ul><li><a href=1>Other one</a><li>Read this sentence now.<li><a href=2>Other two</a><li><a href=3>Three</a></ul>"
+    blocks = main_text.blocks_of(page % (("The first paragraph says something about the matter, at some length.",) * 2))
+    alone, cut = [x > 0 for x in main_text.scores(blocks)], main_text.label(blocks)
+    by = {b.text: (a, c) for b, a, c in zip(blocks, alone, cut)}
+    assert by["Short"] == (False, True) and by["Read this sentence now."] == (True, False) and by["A title"][1] and not by["Home"][1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_labels_of_given_pages():
+    """Some labels are the cut's own, all of an article and nothing else is kept, and no other cut of a short page costs less."""
+    import pyarrow.parquet as pq
+
+    differ = short = 0
+    for page in pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist():
+        blocks = main_text.blocks_of(page or "")
+        if not blocks:
+            continue
+        scores, cut, edges = main_text.scores(blocks), main_text.label(blocks), main_text.smoothness(blocks)
+        differ += sum((x > 0) != c for x, c in zip(scores, cut))
+        assert cut == [b.node.article is not None for b in blocks]
+        if len(blocks) <= 11 and short < 20:
+            short += 1
+            cost = sum(max(s, 0) if not k else max(-s, 0) for s, k in zip(scores, cut)) + sum(c for a, b, c in edges if cut[a] != cut[b])
+            assert cost == pytest.approx(brute_cut(scores, edges))
+    assert differ > 0 and short > 0
+
+
+def test_min_cut_is_quick_on_long_pages():
+    import time
+
+    page = "<div>" + "".join(f"<p>{'A sentence that is long enough to count.' if k % 7 < 4 else '<a href=x>short</a>'}" for k in range(30000))
+    blocks = main_text.blocks_of(page)
+    start = time.time()
+    assert len(main_text.label(blocks)) == 30000 and time.time() - start < 30
+
+
 # ---- 1
 
 
