@@ -14,6 +14,7 @@ from llm_brute import brute_components, brute_cut, brute_spans, brute_stats, bru
 from pyspark.sql import functions as F
 
 from tracewell.llm import flat_files, main_text, near_dup, neighbours, packing, pii, quality, segmentations, sharding, warc
+from tracewell.session import read_table
 
 DOCS = "doc_id long, text string, source string, kept string, component_id long"
 
@@ -61,11 +62,37 @@ def test_quality_rows(docs):
     assert quality.filter_quality(docs).columns == docs.columns
 
 
-def test_hosts_shrink(spark):
+def test_hosts_decide(spark):
+    """One soft failure goes on a host that isn't better than the corpus, and stays on one that is; clean documents stay everywhere."""
     good, bad = words(50, 5, 5000), "# # # # # " + words(20, 6, 5000)
-    rows = [(k, bad if k < 40 else good, "bad") for k in range(50)] + [(100 + k, good, "good") for k in range(200)] + [(400, bad, "good")]
+    rows = [(k, bad if k < 40 else good, "bad") for k in range(50)] + [(100 + k, good, "good") for k in range(200)] + [(400, bad, "good"), (500, good, None), (501, None, None)]
     got = {r.doc_id: r.kept for r in quality.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not got[0] and got[45] and got[100] and got[400]  # a clean document of a bad host stays; one failure in a good host, too
+    assert not got[0] and got[45] and got[100] and got[400] and got[500] and not got[501]
+    alone = {r.doc_id: r.kept for r in quality.host_quality(spark.createDataFrame([(1, bad, "a"), (2, good, "a")], "doc_id long, text string, source string")).collect()}
+    assert alone == {1: False, 2: True}  # a single host can't be better than the corpus
+
+
+def brute_verdicts(rows):
+    """kept of each row, by loops over hosts. rows: host, base_failed, n_soft."""
+    hosts = collections.defaultdict(list)
+    for host, base, soft in rows:
+        hosts[host].append(base or soft > 0)
+    mean = sum(map(sum, hosts.values())) / len(rows)
+    spread = sum(len(h) * (sum(h) / len(h) - mean) ** 2 for h in hosts.values()) / len(rows)
+    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1000.0) if spread > 1e-12 else 1000.0
+    trusted = {}
+    for host, h in hosts.items():
+        rate = (sum(h) + mean * weight) / (len(h) + weight)
+        trusted[host] = rate + quality.TRUST * math.sqrt(rate * (1 - rate) / (len(h) + weight + 1)) < mean
+    return [not base and soft < 2 and (soft == 0 or trusted[host]) for host, base, soft in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_hosts_decide_on_given_documents(spark):
+    rows = quality.judge(read_table(spark, "/root/testdata/sf0.01", "documents").withColumnRenamed("source", "host"), host_col="host").collect()
+    assert [r.kept for r in rows] == brute_verdicts([(r.host, r.base_failed, r.n_soft) for r in rows])
+    near = [r for r in rows if not r.base_failed and r.n_soft == 1]
+    assert {r.kept for r in near} == {True, False}  # verdicts of hosts go both ways
 
 
 # ---- 5

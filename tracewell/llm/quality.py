@@ -2,16 +2,17 @@
 
 Every document is measured by text rules. Failures of the rules are added up by host, each host's rate is shrunk
 towards the whole corpus by a beta prior whose two parameters are fitted to the hosts (method of moments), and the
-host's verdict goes back to its documents.
+host's verdict goes back to its documents. A host is trusted if it fails less than the corpus does, with odds of three to
+one by its beta posterior: shrunk rate plus TRUST standard deviations lies under the prior's mean.
 
 * A document that fails a base rule is rejected: fewer than MIN_WORDS words, or more than a fifth of its words in
   repeated 5-word windows.
-* A document that fails SOFT_LIMIT or more of the soft rules is rejected anywhere; one that fails any of them is
-  rejected if its host is bad (shrunk failure rate over HOST_LIMIT).
+* A document that fails SOFT_LIMIT or more of the soft rules is rejected anywhere; one that fails fewer is kept only
+  where its host is trusted.
 * A document that fails no rule is kept, whatever its host.
 
-Null text counts as a text without words; a null host is a host of its own; rows with equal ids are judged by
-themselves; an empty table gives an empty result; further columns of the input don't matter.
+Null text counts as a text without words; whole texts are read, however long; a null host is a host of its own; rows
+with equal ids are judged by themselves; an empty table gives an empty result; further columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SYMBOL_SHARE = 10  # symbols for each 100 words
 DUP_LINE_LIMIT = 3
 MEAN_WORD = (2, 16)
 SOFT_LIMIT = 2
-HOST_LIMIT = 0.5
+TRUST = 0.67  # standard deviations: three to one
 PRIOR_WEIGHT = (1.0, 1000.0)
 WINDOW = 5
 
@@ -84,7 +85,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, docs, failed, rate: failure rates shrunk by a beta prior fitted to the hosts."""
+    """host, docs, failed, rate, trusted: failure rates shrunk by a beta prior fitted to the hosts, and the verdict on them."""
     failed = (F.col("base_failed") | (F.col("n_soft") > 0)).cast("long")
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(failed).alias("failed"))
     rate = F.col("failed") / F.col("docs")
@@ -95,15 +96,16 @@ def host_rates(measured: DataFrame) -> DataFrame:
     spread = max(rf / d - mean * mean, 0.0) if d else 0.0  # variance of the hosts' rates, weighted by documents
     lo, hi = PRIOR_WEIGHT
     weight = min(max(mean * (1 - mean) / spread - 1, lo), hi) if spread > 1e-12 else hi
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight)))
+    shrunk = hosts.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight)))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("docs") + F.lit(weight) + 1))
+    return shrunk.withColumn("trusted", F.col("rate") + F.lit(TRUST) * spread < F.lit(mean))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row for each document: doc_id, text_key, counts, base_failed, n_soft, host_rate, kept."""
+    """One row for each document: doc_id, text_key, counts, base_failed, n_soft, host_rate, host_trusted, kept."""
     measured = stash(measure(docs, id_col, text_col, host_col), "quality")
-    hosts = host_rates(measured).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"))
-    bad = F.col("host_rate") > HOST_LIMIT
-    kept = ~F.col("base_failed") & (F.col("n_soft") < SOFT_LIMIT) & ~((F.col("n_soft") > 0) & bad)
+    hosts = host_rates(measured).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), F.col("trusted").alias("host_trusted"))
+    kept = ~F.col("base_failed") & (F.col("n_soft") < SOFT_LIMIT) & ((F.col("n_soft") == 0) | F.col("host_trusted"))
     return measured.join(hosts, measured["host"].eqNullSafe(hosts["h"]), "left").drop("h").withColumn("kept", kept)
 
 
@@ -143,8 +145,9 @@ flagged AS (
 hosts AS (SELECT source, count(*) AS docs, sum((base_failed OR n_soft > 0)::INT)::BIGINT AS failed FROM flagged GROUP BY source),
 total AS (SELECT sum(failed) / sum(docs) AS mean, sum(failed * failed / docs) / sum(docs) - power(sum(failed) / sum(docs), 2) AS spread FROM hosts),
 prior AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) ELSE {PRIOR_WEIGHT[1]} END AS weight FROM total),
-rates AS (SELECT source, (failed + mean * weight) / (docs + weight) > {HOST_LIMIT} AS bad FROM hosts, prior)
+shrunk AS (SELECT source, docs, mean, weight, (failed + mean * weight) / (docs + weight) AS rate FROM hosts, prior),
+rates AS (SELECT source, rate + {TRUST} * sqrt(rate * (1 - rate) / (docs + weight + 1)) < mean AS trusted FROM shrunk)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words, base_failed, NOT base_failed AND n_soft < {SOFT_LIMIT} AND NOT (n_soft > 0 AND bad) AS kept
+       n_repeat_words, base_failed, NOT base_failed AND n_soft < {SOFT_LIMIT} AND (n_soft = 0 OR trusted) AS kept
 FROM flagged JOIN rates ON flagged.source IS NOT DISTINCT FROM rates.source
 """
