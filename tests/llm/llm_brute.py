@@ -59,20 +59,24 @@ def brute_spans(t):
 
 
 def brute_terms(rows):
-    """Term spans of each text by the definition: a loop over all entities and words."""
+    """Term spans of each text by the definition, as (start, end, removed): a loop over all entities and words."""
     n, docs = len(rows), [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for _, t in rows]
+    docs = [d | {w[: pii.STEM] + "*" for w in d} for d in docs]
     held = [{(k, t[a:b].lower()) for a, k, b in brute_spans(t)} if t else set() for _, t in rows]
     out = {}
     for (i, t), mine in zip(rows, held):
         spans = brute_spans(t) if mine else []
-        words_ = [m for m in re.finditer(r"[^\W\d_]{3,}", t or "") if all(b <= m.start() or a >= m.end() for a, _, b in spans)]
-        best = {}
-        for e in mine:
-            ne = sum(e in h for h in held)
-            for w in {m[0].lower() for m in words_}:
-                nt, nte = sum(w in d for d in docs), sum(w in d and e in h for d, h in zip(docs, held))
-                best[w] = max(best.get(w, 0), math.log2(n * nte / (nt * ne)) / math.log2(n / ne) if ne < n else 0)
-        out[i] = {(m.start(), m.end()) for m in words_ if best.get(m[0].lower(), 0) >= pii.GENERALISE}
+        places = [m for m in re.finditer(r"[^\W\d_]{3,}", t or "") if all(b <= m.start() or a >= m.end() for a, _, b in spans)]
+
+        def discloses(w, mine=mine):
+            best = 0
+            for e in mine:
+                ne, nt, nte = sum(e in h for h in held), sum(w in d for d in docs), sum(w in d and e in h for d, h in zip(docs, held))
+                best = max(best, math.log2(n * nte / (nt * ne)) / math.log2(n / ne) if ne < n else 0)
+            return best >= pii.DISCLOSES
+
+        told = [m for m in places if discloses(m[0].lower())]
+        out[i] = {(m.start(), m.end(), len(m[0]) <= pii.STEM or discloses(m[0].lower()[: pii.STEM] + "*")) for m in told}
     return out
 
 

@@ -190,10 +190,24 @@ def test_terms_of_one_text_and_far_away(spark):
     rows += [(2, "Quimby called from 10.1.2.3 and 10.1.2.4 again and again; Quimby lives here"), (3, "Shared 10.9.9.9 Alpha beacon"), (4, "Shared 10.9.9.9 Gamma beacon"), (5, None), (6, "")]
     rows += [(k, f"common words here again and from now {['lives', 'Gamma', 'called'][k % 3]}") for k in range(10, 60)]
     got = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")} for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_terms(rows)
+    want = brute_terms(rows)
+    assert got == {i: {(a, b) for a, b, _ in x} for i, x in want.items()}
+    assert {r.doc_id: {tuple(x) for x in r.terms} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
     assert (0, 8) in got[0] and got[0] == got[1] and {(0, 6), (rows[2][1].rindex("Quimby"), rows[2][1].rindex("Quimby") + 6)} <= got[2]
     text = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "Zorblatt" not in text[0] and "Quimby" not in text[2] and "common words here" in text[0]
+    more = [(k, f"Zorblatt reach zed@corp.example {k}" if k < 2 else f"Zorbus {k}" if k < 30 else "nothing of that") for k in range(60)]
+    assert {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(more, "doc_id long, text string")).collect()}[0] == "Zorb*  <EMAIL> 0"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_terms_of_given_documents(spark):
+    """The method finds terms in given documents, and those that the definition names."""
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: {tuple(x) for x in r.terms} for r in pii.find(docs).collect()}
+    assert got == brute_terms(rows) and any(got.values())
+    assert {c for x in got.values() for _, _, c in x} == {True, False}  # some are generalised, some removed
 
 
 # ---- 8, 9

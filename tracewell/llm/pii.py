@@ -3,16 +3,18 @@
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, found by pattern. Each value is a
 protected entity e. For each term t (a word of three letters or more) in a document with an entity, corpus counts say
 how strongly it reveals the entity: PMI(t; e) = log2(P(t, e) / (P(t) P(e))), against IC(e) = -log2 P(e), what there is
-to reveal. P(t) and P(t, e) are over whole documents, all of them; copies count each. A term with PMI >= GENERALISE * IC
-is generalised; from REMOVE * IC on it is removed. A ratio of 1 means that whoever reads the term can tell the entity.
-Terms are touched wherever they stand in a document that holds the entity that they reveal, so a document without base
-spans stays as it is.
+to reveal. P(t) and P(t, e) are over whole documents, all of them; copies count each. A term with PMI >= DISCLOSES * IC
+discloses; a ratio of 1 means that whoever reads the term can tell the entity. Such a term is generalised to its stem,
+its first STEM letters, which stands for all terms that begin so: `Zorblatt` becomes `Zorb*`. The stem is held to the
+same measure, by the documents that have any term with it; where it still discloses, or the term is no longer than a
+stem, the term is removed. Terms are touched wherever they stand in a document that holds the entity that they reveal,
+so a document without base spans stays as it is.
 
 Entities found in the same texts have the same counts with every term. They are counted as one class, so the many
-values of a long list cost no more than one. As P(t, e) <= P(e), a term in more than N^(1 - GENERALISE) *
-n(e)^GENERALISE documents can't reach the limit; such terms leave before pairs are made.
+values of a long list cost no more than one. As P(t, e) <= P(e), a term in more than N^(1 - DISCLOSES) *
+n(e)^DISCLOSES documents can't reach the limit; such terms leave before pairs are made.
 
-Null text counts as empty and stays null when sanitised. Rows of equal id and text get the same spans; a null id is
+Null text counts as empty and stays null when sanitised; very long texts are read whole. Rows of equal id and text get the same spans; a null id is
 allowed; empty tables give empty results; further columns don't matter (and pass through sanitise()).
 """
 
@@ -30,7 +32,7 @@ from tracewell.llm.arrow import map_rows
 from tracewell.session import ship_package, stash
 
 KINDS = ("email", "ip", "card", "phone", "term")
-GENERALISE, REMOVE = 0.9, 0.98
+DISCLOSES, STEM = 0.9, 4
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -94,6 +96,11 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _digits(value)}"
 
 
+def stem(term: str) -> str:
+    """The generalised form of a lower-case term; no term ends in a star."""
+    return term[:STEM] + "*"
+
+
 def free_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
     """Places (start, end) of each term, by term; none inside of spans."""
     out: dict[str, list[tuple[int, int]]] = {}
@@ -119,16 +126,18 @@ def _scan(cols: dict, _state: dict) -> dict:
         out["base"].append([{"a": a, "k": k, "b": b} for a, k, b in spans])
         out["entities"].append(sorted({_entity(k, text[a:b]) for a, k, b in spans}))
         places = free_terms(text, spans) if spans else {}
-        out["places"].append([{"t": t, "at": [{"a": a, "b": b} for a, b in at]} for t, at in places.items()])
+        stems = {stem(t): [] for t in places}
+        out["places"].append([{"t": t, "at": [{"a": a, "b": b} for a, b in at]} for t, at in (places | stems).items()])
     return out
 
 
 def _document_terms(cols: dict, _state: dict) -> dict:
-    """Documents that hold each term, for the texts of one slice: a partial sum."""
+    """Documents that hold each term and each stem, for the texts of one slice: a partial sum."""
     seen: dict[str, int] = {}
     for text in cols["text"]:
         if text:
-            for t in {x.lower() for x in set(_TERM.findall(text))}:
+            terms = {x.lower() for x in set(_TERM.findall(text))}
+            for t in terms | set(map(stem, terms)):
                 seen[t] = seen.get(t, 0) + 1
     return {"t": list(seen), "c": list(seen.values())}
 
@@ -148,9 +157,9 @@ def entity_classes(held: DataFrame) -> DataFrame:
 
 
 def disclosing(texts: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
-    """text_key, t, at, ratio of the terms that reveal an entity of their text. texts: text_key, copies, entities, places, one row each; terms: t, c."""
+    """text_key, t, at, ratio of the terms (and stems) that reveal an entity of their text. texts: text_key, copies, entities, places, one row each; terms: t, c."""
     n = F.lit(float(max(documents, 1)))
-    most = F.pow(n, F.lit(1 - GENERALISE)) * F.pow("ne", F.lit(GENERALISE)) * (1 + 1e-9)
+    most = F.pow(n, F.lit(1 - DISCLOSES)) * F.pow("ne", F.lit(DISCLOSES)) * (1 + 1e-9)
     classes = stash(entity_classes(texts.select("text_key", "copies", "entities")), "classes")
     df = terms.groupBy("t").agg(F.sum("c").alias("nt"))
     top = classes.groupBy("text_key").agg(F.max(most).alias("top"))
@@ -159,7 +168,7 @@ def disclosing(texts: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
     pairs = rare.select("text_key", "t", "copies", "nt").join(classes, "text_key").filter(F.col("nt") <= most)
     joint = pairs.groupBy("t", "class").agg(F.sum("copies").alias("nte"), F.first("nt").alias("nt"), F.first("ne").alias("ne"))
     pmi = F.log2(n * F.col("nte") / (F.col("nt") * F.col("ne")))
-    found = joint.withColumn("ratio", F.when(F.col("ne") < n, pmi / F.log2(n / F.col("ne"))).otherwise(F.lit(0.0))).filter(F.col("ratio") >= GENERALISE)
+    found = joint.withColumn("ratio", F.when(F.col("ne") < n, pmi / F.log2(n / F.col("ne"))).otherwise(F.lit(0.0))).filter(F.col("ratio") >= DISCLOSES)
     strong = pairs.select("text_key", "t", "class").join(found.select("t", "class", "ratio"), ["t", "class"]).groupBy("text_key", "t").agg(F.max("ratio").alias("ratio"))
     return rare.select("text_key", "t", "at").join(strong, ["text_key", "t"])
 
@@ -170,8 +179,11 @@ def find(docs: DataFrame) -> DataFrame:
     scan = stash(map_rows(slim, _scan, SCAN), "pii")
     texts = scan.filter(F.size("entities") > 0).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("places").alias("places"))
     terms = map_rows(slim.select("text"), _document_terms, "t string, c long")
-    found = disclosing(texts, terms, scan.count()).select("text_key", "ratio", F.explode("at").alias("x"))
-    cut = found.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.a", "x.b", (F.col("ratio") >= REMOVE).alias("cut")))).alias("terms"))
+    found = stash(disclosing(texts, terms, scan.count()).select("text_key", "t", "at"), "disclosing")
+    stems = found.filter(F.col("t").endswith("*")).select("text_key", F.col("t").alias("stem"), F.lit(True).alias("told"))
+    each = found.filter(~F.col("t").endswith("*")).withColumn("stem", F.concat(F.substring("t", 1, STEM), F.lit("*"))).join(stems, ["text_key", "stem"], "left")
+    each = each.select("text_key", (F.coalesce("told", F.lit(False)) | (F.length("t") <= STEM)).alias("cut"), F.explode("at").alias("x"))
+    cut = each.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.a", "x.b", "cut"))).alias("terms"))
     joined = scan.drop("entities", "places").join(cut, "text_key", "left").select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms")
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<a: int, b: int, cut: boolean>>")))
 
@@ -185,8 +197,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, terms: list[tuple[int, int, bool]]) -> str:
-    """Base spans become <KIND>, generalised terms <TERM>; removed terms go. Overlapping spans become one, named by the first."""
-    spans = sorted([(a, b, f"<{KINDS[k].upper()}>") for a, k, b in base_spans(text)] + [(a, b, "" if cut else "<TERM>") for a, b, cut in terms])
+    """Base spans become <KIND>, generalised terms their stem and a star; removed terms go. Overlapping spans become one, named by the first."""
+    spans = sorted([(a, b, f"<{KINDS[k].upper()}>") for a, k, b in base_spans(text)] + [(a, b, "" if cut else text[a : a + STEM] + "*") for a, b, cut in terms])
     out, at = [], 0
     for a, b, name in spans:
         if a >= at:
