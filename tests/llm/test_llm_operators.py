@@ -313,6 +313,23 @@ def test_neighbours(spark):
     assert len(few) == 2
 
 
+def test_neighbours_ties_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(16)
+    rows = [(k, (x * (1 + 0.37 * k)).tolist()) for k in range(100)]  # multiples: all as near
+    rows += [(1000 + k, rng.standard_normal(8).tolist()) for k in range(40)]  # of another length
+    rows += [(1010, rng.standard_normal(8).tolist()), (2000, [1.0, 2.0]), (2001, [])]
+    got = collections.defaultdict(list)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert [v for _, v, _ in sorted(got[0])] == [1, 2, 3, 4, 5] and [v for _, v, _ in sorted(got[50])] == [0, 1, 2, 3, 4]
+    short = [(i, np.array(v)) for i, v in rows if len(v) == 8]
+    q = short[0][1]
+    want = sorted(((-round(float(v @ q / np.linalg.norm(v) / np.linalg.norm(q)), 12), i) for i, v in short[1:]))[:5]
+    assert [(i, pytest.approx(-s)) for s, i in want] == [(v, s) for _, v, s in sorted(got[1000])]
+    assert sorted(got) == [0, 50, 1000]  # a vector without another of its length has no neighbours
+
+
 # ---- 7
 
 

@@ -4,15 +4,17 @@ Vectors are brought to length 1, so that Euclidean nearness is cosine nearness.
 by FUNCTIONS Gaussian (2-stable) projections, cut into cells of WIDTH. A query visits its own bucket and PROBES - 1
 perturbed ones in order of estimated success: the sum of squared distances to the cell borders that a perturbation
 crosses. Candidates of all tables are merged and ranked by their exact cosine on the original vectors in double
-precision.
+precision. Cosines that agree to 2 ** -GRID (1e-12) are ties, as multiples of a vector differ by rounding only; they go
+to the smaller id.
 
 Equal vectors are one class that keeps its KEEP smallest ids, more than a result can need, so a vector that fills a
 third of the table costs one row. Buckets are split so that a task sees BLOCK indexed vectors and QUERY_BLOCK queries
 at most at once; each block gives its best classes for each query. A query for which too few classes were found goes
 through all rows in blocks.
 
-Vectors that are null, zero, of another than the usual length or that hold null or non-finite components take no
-part, nor do null ids. Rows of equal id and vector are one. Empty tables give empty results. The parameters were
+Vectors that are null, empty, zero or that hold null or non-finite components take no part, nor do null ids. Vectors of
+different lengths have no cosine: each length is searched by itself. Rows of equal id and vector are one; equal ids with
+different vectors are rows of their own. Empty tables give empty results; further columns don't matter. The parameters were
 fitted on 10,256 vectors of nearly uncorrelated test data, the hardest case for hashing; see the README for recall.
 """
 
@@ -35,6 +37,7 @@ TABLES, FUNCTIONS, WIDTH, PROBES = 8, 8, 2.2, 70
 SEED = 20240607
 BLOCK, QUERY_BLOCK = 8_000, 2_000
 KEEP = NEAREST + 1
+GRID = 40
 
 
 class Hashes:
@@ -86,60 +89,74 @@ def _hashes(size: int) -> Hashes:
     return _HASHES[size]
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _by_length(cols: dict):
+    """(class ids, vectors as bytes, vectors) of each length in a batch."""
+    groups: dict[int, list[int]] = {}
+    for k, v in enumerate(cols["vec"]):
+        groups.setdefault(len(v), []).append(k)
+    for rows in groups.values():
+        data = [cols["vec"][k] for k in rows]
+        yield [cols["cid"][k] for k in rows], data, np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+
+
 def _index(cols: dict, _state: dict) -> dict:
-    x = _unit(cols["vec"])
-    h = _hashes(x.shape[1])
-    cells, _ = h.places(x)
-    out: dict = {"tk": [], "cid": [], "vec": []}
-    data = [np.array(v, np.float64).tobytes() for v in cols["vec"]]
-    for t in range(TABLES):
-        out["tk"] += h.keys(t, cells[t]).tolist()
-        out["cid"] += cols["cid"]
-        out["vec"] += data
+    out: dict = {"tk": [], "cid": [], "first": [], "vec": []}
+    first = dict(zip(cols["cid"], cols["first"]))
+    for ids, data, x in _by_length(cols):
+        h = _hashes(x.shape[1])
+        cells, _ = h.places(_unit(x))
+        for t in range(TABLES):
+            out["tk"] += h.keys(t, cells[t]).tolist()
+            out["cid"] += ids
+            out["first"] += [first[c] for c in ids]
+            out["vec"] += data
     return out
 
 
 def _probe(cols: dict, _state: dict) -> dict:
-    x = _unit(cols["vec"])
-    h = _hashes(x.shape[1])
-    cells, low = h.places(x)
     out: dict = {"tk": [], "cid": [], "vec": []}
-    for k, (cid, vec) in enumerate(zip(cols["cid"], cols["vec"])):
-        data = np.array(vec, np.float64).tobytes()
-        for t in range(TABLES):
-            order = probe_order(low[t, k])
-            moved = np.repeat(cells[t, k][None], len(order), axis=0)
-            for row, chosen in zip(moved, order):
-                for f, by in chosen:
-                    row[f] += by
-            keys = np.unique(h.keys(t, moved)).tolist()
-            out["tk"] += keys
-            out["cid"] += [cid] * len(keys)
-            out["vec"] += [data] * len(keys)
+    for ids, data, x in _by_length(cols):
+        h = _hashes(x.shape[1])
+        cells, low = h.places(_unit(x))
+        for k, cid in enumerate(ids):
+            for t in range(TABLES):
+                order = probe_order(low[t, k])
+                moved = np.repeat(cells[t, k][None], len(order), axis=0)
+                for row, chosen in zip(moved, order):
+                    for f, by in chosen:
+                        row[f] += by
+                keys = np.unique(h.keys(t, moved)).tolist()
+                out["tk"] += keys
+                out["cid"] += [cid] * len(keys)
+                out["vec"] += [data[k]] * len(keys)
     return out
 
 
+FOUND = "q long, c long, grid long, score double"
+
+
 def _rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The KEEP nearest classes of a block for each query of a block, by exact cosine."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
-    x, q = (np.frombuffer(b"".join(p["vec"]), np.float64).reshape(len(p), -1) for p in (left, right))
-    x, q = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, q))
-    score = (q @ x.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
-    ids = left["cid"].to_numpy()
-    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :KEEP] if len(ids) <= 4 * KEEP else None
-    if order is None:
-        part = np.argpartition(-score, 3 * KEEP, axis=1)[:, : 3 * KEEP]
-        part = np.take_along_axis(part, np.lexsort((ids[part], -np.take_along_axis(score, part, 1)), axis=1), 1)
-        order = part[:, :KEEP]
-    rows = np.repeat(np.arange(len(q)), order.shape[1])
-    return pd.DataFrame({"q": right["cid"].to_numpy()[rows], "c": ids[order.ravel()], "score": score[rows, order.ravel()]})
+    """The KEEP nearest classes of a block for each query of a block, by exact cosine, ties to the smaller id."""
+    out = []
+    left, right = (p.assign(size=p["vec"].str.len()) for p in (left, right))
+    for size in sorted(set(left["size"]) & set(right["size"])):  # one, but for keys of two lengths that meet by chance
+        mine, theirs = left[left["size"] == size].sort_values(["first", "cid"]), right[right["size"] == size]
+        x, q = (np.frombuffer(b"".join(p["vec"]), np.float64).reshape(len(p), -1) for p in (mine, theirs))
+        x, q = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, q))
+        score = (q @ x.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
+        ids, n = mine["cid"].to_numpy(), len(mine)
+        # one number for score and place, so that a partition knows ties
+        order = np.rint(score * 2.0**GRID).astype(np.int64) * (1 << 20) + (n - np.arange(n))
+        best = np.argpartition(-order, KEEP, axis=1)[:, :KEEP] if n > KEEP else np.broadcast_to(np.arange(n), score.shape)
+        rows = np.repeat(np.arange(len(q)), best.shape[1])
+        at = (rows, best.ravel())
+        out.append(pd.DataFrame({"q": theirs["cid"].to_numpy()[rows], "c": ids[at[1]], "grid": order[at] >> 20, "score": score[at]}))
+    return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "grid": [], "score": []}).astype({"q": "int64", "c": "int64", "grid": "int64", "score": "float64"})
 
 
 def _search(index: DataFrame, probes: DataFrame) -> DataFrame:
@@ -148,11 +165,11 @@ def _search(index: DataFrame, probes: DataFrame) -> DataFrame:
     m = probes.groupBy("tk").agg(F.count(F.lit(1)).alias("nq"))
     size = stash(n.join(m, "tk").select("tk", F.ceil(F.col("nx") / BLOCK).cast("int").alias("bx"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("bq")), "blocks")
     deal = lambda salt, blocks: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(blocks)).cast("int")
-    left = index.join(size, "tk").withColumn("sx", deal(1, "bx")).withColumn("sq", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).select("tk", "sx", "sq", "cid", "vec")
+    left = index.join(size, "tk").withColumn("sx", deal(1, "bx")).withColumn("sq", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).select("tk", "sx", "sq", "cid", "first", "vec")
     right = probes.join(size, "tk").withColumn("sq", deal(2, "bq")).withColumn("sx", F.explode(F.sequence(F.lit(0), F.col("bx") - 1))).select("tk", "sx", "sq", "cid", "vec")
     keys = ["tk", "sx", "sq"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _rank(a, b), "q long, c long, score double")
-    return found.groupBy("q", "c").agg(F.max("score").alias("score"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _rank(a, b), FOUND)
+    return found.groupBy("q", "c").agg(F.max("grid").alias("grid"), F.max("score").alias("score"))
 
 
 def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
@@ -161,18 +178,18 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     doubles = F.transform("embedding", lambda v: v.cast("double"))
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("vec")).filter("vec_id IS NOT NULL AND size(vec) > 0")
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
-    slim = slim.filter(fine)
-    usual = slim.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    slim = slim.filter(F.size("vec") == (usual["d"] if usual else 0)).withColumn("vec", F.transform("vec", lambda v: v + 0.0))
+    slim = slim.filter(fine).withColumn("vec", F.transform("vec", lambda v: v + 0.0))
     slim = slim.withColumns({"h1": F.xxhash64(F.lit(1), "vec"), "h2": F.xxhash64(F.lit(2), "vec")})
     rows = stash(slim.select("vec_id", "h1", "h2").distinct(), "vectors")
-    # the smallest ids of each class; the first names the class
+    # the smallest ids of each class; a class is named by a number of its own, as ids may repeat with other vectors
     ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("k") <= KEEP)
-    classes = stash(ranked.groupBy("h1", "h2").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
-    vecs = stash(slim.join(classes.select(F.col("cid").alias("vec_id"), "h1", "h2"), ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("cid"), "vec"), "class-vectors")
+    classes = ranked.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    named = classes.select(F.col("first").alias("vec_id"), "h1", "h2", "cid")
+    vecs = stash(map_rows(slim.join(named, ["vec_id", "h1", "h2"]).dropDuplicates(["cid"]).select("cid", F.col("vec_id").alias("first"), "vec"), _as_binary, "cid long, first long, vec binary"), "class-vectors")
     queries = rows.filter(F.col("vec_id") % every == 0).join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("vec_id", "cid")
-    asked = stash(vecs.join(queries.select("cid").distinct(), "cid", "left_semi"), "asked")
-    index = stash(map_rows(vecs, _index, "tk long, cid long, vec binary"), "index")
+    asked = stash(vecs.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "vec"), "asked")
+    index = stash(map_rows(vecs, _index, "tk long, cid long, first long, vec binary"), "index")
     probes = stash(map_rows(asked, _probe, "tk long, cid long, vec binary"), "probes")
     found = stash(_search(index, probes), "found")
     enough = found.groupBy("q").count().filter(F.col("count") >= KEEP).select(F.col("q").alias("cid"))
@@ -180,17 +197,19 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     if not few.isEmpty():
         # an exact way: these queries against all rows, in blocks
         blocks = max(1, -(-vecs.count() // BLOCK))
-        left = map_rows(vecs, _as_binary, "cid long, vec binary").withColumn("tk", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
-        right = map_rows(few.select("cid", "vec"), _as_binary, "cid long, vec binary").withColumn("tk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        found = found.unionByName(_search(left, right)).groupBy("q", "c").agg(F.max("score").alias("score"))
-    best = found.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("k") <= KEEP).drop("k")
-    near = best.join(classes.select(F.col("cid").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("near_id"))
+        left = vecs.withColumn("tk", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
+        right = few.withColumn("tk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = found.unionByName(_search(left, right)).groupBy("q", "c").agg(F.max("grid").alias("grid"), F.max("score").alias("score"))
+    # ties between classes go by their smallest ids, so KEEP classes hold all that a result can need
+    first = found.join(classes.select(F.col("cid").alias("c"), "ids"), "c")
+    best = first.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("grid"), F.col("ids")[0]))).filter(F.col("k") <= KEEP).drop("k")
+    near = best.select("q", "grid", "score", F.explode("ids").alias("near_id"))
     # a class gives KEEP ids at most, so KEEP ** 2 rows stand behind a query class
-    near = near.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "near_id"))).filter(F.col("k") <= KEEP)
+    near = near.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("grid"), "near_id"))).filter(F.col("k") <= KEEP)
     each = queries.join(near, queries["cid"] == near["q"]).filter("vec_id != near_id")
-    out = each.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("score"), "near_id"))).filter(F.col("rank") <= NEAREST)
+    out = each.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("grid"), "near_id"))).filter(F.col("rank") <= NEAREST)
     return out.select(F.col("vec_id").alias("query_id"), "rank", F.col("near_id").alias("vec_id"), "score")
 
 
 def _as_binary(cols: dict, _state: dict) -> dict:
-    return {"cid": cols["cid"], "vec": [np.array(v, np.float64).tobytes() for v in cols["vec"]]}
+    return {"cid": cols["cid"], "first": cols["first"], "vec": [np.array(v, np.float64).tobytes() for v in cols["vec"]]}
