@@ -346,12 +346,25 @@ def test_warc(spark):
         revisit = h == big and i != 1
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", 1 if revisit else None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, warc.archive_pages(spark, df).collect()), key=str) == sorted(want, key=str)
     look = warc.Lookup(directory)
     assert [r["page_id"] for r in look.find("http://b.example/p?q")] == [3, 3, 4]
     assert look.find("http://b.example/p?q")[2]["payload"] == b"short" and look.find("http://nowhere.example/") == []
     assert warc.url_key("https://www.a.example:8080/x?y#z") == "example,a,www:8080)/x?y"
 
 
+def test_lookups_over_many_blocks(spark, monkeypatch):
+    """Every capture is found by key and id, also where one key fills several blocks and archives; clashing columns don't matter."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(k, "http://hot.example/" if k % 3 else f"http://h{k % 11}.example/{k}", f"page {k}", "x", 1) for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, url_key string, first_id int")
+    archives = warc.write_archives(df.repartition(5), __import__("tracewell.session", fromlist=["scratch"]).scratch(spark, "t"))
+    asked = spark.createDataFrame([(warc.url_key(u), i) for i, u, *_ in rows] + [("no such)/", 1), (warc.url_key("http://hot.example/"), 10**9)], "url_key string, page_id long")
+    assert sorted((r.page_id, r.url) for r in warc.look_up(asked, archives).collect()) == sorted((i, u) for i, u, *_ in rows)
+    look = warc.Lookup(archives)
+    assert [r["page_id"] for r in look.find("http://hot.example/")] == [i for i, u, *_ in rows if "hot" in u]
+
+
 # ---- 2
 
 

@@ -1,17 +1,19 @@
 """Operator 7: WARC archives with a two-level capture index.
 
 Captures are range-partitioned and sorted by reversed-host URL key. Each task writes one archive (WARC/1.1, each
-record a gzip member of its own) and, beside it, the index lines of its captures in compressed blocks of BLOCK_LINES.
-A sparse directory has a row for each block: its first and last key and where it lies. A look-up binary-searches the
-directory, range-reads one block, binary-searches its lines and range-reads the records. Reading everything back goes
-the same way, a task per run of blocks; as archives are in key order, a block's records lie next to each other.
+record a gzip member of its own) and, beside it, the index lines of its captures in compressed blocks of BLOCK_LINES,
+and a sparse directory with a line for each block: its first and last capture and where it lies. The table of archives
+has a row for each, with its bounds. A look-up binary-searches those bounds, the archive's directory and one block's
+lines, and range-reads block and records. The query looks every page up by key and id; requests are dealt to the
+archives that may hold them and sorted, so a task reads each block once. Only the table of archives, a row for each
+written partition, goes to the driver.
 
 Of captures with equal payloads of MIN_REVISIT bytes or more, the one with the smallest page id is a response and the
 others are revisit records, which name it and carry its digest and length but no payload.
 
 Null html counts as an empty payload and a null url as an empty one; a null id is never the smallest unless all are
-null; rows of equal id and payload are archived each for itself with the same type; an empty table gives no files and
-an empty result; further columns don't matter.
+null; rows of equal id and payload are archived each for itself with the same type; very long payloads are archived
+whole; an empty table gives no files and an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 import uuid
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +37,9 @@ MIN_REVISIT = 100
 BLOCK_LINES = 1000
 DATE = "2024-01-01T00:00:00Z"  # the tables carry no capture time
 
-DIRECTORY = "part long, block long, first_key string, last_key string, cdx string, offset long, length long, lines long, warc string"
+NO_ID = -(1 << 63)  # stands for a null id: before all others
+
+ARCHIVES = "name string, first_key string, first_id long, last_key string, last_id long, directory_bytes long, blocks long, captures long"
 CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string"
 
 _URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^@/?#]*@)?([^/?#:]*)(:\d+)?([^#]*)", re.I)
@@ -90,14 +95,27 @@ def parse(member: bytes) -> dict:
     }
 
 
+def _place(key: str, page_id: int | None) -> tuple[bytes, int]:
+    """Where a capture stands in key order."""
+    return key.encode(), NO_ID if page_id is None else page_id
+
+
 def _archive(root: str):
+    schema = arrow_schema(ARCHIVES)
+
     def write(batches):
         name = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        blocks, lines, at = [], [], 0
+        blocks, lines, directory, ends = [], [], [], []
+        at = offset = captures = 0
 
         def close_block():
+            nonlocal offset, captures
             if lines:
-                blocks.append((lines[0].split(" ", 1)[0], lines[-1].split(" ", 1)[0], zlib.compress("\n".join(lines).encode()), len(lines)))
+                first, last = (x.split(" ", 2)[:2] for x in (lines[0], lines[-1]))
+                blocks.append(zlib.compress("\n".join(lines).encode()))
+                directory.append(" ".join([*first, *last, str(offset), str(len(blocks[-1]))]))
+                ends[:] = [ends[0] if ends else first, last]
+                offset, captures = offset + len(blocks[-1]), captures + len(lines)
                 lines.clear()
 
         def members():
@@ -115,20 +133,23 @@ def _archive(root: str):
             close_block()
 
         put_bytes(name + ".warc.gz", members())
-        put_bytes(name + ".cdx", (b[2] for b in blocks))
-        start = 0
-        schema = arrow_schema_of_directory
-        for k, (first, last, data, n) in enumerate(blocks):
-            row = (TaskContext.get().partitionId(), k, first, last, name + ".cdx", start, len(data), n, name + ".warc.gz")
-            start += len(data)
+        if blocks:
+            put_bytes(name + ".cdx", blocks)
+            packed = zlib.compress("\n".join(directory).encode())
+            put_bytes(name + ".dir", [packed])
+            (first_key, first_id), (last_key, last_id) = ends[0], ends[-1]
+            row = (name, first_key, _place("", _id_of(first_id))[1], last_key, _place("", _id_of(last_id))[1], len(packed), len(blocks), captures)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-    arrow_schema_of_directory = arrow_schema(DIRECTORY)
     return write
 
 
+def _key_of(url: str):
+    return F.pandas_udf(lambda s: s.map(url_key), "string")(F.coalesce(F.col(url).cast("string"), F.lit("")))
+
+
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
-    """Archives pages (page_id, url, html) under root. The directory of the capture index, one row for each block."""
+    """Archives pages (page_id, url, html) under root. The table of archives, one row for each with captures."""
     ship_package(pages.sparkSession)
     ensure_folder(root)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -136,22 +157,101 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     twins = slim.filter(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("c"))
     # written first, so that its size is known when the join with the payloads is planned
     twins = stash(twins.filter("c > 1").drop("c"), "twins")
-    key = F.pandas_udf(lambda s: s.map(url_key), "string")
     later = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     roles = slim.join(twins, "digest", "left").select(
-        key(F.coalesce("url", F.lit(""))).alias("url_key"), "page_id", "url", "html", "digest", F.when(later, F.col("first_id")).alias("refers_to"), later.alias("revisit"), F.monotonically_increasing_id().alias("row")
+        _key_of("url").alias("url_key"), "page_id", "url", "html", "digest", F.when(later, F.col("first_id")).alias("refers_to"), later.alias("revisit"), F.monotonically_increasing_id().alias("row")
     )
     ranged = roles.repartitionByRange("url_key", "page_id", "row").sortWithinPartitions("url_key", "page_id", "row").drop("row")
-    return stash(ranged.mapInArrow(_archive(root), DIRECTORY), "directory")
+    return stash(ranged.mapInArrow(_archive(root), ARCHIVES), "archives")
+
+
+class Archive:
+    """The captures of one archive, found through its directory and its blocks of index lines."""
+
+    def __init__(self, row, ranges: RangeReader):
+        self._name, self._ranges, self._block = row["name"], ranges, (-1, [], [])
+        lines = [x.split(" ") for x in zlib.decompress(ranges.read(self._name + ".dir", 0, row["directory_bytes"])).decode().split("\n")]
+        self._first = [_place(x[0], _id_of(x[1])) for x in lines]
+        self._last = [_place(x[2], _id_of(x[3])) for x in lines]
+        self._where = [(int(x[4]), int(x[5])) for x in lines]
+
+    def _lines(self, k: int) -> tuple[list[tuple[bytes, int]], list[list[str]]]:
+        if self._block[0] != k:
+            lines = [x.split(" ") for x in zlib.decompress(self._ranges.read(self._name + ".cdx", *self._where[k])).decode().split("\n")]
+            self._block = (k, [_place(x[0], _id_of(x[1])) for x in lines], lines)
+        return self._block[1:]
+
+    def find(self, first: tuple[bytes, int], last: tuple[bytes, int]):
+        """The records between two places, each with its url_key, in order."""
+        k = bisect.bisect_left(self._last, first)
+        while k < len(self._first) and self._first[k] <= last:
+            places, lines = self._lines(k)
+            for key, _, at, size in lines[bisect.bisect_left(places, first) : bisect.bisect_right(places, last)]:
+                yield parse(self._ranges.read(self._name + ".warc.gz", int(at), int(size))) | {"url_key": key}
+            k += 1
+
+
+class Lookup:
+    """Finds captures by URL. archives: the table of archives, a row for each written partition."""
+
+    def __init__(self, archives: DataFrame):
+        self._rows = sorted(archives.collect(), key=lambda r: _place(r["first_key"], r["first_id"]))
+        self.first = [_place(r["first_key"], r["first_id"]) for r in self._rows]
+        self.last = [_place(r["last_key"], r["last_id"]) for r in self._rows]
+        self._ranges = RangeReader()
+
+    def __len__(self) -> int:
+        return len(self._rows)
+
+    def find(self, url: str) -> list[dict]:
+        """The records of all captures of a URL, in order of page id."""
+        first, last = (url_key(url).encode(), NO_ID), (url_key(url).encode(), 1 << 63)
+        k, out = bisect.bisect_left(self.last, first), []
+        while k < len(self._rows) and self.first[k] <= last:
+            out += Archive(self._rows[k], self._ranges).find(first, last)
+            k += 1
+        return out
 
+    def rows(self) -> list[dict]:
+        return [r.asDict() for r in self._rows]
 
-def _lines(ranges: RangeReader, row) -> list[list[str]]:
-    return [x.split(" ") for x in zlib.decompress(ranges.read(row["cdx"], row["offset"], row["length"])).decode().split("\n")]
 
+def look_up(requests: DataFrame, archives: DataFrame) -> DataFrame:
+    """The captures (CAPTURES) of requests (url_key, page_id), each found by binary search."""
+    spark = archives.sparkSession
+    ship_package(spark)
+    bounds = Lookup(archives)
+    rows, first, last = bounds.rows(), bounds.first, bounds.last
+    schema = arrow_schema(CAPTURES)
+
+    def holders(keys: pd.Series, ids: pd.Series) -> pd.Series:
+        out = []
+        for want in zip(map(str.encode, keys), ids.tolist()):
+            k = bisect.bisect_left(last, want)
+            upto = bisect.bisect_right(first, want, k)
+            out.append(list(range(k, upto)))
+        return pd.Series(out, dtype=object)
 
-def read_archives(directory: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, url_key of every capture, through the index."""
-    ship_package(directory.sparkSession)
+    def read(batches):
+        ranges, now, archive = RangeReader(), -1, None
+        for batch in batches:
+            found = []
+            for place, key, page_id in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if place != now:
+                    now, archive = place, Archive(rows[place], ranges)
+                want = (key.encode(), page_id)
+                found += [{k: v for k, v in r.items() if k != "payload"} for r in archive.find(want, want)]
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+        ranges.close()
+
+    asked = requests.select("url_key", F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id")).distinct()
+    dealt = asked.select(F.explode(F.pandas_udf(holders, "array<int>")("url_key", "id")).alias("place"), "url_key", "id")
+    return dealt.repartition(max(len(rows), 1), "place").sortWithinPartitions("place", "url_key", "id").mapInArrow(read, CAPTURES)
+
+
+def read_archives(archives: DataFrame) -> DataFrame:
+    """Every capture of the archives, a task for each, through directory and blocks."""
+    ship_package(archives.sparkSession)
     schema = arrow_schema(CAPTURES)
 
     def read(batches):
@@ -159,39 +259,22 @@ def read_archives(directory: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 found = []
-                for key, _, at, size in _lines(ranges, row):
-                    found.append(parse(ranges.read(row["warc"], int(at), int(size))) | {"url_key": key})
-                    found[-1].pop("payload")
+                for r in Archive(row, ranges).find((b"", NO_ID), _place(row["last_key"], row["last_id"])):
+                    found.append({k: v for k, v in r.items() if k != "payload"})
+                    if len(found) == BLOCK_LINES:
+                        yield pa.RecordBatch.from_pylist(found, schema=schema)
+                        found = []
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
         ranges.close()
 
-    blocks = directory.count()
-    return directory.repartition(max(1, min(blocks, 4 * directory.sparkSession.sparkContext.defaultParallelism + blocks // 16))).mapInArrow(read, CAPTURES)
-
-
-class Lookup:
-    """Finds captures by URL over a directory held in order: a row for each BLOCK_LINES captures."""
-
-    def __init__(self, directory: DataFrame):
-        self._rows = sorted(directory.collect(), key=lambda r: (r["part"], r["block"]))
-        self._last = [r["last_key"].encode() for r in self._rows]
-        self._ranges = RangeReader()
-
-    def find(self, url: str) -> list[dict]:
-        """The records of all captures of a URL, in order of page id."""
-        want, out = url_key(url), []
-        k = bisect.bisect_left(self._last, want.encode())
-        while k < len(self._rows) and self._rows[k]["first_key"].encode() <= want.encode():
-            lines = _lines(self._ranges, self._rows[k])
-            keys = [x[0].encode() for x in lines]
-            a, b = bisect.bisect_left(keys, want.encode()), bisect.bisect_right(keys, want.encode())
-            out += [parse(self._ranges.read(self._rows[k]["warc"], int(at), int(size))) for _, _, at, size in lines[a:b]]
-            k += 1
-        return out
+    return archives.repartition(max(1, archives.count())).mapInArrow(read, CAPTURES)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return read_archives(write_archives(pages, scratch(spark, "warc"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes all pages to archives, then looks each of them up there."""
+    archives = write_archives(pages, scratch(spark, "warc"))
+    wanted = pages.select(_key_of("url").alias("url_key"), F.col("page_id").cast("long").alias("page_id"))
+    return look_up(wanted, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = f"""
