@@ -24,6 +24,18 @@ def decode_tags(text: Column) -> Column:
     return F.array_join(F.transform(found, lambda c: F.char(F.ascii(c) - 0xE0000)), "")
 
 
+def tag_messages(text: Column) -> Column:
+    """The messages of eight characters or more in runs of tag characters, in order."""
+    runs = F.regexp_extract_all(text, F.lit(f"({_TAGS})"), F.lit(1))
+    return F.filter(F.transform(runs, decode_tags), lambda x: F.length(x) >= 8)
+
+
+def hides(text: Column) -> Column:
+    """Has the text characters that are stripped or folded before matching, or a message in tag characters?"""
+    plain = F.regexp_replace(text, _TAGS, " ")
+    return plain.rlike(_STRIPPED) | (fold_lookalikes(plain) != plain) | (F.size(tag_messages(text)) > 0)
+
+
 def encode_tags(text: Column) -> Column:
     return F.translate(text, "".join(map(chr, range(0x20, 0x7F))), "".join(chr(0xE0000 + k) for k in range(0x20, 0x7F)))
 

@@ -22,15 +22,29 @@ def _any(text: Column, patterns) -> Column:
 
 
 def nfkc(df: DataFrame, column: str = "text") -> DataFrame:
-    """Brings non-ASCII texts to NFKC; ASCII ones bypass Python."""
+    """Brings non-ASCII texts to NFKC in one pass over df; of ASCII ones Python sees nulls only."""
     ship_package(df.sparkSession)
     fold = F.pandas_udf(_nfkc, "string")
-    plain = ~F.col(column).rlike(r"[^\x00-\x7F]") | F.col(column).isNull()
-    return df.filter(plain).unionByName(df.filter(~plain).withColumn(column, fold(column)))
+    odd = F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))
+    return df.withColumn(column, F.coalesce(fold(odd), F.col(column)))
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def may_match(low: Column, name: str) -> Column:
+    """Can one of the patterns that rules.NEEDS has under name match? low: the text in lower case."""
+    out = F.lit(False)
+    for line in rules.NEEDS[name]:
+        every = F.lit(True)
+        for group in line.split(" & "):
+            one = F.lit(False)
+            for word in group.split("|"):
+                one = one | F.contains(low, F.lit(word))
+            every = every & one
+        out = out | every
+    return out
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -49,25 +63,21 @@ def outside_quotes(text: Column, pattern: str) -> Column:
 def with_intents(segments: DataFrame, column: str = "text") -> DataFrame:
     """Adds norm, decoded, hidden, intents, unquoted, addressed, and the gates' facts. Nothing here depends on a capability."""
     raw = F.coalesce(F.col(column), F.lit(""))
-    step = segments.withColumns(
-        {
-            "norm": T.matching_text(raw),
-            "decoded": F.when(F.length(T.decode_tags(raw)) >= 8, T.decode_tags(raw)).otherwise(F.lit("")),
-            "hidden": F.size(T.invisible_classes(raw)) + F.when(T.fold_lookalikes(raw) != raw, 1).otherwise(0) > 0,
-        }
-    )
-    joined = F.trim(F.concat_ws(" ", F.col("norm"), F.when(F.col("decoded") != "", F.col("decoded"))))
-    step = step.withColumn("body", joined)
-    body = F.col("body")
+    step = segments.withColumns({"norm": T.matching_text(raw), "decoded": F.array_join(T.tag_messages(raw), " "), "hidden": T.hides(raw)})
+    step = step.withColumn("body", F.trim(F.concat_ws(" ", F.col("norm"), F.when(F.col("decoded") != "", F.col("decoded")))))
+    body, low = F.col("body"), F.col("low")
+    step = step.withColumn("low", F.lower(body))
     # a select for each intent keeps generated methods small
     for name, patterns in rules.PATTERNS.items():
-        step = step.withColumn(f"i_{name}", _any(body, patterns))
+        step = step.withColumn(f"i_{name}", may_match(low, name) & _any(body, patterns))
     step = step.withColumn("intents", F.filter(F.array(*[F.when(F.col(f"i_{n}"), F.lit(n)) for n in rules.INTENTS]), lambda x: x.isNotNull()))
     loose = [F.when(F.col(f"i_{n}") & _outside(body, p), F.lit(n)) for n, p in rules.PATTERNS.items()]
-    step = step.withColumn("unquoted", F.when(body.rlike(QUOTES), F.filter(F.array(*loose), lambda x: x.isNotNull())).otherwise(F.col("intents")))
+    quoted = (F.size("intents") > 0) & body.rlike(QUOTES)
+    step = step.withColumn("unquoted", F.when(quoted, F.filter(F.array(*loose), lambda x: x.isNotNull())).otherwise(F.col("intents")))
     step = step.drop(*[f"i_{n}" for n in rules.INTENTS])
-    why = F.coalesce(*[F.when(body.rlike(rules.java(p)), F.lit(w)) for w, p in rules.ADDRESSING], F.when(_any(body, rules.OVERRIDES), F.lit("overrides earlier instructions")))
-    return step.withColumns({"addressed_why": why, "secrecy": _any(body, [rules.SECRECY]), "override": _any(body, rules.OVERRIDES), "imperative": _any(body, rules.IMPERATIVE)})
+    step = step.withColumn("override", may_match(low, "overrides") & _any(body, rules.OVERRIDES))
+    why = F.coalesce(F.when(may_match(low, "addressing"), F.coalesce(*[F.when(body.rlike(rules.java(p)), F.lit(w)) for w, p in rules.ADDRESSING])), F.when(F.col("override"), F.lit("overrides earlier instructions")))
+    return step.withColumns({"addressed_why": why, "secrecy": may_match(low, "secrecy-gate") & _any(body, [rules.SECRECY]), "imperative": may_match(low, "imperative") & _any(body, rules.IMPERATIVE)}).drop("low")
 
 
 def _outside(text: Column, patterns) -> Column:
@@ -119,7 +129,7 @@ def assess(facts: DataFrame, capabilities=tuple(rules.CAPABILITIES)) -> DataFram
 
     capable = F.filter("kept", lambda i: i.isin(*rules.CRITICAL_CAPABLE))
     strong = (addressed & F.col("non_visible")) | (F.col("base") >= 6)
-    only_url = (F.size(capable) == 1) & F.array_contains(capable, "exfil-url")
+    only_url = F.forall("kept", lambda i: i == "exfil-url")
     qualifies = strong & (~only_url | (addressed & F.col("non_visible")))
     four = F.least(F.col("base"), F.lit(4))
     capped = F.when(F.exists("kept", unreachable), four).when((F.size(capable) > 0) & qualifies, F.greatest(F.col("base"), F.lit(6))).otherwise(four)

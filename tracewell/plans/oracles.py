@@ -48,7 +48,8 @@ def facts() -> str:
     """CTEs up to facts: one row for each line, i_* and u_* for each intent and the gates' facts."""
     i = ",\n  ".join(f"{any_of('b', p)} AS i_{col(n)}" for n, p in rules.PATTERNS.items())
     u = ",\n  ".join(f"i_{col(n)} AND (NOT regexp_matches(b, {q(QUOTED)}) OR {outside('b', p)}) AS u_{col(n)}" for n, p in rules.PATTERNS.items())
-    hidden = "(" + " OR ".join(f"regexp_matches(text, {q(p)})" for _, p in rules.INVISIBLE) + f" OR translate(text, {q(rules.LOOKALIKES)}, {q(rules.LATIN)}) <> text)"
+    untagged = f"regexp_replace(text, {q(_TAGS)}, ' ', 'g')"
+    hidden = f"(regexp_matches({untagged}, {q(_STRIPPED)}) OR translate({untagged}, {q(rules.LOOKALIKES)}, {q(rules.LATIN)}) <> {untagged} OR regexp_matches(text, {q('[' + chr(0xE0020) + '-' + chr(0xE007E) + ']{8,}')}))"
     return f"""{LINES},
 hits AS (SELECT *,
   {i} FROM body),
@@ -59,10 +60,10 @@ facts AS (SELECT *,
   FROM hits)"""
 
 
-def levels() -> str:
-    """CTEs up to levels: a row for each line and capability, for visible text outside code."""
+def levels(delivery: str = "visible") -> str:
+    """CTEs up to levels: a row for each line and capability. delivery: visible text outside code, the same in code, or hidden text."""
     names = list(rules.INTENTS)
-    gate = {"exfil-url": "(i_exfil_data OR addressed OR secrecy OR over)"} | dict.fromkeys(("transaction", "browser-action"), "(addressed OR imperative OR secrecy OR over)")
+    gate = {} if delivery == "hidden" else {"exfil-url": "(i_exfil_data OR addressed OR secrecy OR over)"} | dict.fromkeys(("transaction", "browser-action"), "(addressed OR imperative OR secrecy OR over)")
     kept = ", ".join(f"i_{col(n)} AND {gate.get(n, 'TRUE')} AS k_{col(n)}" for n in names)
     any_u = "(" + " OR ".join(f"u_{col(n)}" for n in names) + ")"
     any_k = "(" + " OR ".join(f"k_{col(n)}" for n in names) + ")"
@@ -70,15 +71,18 @@ def levels() -> str:
     caps = ", ".join(f"({q(c)}, {'[' + ', '.join(map(q, a)) + ']' if a else '[]::VARCHAR[]'})" for c, a in rules.CAPABILITIES.items())
     lost = " OR ".join(f"(k_{col(n)} AND NOT list_has_any(abilities, [{', '.join(map(q, needs))}]))" for n, (_, needs) in rules.INTENTS.items() if needs)
     capable = " OR ".join(f"k_{col(n)}" for n in rules.CRITICAL_CAPABLE)
-    only = "k_exfil_url AND NOT (" + " OR ".join(f"k_{col(n)}" for n in rules.CRITICAL_CAPABLE if n != "exfil-url") + ")"
+    only = "k_exfil_url AND NOT (" + " OR ".join(f"k_{col(n)}" for n in names if n != "exfil-url") + ")"
+    strong, discounted = {"hidden": ("(addressed OR base >= 6)", "FALSE"), "code": ("base >= 6", "TRUE"), "visible": ("base >= 6", f"NOT {any_u}")}[delivery]
+    strong = f"{strong} AND (addressed OR NOT ({only}))" if delivery == "hidden" else f"{strong} AND NOT ({only})"
     notice = "k_content_protection AND NOT (" + " OR ".join(f"k_{col(n)}" for n in names if n != "content-protection") + ")"
+    capped = notice if delivery != "hidden" else "FALSE"
     return f"""{facts()},
 kept AS (SELECT *, {kept} FROM facts),
-based AS (SELECT *, {any_k} AS has, (CASE WHEN {any_u} THEN {best('u')} ELSE {best('k')} END) + addressed::INT + hidden::INT AS raw, NOT {any_u} AS discounted FROM kept),
+based AS (SELECT *, {any_k} AS has, (CASE WHEN {any_u} THEN {best('u')} ELSE {best('k')} END) + addressed::INT + {"1" if delivery == "hidden" else "hidden::INT"} AS raw, {discounted} AS discounted FROM kept),
 caps(capability, abilities) AS (VALUES {caps}),
 crossed AS (SELECT *, CASE WHEN discounted THEN least(raw, 2) ELSE raw END AS base FROM based, caps),
-scored AS (SELECT *, CASE WHEN {lost} THEN least(base, 4) WHEN ({capable}) AND base >= 6 AND NOT ({only}) THEN greatest(base, 6) ELSE least(base, 4) END AS s FROM crossed),
-levels AS (SELECT *, CASE WHEN NOT has THEN 'info' ELSE ['info', 'low', 'medium', 'high', 'critical'][greatest(1, least(5, CASE WHEN {notice} THEN least(s, 2) ELSE s END))] END AS level FROM scored)"""
+scored AS (SELECT *, CASE WHEN {lost} THEN least(base, 4) WHEN ({capable}) AND {strong} THEN greatest(base, 6) ELSE least(base, 4) END AS s FROM crossed),
+levels AS (SELECT *, CASE WHEN NOT has THEN 'info' ELSE ['info', 'low', 'medium', 'high', 'critical'][greatest(1, least(5, CASE WHEN {capped} THEN least(s, 2) ELSE s END))] END AS level FROM scored)"""
 
 
 OBSERVATIONS = """obs AS (

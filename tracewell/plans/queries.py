@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules, text as T
 from tracewell.operators import channels, corpus, extract, grouping, metrics, netpolicy, risk, variants, visibility
 from tracewell.plans import oracles as S
-from tracewell.session import read_table
+from tracewell.session import read_table, spread
 from tracewell.sources.corpus import parse_jsonl, rate_text
 
 QUERIES: dict = {}
@@ -32,7 +32,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return risk.nfkc(risk.document_segments(_docs(spark, d)))
+    return risk.nfkc(risk.document_segments(spread(_docs(spark, d))))
 
 
 @query(f"WITH {S.levels()} SELECT source, capability, level, count(*) AS segments FROM levels GROUP BY ALL")
@@ -41,6 +41,20 @@ def segment_levels_by_capability(spark, d):
     return risk.assess(risk.with_intents(_segments(spark, d))).groupBy("source", "capability", "level").agg(F.count(F.lit(1)).alias("segments"))
 
 
+@query(f"WITH {S.levels('hidden')} SELECT source, capability, level, count(*) AS segments FROM levels GROUP BY ALL")
+def hidden_levels_by_capability(spark, d):
+    """The same lines as text that a style hides: nothing is discounted, gates stay open, critical is in reach."""
+    hidden = _segments(spark, d).withColumns({"delivery": F.lit("css-hidden"), "visible": F.lit(False)})
+    return risk.assess(risk.with_intents(hidden)).groupBy("source", "capability", "level").agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query(f"WITH {S.levels('code')} SELECT source, capability, level, count(*) AS segments FROM levels GROUP BY ALL")
+def code_levels_by_capability(spark, d):
+    """The same lines as visible text in code: all of it is discounted."""
+    code = _segments(spark, d).withColumn("in_code", F.lit(True))
+    return risk.assess(risk.with_intents(code)).groupBy("source", "capability", "level").agg(F.count(F.lit(1)).alias("segments"))
+
+
 @query(f"SELECT doc_id, md5({S.norm_key('text')}) AS key_md5, length({S.norm_key('text')}) AS key_chars FROM documents")
 def norm_key(spark, d):
     key = T.norm_key(F.col("text"))

@@ -13,10 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+SPREAD_BYTES = 64 << 20  # for each core: inputs of more have work for all
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out where it comes from fewer files than there are cores and is small: a file of one row group
+    is one task, however much work its rows make. Large inputs stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * SPREAD_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors once per context, so that their Python workers can import it."""
     sc = spark.sparkContext
