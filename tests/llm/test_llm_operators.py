@@ -142,6 +142,30 @@ def test_near_duplicates_with_repeated_ids(spark):
     assert len(kept) == 6 and kept[:2] == sorted([(1, a), (1, b)]) and [i for i, _ in kept[2:]] == [4, 5, 6, 6]
 
 
+def test_components(spark, monkeypatch):
+    from tracewell.llm import components
+
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(70)] + [(2000, 2001 + k) for k in range(50)] + [(7, 7), (1000, 1001)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (components.LOCAL_EDGES, 0):  # in one task, distributed
+        monkeypatch.setattr(components, "LOCAL_EDGES", most)
+        rows = [tuple(x) for x in components.components(df).collect()]
+        assert len(rows) == len(want) and dict(rows) == want
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_peeling_keeps_links():
     a = near_dup.shingle_sets([words(50, 8)])[0].tobytes()
     assert near_dup.jaccard_reaches(a, a) and not near_dup.jaccard_reaches(a, near_dup.shingle_sets([words(50, 9)])[0].tobytes())

@@ -33,19 +33,20 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import map_rows
 from tracewell.llm.components import components
-from tracewell.session import stash
+from tracewell.session import ship_package, stash
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
 ROWS = 3
 MISS = 3e-5
 LEADER_ROUNDS = 1
-PEEL_ROUNDS = 3
+PEEL_ROUNDS = 1
 BITS = 2048
 BLOCK = 512  # members of a collection that meet in one task at most
 
@@ -236,8 +237,8 @@ def _each_shingle(cols: dict, _state: dict) -> dict:
 
 
 def _sketch(cols: dict, _state: dict) -> dict:
-    """BITS one-bit minhashes of each set, in longs. Two sets differ in a bit with probability (1 - similarity) / 2."""
-    out: dict = {"rep": cols["rep"]} | {f"w{k}": [] for k in range(BITS // 64)}
+    """BITS one-bit minhashes of each set. Two sets differ in a bit with probability (1 - similarity) / 2."""
+    out: list[bytes] = []
     xor, mul = _functions(10_001, BITS)
     with np.errstate(over="ignore"):
         for data in cols["shingles"]:
@@ -249,9 +250,8 @@ def _sketch(cols: dict, _state: dict) -> dict:
                     x = (s[j : j + 1024, None] ^ xor[k : k + 256]) * mul[k : k + 256]
                     np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0), out=low)
                 bits.append((_mix(low) & np.uint64(1)).astype(np.uint8))
-            for k, w in enumerate(np.packbits(np.concatenate(bits)).view(np.int64).tolist()):
-                out[f"w{k}"].append(w)
-    return out
+            out.append(np.packbits(np.concatenate(bits)).tobytes())
+    return {"rep": cols["rep"], "sketch": out}
 
 
 def _peel(how: Settings, open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,35 +275,67 @@ def _peel(how: Settings, open_: DataFrame, sets: DataFrame) -> DataFrame:
     return alive
 
 
+def _meetings(how: Settings):
+    """Over rows (ck, ba, bb, own, pos, rep, n, comp, left, sketch) sorted by ck, ba, bb: the pairs of each group that may be linked, from different components."""
+
+    def pairs_of(g: pa.Table) -> tuple[np.ndarray, ...]:
+        own, rep, n, comp, pos = (g.column(k).to_numpy() for k in ("own", "rep", "n", "comp", "pos"))
+        left = g.column("left").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
+        a, b = (np.flatnonzero(own == g.column(k)[0].as_py()) for k in ("ba", "bb"))
+        ok = (comp[a][:, None] != comp[b][None]) & (100 * np.minimum(n[a][:, None], n[b][None]) >= how.per_cent * np.maximum(n[a][:, None], n[b][None]))
+        if own[a[0]] == own[b[0]]:
+            ok &= rep[a][:, None] < rep[b][None]  # each pair once
+        x, y = np.nonzero(ok)
+        x, y = a[x], b[y]
+        keep = []
+        for k in range(0, len(x), 1 << 17):
+            u, v = x[k : k + (1 << 17)], y[k : k + (1 << 17)]
+            apart = np.zeros(len(u), np.int64)
+            for w in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[u, w] ^ sketch[v, w])
+            # a pair comes out of the first collection that it shares
+            near = np.flatnonzero(apart <= how.apart)
+            keep.append(k + near[np.argmax(left[u[near]] == left[v[near]], axis=1) == pos[u[near]]])
+        at = np.concatenate(keep) if keep else np.empty(0, np.int64)
+        x, y = x[at], y[at]
+        return rep[x], n[x], rep[y], n[y]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = [now.column(k).to_numpy() for k in ("ck", "ba", "bb")]
+            turns = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            yield from (out for a, b in zip([0, *turns[:-1].tolist()], turns.tolist()) if (out := found(now.slice(a, b - a))) is not None)
+            held = now.slice(int(turns[-1]) if len(turns) else 0).combine_chunks()
+        if held is not None and (out := found(held)) is not None:
+            yield out
+
+    def found(group: pa.Table):
+        if group.num_rows < 2:
+            return None
+        cols = pairs_of(group)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["x", "nx", "y", "ny"]) if len(cols[0]) else None
+
+    return run
+
+
 def _residue(how: Settings, open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """x, nx, y, ny: pairs of different components that may be linked, among members that share a left collection.
 
     A collection of more than BLOCK members is dealt to blocks by a hash; each two blocks meet under a key of their own.
     """
     alive = _peel(how, open_, sets)
-    words = [f"w{k}" for k in range(BITS // 64)]
-    schema = "rep long, " + ", ".join(f"{w} long" for w in words)
-    sketched = map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _sketch, schema)
-    left = [f"l{k}" for k in range(how.collections)]
-    named = classes.join(alive.select("rep", "comp"), "rep").select("rep", "n", "comp", *[F.col("keys")[k].alias(c) for k, c in enumerate(left)])
-    met = named.select("rep", "comp", F.posexplode(F.array(*left)).alias("pos", "ck"))
+    sketched = map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _sketch, "rep long, sketch binary")
+    named = stash(classes.join(alive.select("rep", "comp"), "rep").join(sketched, "rep").select("rep", "n", "comp", F.slice("keys", 1, how.collections).alias("left"), "sketch"), "residue")
+    met = named.select("*", F.posexplode("left").alias("pos", "ck"))
     mixed = met.groupBy("ck").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b")
     dealt = met.join(mixed.select("ck", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "ck")
-    dealt = stash(dealt.select("rep", "pos", "ck", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")), "residue")
-    whole = stash(named.join(sketched, "rep"), "sketches")
-    others = lambda first, last: F.explode(F.sequence(first, last)).alias("other")
-    one = dealt.select("rep", "pos", "ck", F.col("own").alias("ba"), others(F.col("own"), F.col("blocks") - 1)).withColumnRenamed("other", "bb").join(whole, "rep")
-    two = dealt.select("rep", "ck", F.col("own").alias("bb"), others(F.lit(0), F.col("own"))).withColumnRenamed("other", "ba").join(whole, "rep")
-    two = two.select("ck", "ba", "bb", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), *[F.col(c).alias("v" + c) for c in left + words])
-    # a pair comes out of the first collection that it shares
-    first = F.lit(len(left))
-    for k in reversed(range(len(left))):
-        first = F.when(F.col(left[k]) == F.col("v" + left[k]), k).otherwise(first)
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("v" + w))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col("v" + words[0]))))
-    once = (F.col("one.ba") < F.col("one.bb")) | (F.col("rep") < F.col("y"))
-    near = (F.col("comp") != F.col("cy")) & once & (100 * F.least("n", "ny") >= how.per_cent * F.greatest("n", "ny")) & (first == F.col("pos")) & (apart <= how.apart)
-    same = (F.col("one.ck") == F.col("two.ck")) & (F.col("one.ba") == F.col("two.ba")) & (F.col("one.bb") == F.col("two.bb"))
-    return one.alias("one").join(two.alias("two"), same & near).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("ck", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), "own", "pos", "rep", "n", "comp", "left", "sketch")
+    ship_package(classes.sparkSession)
+    return rows.repartition("ck", "ba", "bb").sortWithinPartitions("ck", "ba", "bb").mapInArrow(_meetings(how), "x long, nx long, y long, ny long")
 
 
 def _leaders(open_: DataFrame, links: DataFrame, turn: int) -> DataFrame:
