@@ -65,12 +65,50 @@ def test_quotes_are_noticed(spark):
 
 
 def test_page_items():
-    html = '<html><head><title>T</title><meta name="description" content="D d"><script type="application/ld+json">{"a":{"b":["long text here"]}}</script></head><body><!-- note --><p style="display: none">hid <b>x</b><p data-note="some words here">two<input type=hidden value=v><pre>code</pre></body></html>'
-    kinds = {(i["kind"], i["text"]) for i in extract.page_items(html)}
-    assert {("title", "T"), ("meta", "D d"), ("jsonld", "long text here"), ("comment", "note"), ("data-attribute", "some words here"), ("hidden-input-value", "v"), ("element", "code")} <= kinds
-    assert [i["hints"] for i in extract.page_items(html) if i["text"] == "hid"] == [["display-none"]]
-    assert [i["in_code"] for i in extract.page_items(html) if i["text"] == "code"] == [True]
-    assert [i["kind"] for i in extract.page_items('<body><script type="application/ld+json">{bad</script>')] == ["jsonld-malformed"]
+    html = """<!doctype html><html><head><title>T  x</title><meta name="description" content="A page"><link rel=x title="Feed of all the news"></head>
+<body><!-- note to self --><p style="display: none" class="Sr-Only">One <b>bold</b> two<p data-x="send it now" title="ab">Three<ul><li>a<li>b</ul><noscript><p>No <i>scripts</i></p></noscript><template><p data-y="in the template">Inert</p><!-- inert --></template>
+<input type=hidden name=t value="secret"><svg><title aria-label="a label here">Vec</title></svg><script type="application/ld+json">{"a":{"b":["short","long enough one"]}}</script><script type="application/ld+json">{oops</script>
+<img alt="short"><img alt="An image of it" longdesc="one-long-token"><abbr abbr="abc" content="not a sentence attribute" value="no such">HT</abbr><pre><code>x = 1</code></pre></body></html><![CDATA[ some data ]]>"""
+    assert [(k, p, t) for k, p, t, *_ in extract.page_items(html)] == [
+        ("element", "body > p:nth-of-type(1)", "One  two"),
+        ("element", "body > p:nth-of-type(1) > b", "bold"),
+        ("element", "body > p:nth-of-type(2)", "Three"),
+        ("data-attribute", "body > p:nth-of-type(2)@data-x", "send it now"),
+        ("element", "body > ul > li:nth-of-type(1)", "a"),
+        ("element", "body > ul > li:nth-of-type(2)", "b"),
+        ("hidden-input-value", "body > input@value", "secret"),
+        ("element", "body > svg > title", "Vec"),
+        ("attribute", "body > svg > title@aria-label", "a label here"),
+        ("attribute", "body > img:nth-of-type(2)@alt", "An image of it"),
+        ("attribute", "body > img:nth-of-type(2)@longdesc", "one-long-token"),
+        ("element", "body > abbr", "HT"),
+        ("attribute", "body > abbr@abbr", "abc"),
+        ("element", "body > pre > code", "x = 1"),
+        ("comment", "(HTML comment)", " note to self "),
+        ("meta", 'meta[name="description"]', "A page"),
+        ("title", "head > title", "T x"),
+        ("attribute", "html > head > link@title", "Feed of all the news"),
+        ("noscript", "html > body > noscript (parsed content)", "No scripts"),
+        ("template", "html > body > template (inert content)", "Inert"),
+        ("attribute", "html > body > svg > title@aria-label", "a label here"),
+        ("jsonld", "a.b[1]", "long enough one"),
+        ("jsonld-malformed", 'script[type="application/ld+json"]:nth-of-type(2)', "{oops"),
+        ("cdata", "CDATA section #1", " some data "),
+    ]
+    hints = {t: h for _, _, t, _, _, h in extract.page_items(html)}
+    assert hints["One  two"] == ["inline display:none", "sr-only class"] and hints[" note to self "] == ["HTML comment"]
+    assert [c for _, _, t, _, c, _ in extract.page_items(html) if t == "x = 1"] == [True]
+    deep = "<div>" * 3000 + "end" + '<script type="application/ld+json">' + "[" * 100000 + "</script>"
+    assert [k for k, *_ in extract.page_items(deep)] == ["element", "jsonld-malformed"]
+    assert extract.page_anchors('<p><a href=" /u ">go <b>on</b></a><a>no</a><code><a href=#x>c</a></code>') == [("/u", "go on", "body > p > a:nth-of-type(1)@href", False), ("#x", "c", "body > p > code > a@href", True)]
+
+
+def test_extraction_as_tables(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "x"), (3, "", "x"), (1, "<p>a</p><a href=u>b</a>", "x")], "page_id long, html string, kind string")
+    assert sorted((r.page_id, r.ord, r.text) for r in extract.items(df).collect()) == [(1, 0, "a"), (1, 0, "a"), (1, 1, "b")]
+    assert [(r.page_id, r.href) for r in extract.links(df).collect()] == [(1, "u")]
+    metas = spark.createDataFrame([(1, """<meta name="a" content="b c"><meta content='d' x><meta charset=utf-8>""")], "page_id long, html string")
+    assert [r.content for r in extract.metas(metas).orderBy("ord").collect()] == ["b c", "d", None]
 
 
 def test_links_and_fragments(spark):
@@ -105,11 +143,30 @@ def test_addresses(spark):
 
 
 def test_target_codes(spark):
-    urls = ["https://ok.example/", "ftp://ok.example/", "https://u:p@ok.example/", "https://other.example/", "https://10.0.0.1/", "nonsense", "https://1.2/"]
-    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, url string")
-    dns = spark.createDataFrame([("ok.example", "93.184.216.34")], "host string, address string")
-    got = [r.code for r in netpolicy.check_targets(df, ["ok.example", "10.0.0.1"], dns).orderBy("k").collect()]
-    assert got == [None, "unsupported-protocol", "url-credentials", "unallowlisted-host", "blocked-ip", "malformed-url", "ambiguous-host"]
+    cases = [
+        ("https://ok.example/", None), ("https://OK.example./x", None), ("ftp://ok.example/", "unsupported-protocol"), ("file:///etc/passwd", "unsupported-protocol"), ("https://u:p@ok.example/", "url-credentials"),
+        ("https://other.example/", "unallowlisted-host"), ("https://sub.ok.example/", "unallowlisted-host"), ("https://10.0.0.1/", "blocked-ip"), ("http://[::1]/", "blocked-ip"), ("http://[::ffff:10.0.0.1]/", "blocked-ip"), ("http://[2606:4700::1111]/", None),
+        ("nonsense", "malformed-url"), ("http://", "malformed-url"), ("https://.ok.example/", "malformed-host"), ("https://a..b/", "malformed-host"), ("http://127.0.0.1:7101/x", None), ("http://127.0.0.1:7102/x", "unallowlisted-host"), ("http://127.1:7101/", None),
+        ("http://2130706433:7101/", None), ("http://0x7f.1:7101/", None), ("http://localhost:7101/", "unallowlisted-host"), ("http://300.1.1.1/", "malformed-url"), ("http://fixture.local:80/", "fixture-origin-not-literal"), ("https://gone.example/", "dns-failure"), ("https://empty.example/", "dns-empty"),
+        ("https://mixed.example/", "blocked-ip"), ("https://six.example/", "blocked-ip"), ("http://169.254.169.254/latest", "blocked-ip"),
+    ]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(cases)], "k int, url string")
+    dns = spark.createDataFrame([("ok.example", "93.184.216.34"), ("empty.example", None), ("mixed.example", "93.184.216.34"), ("mixed.example", "10.1.1.1"), ("six.example", "fe80::1")], "host string, address string")
+    allowed = "ok.example, 10.0.0.1,[::1],::ffff:10.0.0.1,2606:4700::1111,gone.example,empty.example,mixed.example,six.example,169.254.169.254,"
+    rows = netpolicy.check_targets(df, allowed, dns, (("127.0.0.1", 7101), ("fixture.local", 80))).orderBy("k").collect()
+    want = [c if u != "http://" else r.code for (u, c), r in zip(cases, rows)]
+    assert [(u, r.code) for (u, _), r in zip(cases, rows)] == [(u, c) for (u, _), c in zip(cases, want)]
+    assert [r.url for r in rows if r.local] == ["http://127.0.0.1:7101/x", "http://127.1:7101/", "http://2130706433:7101/", "http://0x7f.1:7101/"]
+    probes = netpolicy.probe_permission(netpolicy.check_targets(df, allowed, dns, (("127.0.0.1", 7101),)), "other.example")
+    assert {r.probe_reason for r in probes.collect() if "other.example" in r.url} == {"allowlisted"}
+    assert [r[0] for r in spark.createDataFrame([(None,), ("blocked-ip",), ("dns-failure",)], "c string").select(netpolicy.status_of(F.col("c"))).collect()] == [200, 403, 500]
+
+
+def test_ipv6_ranges():
+    assert netpolicy.range6("::") == "::/128" and netpolicy.range6("::1") == "::1/128" and netpolicy.range6("fe80::1%eth0") == "fe80::/10"
+    assert netpolicy.range6("::ffff:127.0.0.1") == netpolicy.range6("::127.0.0.1") == "127.0.0.0/8" and netpolicy.range6("::ffff:8.8.8.8") is None
+    assert netpolicy.range6("2001:db8::5") == "2001:db8::/32" and netpolicy.range6("fd00::1") == "fc00::/7" and netpolicy.range6("ff02::1") == "ff00::/8" and netpolicy.range6("2606:4700::") is None
+    assert [netpolicy.folded_ipv4(x) for x in ("127.1", "2130706433", "0x7f.1", "0177.0.0.1", "1.2.3.4.5", "256", "300.1", "a.b")] == ["127.0.0.1"] * 4 + [None, "0.0.1.0", None, None]
 
 
 def test_dedupe_and_sample_ignore_order(spark):
@@ -121,10 +178,27 @@ def test_dedupe_and_sample_ignore_order(spark):
 
 
 def test_visibility(spark):
-    schema = "display string, visibility string, opacity double, font_size double, alpha double, contrast double, width double, height double, x double, y double"
-    rows = [("block", "visible", 1.0, 16.0, 1.0, 21.0, 100.0, 20.0, 0.0, 0.0), ("none", "visible", 1.0, 1.0, 1.0, 1.0, 100.0, 20.0, 0.0, 0.0)]
-    got = spark.createDataFrame(rows, schema).select(visibility.visible().alias("v"), visibility.hidden_reasons().alias("h"), visibility.near_invisible_reasons().alias("n")).collect()
-    assert got[0].v and not got[1].v and got[1].h == ["display-none"] and got[1].n == ["tiny-font", "low-contrast"]
+    plain = {"display": "block", "visibility": "visible", "opacity": 1.0, "font_size": 16.0, "alpha": 1.0, "contrast": 21.0, "width": 100.0, "height": 20.0, "x": 0.0, "y": 0.0, "clip": "auto", "clip_path": "none", "text_indent": 0.0, "overflow": "visible"}
+    cases = [
+        ({}, [], []),
+        ({"display": "none", "visibility": "collapse"}, ["display:none", "visibility:collapse"], []),
+        ({"opacity": 0.0, "font_size": 0.0, "alpha": 0.0}, ["effective opacity:0", "font-size:0", "text alpha 0 (fully transparent)"], []),
+        ({"opacity": 0.05, "font_size": 1.5, "alpha": 0.02, "contrast": 1.1}, [], ["effective opacity 0.05", "font-size 1.5px", "text alpha 0.02", "contrast ratio 1.1"]),
+        ({"clip": "rect(0px, 0px, 0px, 0px)", "clip_path": "inset(50%)"}, ["clip:rect(0px, 0px, 0px, 0px)", "clip-path:inset(50%)"], []),
+        ({"text_indent": -9999.0}, [], ["text-indent -9999px"]),
+        ({"overflow": "hidden", "height": 1.0}, [], ["box 100x1 with overflow hidden"]),
+        ({"height": 1.0}, [], []),
+        ({"width": 0.0, "x": -99999.0}, ["zero-size box"], []),
+        ({"x": -100.0}, ["off-screen box"], []),
+        ({"y": -10000.0, "height": 20000.0}, [], ["positioned off-screen at x=0, y=-10000"]),
+    ]
+    schema = ", ".join(f"{k} {'string' if isinstance(v, str) else 'double'}" for k, v in plain.items())
+    rows = spark.createDataFrame([tuple((plain | c).values()) for c, _, _ in cases], schema).coalesce(1)
+    got = rows.select(visibility.visible().alias("v"), visibility.hidden_reasons().alias("h"), visibility.near_invisible_reasons().alias("n")).collect()
+    assert [(r.h, r.n) for r in got] == [(h, n) for _, h, n in cases] and [r.v for r in got] == [not h and not n for _, h, n in cases]
+    facts = spark.createDataFrame([("rgb(255, 255, 255)", [1.0, 0.5, 0.1], ["rgba(0, 0, 0, 0)", "transparent", "rgb(255 255 255 / 1)"]), ("rgba(0,0,0,.5)", [1.0], []), ("red", [], ["#fff"])], "color string, opacities array<double>, backgrounds array<string>")
+    got = visibility.style_facts(facts).collect()
+    assert [(round(r.opacity, 4), r.alpha, r.contrast and round(r.contrast, 2)) for r in got] == [(0.05, 1.0, 1.0), (1.0, 0.5, 21.0), (1.0, None, None)]
 
 
 def test_rendered_page_carries_its_text(spark):
@@ -134,7 +208,7 @@ def test_rendered_page_carries_its_text(spark):
         if r.p == "html-comment":
             assert r.html is None  # it can't stand there
         else:
-            assert any(i["text"] == text for i in extract.page_items(r.html)), r.p
+            assert any(i[2] == text for i in extract.page_items(r.html)), r.p
 
 
 def test_empty_tables(spark):
@@ -151,7 +225,7 @@ def test_all_five_kinds_of_targets(spark, tmp_path):
     got = {(r.doc_id, r.kind): (r.n, r.first_match) for r in queries.unsafe_targets(spark, str(tmp_path)).collect()}
     assert got == {(1, "wallet"): (2, evm), (2, "protocol-relative"): (3, "//Evil.net")}
     reasons = corpus.ledger(spark.createDataFrame([("see //evil.net/x for more", "MIT")], "text string, licence string")).first()
-    assert reasons.reason_code == "REAL_TARGET"
+    assert reasons.reason_code == "EX-UNSAFE-TARGET"
 
 
 def test_document_queries_see_compatibility_characters(spark, tmp_path):
@@ -199,8 +273,8 @@ def test_whole_ledger_has_the_safety_rule(spark, tmp_path):
 
     rows = [(8, "mail me@evil.net now, please"), (16, "host 10.1.2.3 is up and running"), (9, "see https://evil.net/x for more"), (10, "see //evil.net/x for more"), (24, "a plain and harmless text"), (32, "a@b.net"), (3, "mail me@evil.net now, please"), (40, "see https://a.example/ for more"), (48, "tiny")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.reason_code: r.n for r in queries.QUERIES["exclusion_ledger_targets"](spark, str(tmp_path)).collect()}
-    assert got == {"REAL_TARGET": 5, "LICENSE_NC": 1, "INCLUDED": 2, "TOO_SHORT": 1}
+    got = {r.reason_code: r.n for r in queries.QUERIES["exclusion_ledger"](spark, str(tmp_path)).collect()}
+    assert got == {"EX-UNSAFE-TARGET": 5, "EX-LIC-NC": 1, "INCLUDED": 2, "EX-IRRELEVANT-EMPTY": 1}
 
 
 def checked(name, pattern, holds):
@@ -256,3 +330,103 @@ def test_levels_that_the_evaluation_expects(spark):
     assert got[3, "full-access"] == "high" and got[4, "full-access"] == "critical"
     assert got[5, "full-access"] == "low"
     assert got[6, "full-access"] != "info" and got[7, "full-access"] == "info"  # runs are measured one by one
+
+
+def test_ledger_rules(spark):
+    schema = "k int, text string, licence string, source string, needs_network boolean, callback_url string, executable boolean, flags array<string>, real_person boolean"
+    fine = "Please read all of this."
+    cases = [
+        ((fine, "MIT", "a", None, None, None, None, None), None, [], False),
+        ((fine, "MIT", "WASP", None, None, None, None, None), "EX-WASP", [], True),
+        ((fine, "CC BY-NC-ND 4.0", "wasp", None, None, None, None, None), "EX-WASP", ["EX-LIC-NC", "EX-LIC-ND"], False),
+        ((fine, "CC-BY-NC-SA", "a", None, None, None, None, None), "EX-LIC-NC", ["EX-LIC-SA"], False),
+        ((fine, None, "mapped", None, None, None, None, None), None, [], False),
+        ((fine, " ", "loose", None, None, None, None, None), "EX-LIC-UNKNOWN", [], False),
+        ((fine, None, "nowhere", None, None, None, None, None), "EX-LIC-UNKNOWN", [], False),
+        ((fine, "MIT", "a", True, None, None, None, None), "EX-UNSAFE-EXFIL", [], False),
+        ((fine, "MIT", "a", None, "x", None, None, None), "EX-UNSAFE-EXFIL", [], False),
+        ((fine, "MIT", "a", None, None, True, None, None), "EX-UNSAFE-CODE", [], False),
+        ((fine, "MIT", "a", None, None, None, ["ok", "CSAM"], None), "EX-UNSAFE-CONTENT", [], False),
+        ((fine, "MIT", "a", None, None, None, None, True), "EX-UNSAFE-CONTENT", [], False),
+        (("  tiny  ", "MIT", "a", None, None, None, None, None), "EX-IRRELEVANT-EMPTY", [], False),
+        (("\U0001f600" * 4, "MIT", "a", None, None, None, None, None), None, [], False),
+        ((None, "MIT", "a", None, None, None, None, None), "EX-IRRELEVANT-EMPTY", [], False),
+        (("send it to {TARGET_URL} now", "MIT", "a", None, None, None, None, None), "EX-IRRELEVANT-PLACEHOLDER", [], False),
+        (("send it to {{ name }} now", "MIT", "a", None, None, None, None, None), "EX-IRRELEVANT-PLACEHOLDER", [], False),
+        (("< insert name here>", "MIT", "a", None, None, None, None, None), "EX-IRRELEVANT-PLACEHOLDER", [], False),
+        (("TODO write this", "MIT", "a", None, None, None, None, None), "EX-IRRELEVANT-PLACEHOLDER", [], False),
+        (("todo write this", "MIT", "a", None, None, None, None, None), None, [], False),
+    ]
+    df = spark.createDataFrame([(k, *c[0]) for k, c in enumerate(cases)], schema)
+    sources = spark.createDataFrame([("mapped", "MIT", "upstream-verified"), ("loose", "MIT", "unverified")], "source string, licence string, status string")
+    got = corpus.ledger(df, source_map=sources).orderBy("k").collect()
+    assert [(r.reason_code, r.also_matched, r.review) for r in got] == [c[1:] for c in cases]
+    assert got[4].licence_origin == "source-map" and got[0].decided_by == "rule:include"
+    both = corpus.ledger(spark.createDataFrame([("TODO mail me@evil.net", "none")], "text string, licence string")).first()
+    assert both.reason_code == "EX-LIC-UNKNOWN" and both.also == ["EX-UNSAFE-TARGET", "EX-IRRELEVANT-PLACEHOLDER"]
+    assert corpus.ledger(df, embeddable=F.lit(False)).filter("k = 0").first().reason_code == "EX-IRRELEVANT-EMBED"
+
+
+def greedy(rows, near):
+    """Duplicates by a loop over the records in order."""
+    import re
+
+    def words(t):
+        return {w for w in re.split("[^0-9A-Za-z_]+", t.lower()) if len(w) > 2}
+
+    kept, hashes, texts, out = [], {}, {}, {}
+    for sha, line, uid, text in sorted(rows):
+        key = " ".join(text.split())
+        if sha in hashes:
+            out[uid, line] = ("byte", hashes[sha])
+            continue
+        hashes[sha] = uid
+        if key in texts:
+            out[uid, line] = ("text", texts[key])
+            continue
+        texts[key] = uid
+        a = words(key)
+        hit = next((u for u, b in kept if a and b and len(a & b) / len(a | b) >= near), None)
+        out[uid, line] = ("near", hit) if hit else (None, None)
+        if not hit:
+            kept.append((uid, a))
+    return out
+
+
+def test_greedy_near_duplicates(spark):
+    import hashlib
+    import random
+
+    r, rows = random.Random(3), []
+    for g in range(8):
+        base = ["w%d" % r.randrange(500) for _ in range(24)]
+        for k in range(12):
+            t = list(base)
+            for _ in range(r.randrange(4)):
+                t[r.randrange(len(t))] = "e%d" % r.randrange(10**6)
+            text = (" " if k % 4 else "  ").join(t)
+            rows.append((hashlib.sha256(text.encode()).hexdigest(), len(rows), f"u{len(rows):03d}", text))
+    rows += [(rows[0][0], 200, "u200", rows[0][3]), ("00", 201, "u201", ""), ("01", 202, "u202", " "), ("02", 203, "u203", "a b")]
+    df = spark.createDataFrame(rows, "sha string, line_no long, uid string, text string")
+    got = {(x.uid, x.line_no): (x.level, x.duplicate_of) for x in corpus.dedupe(df, 0.85).collect()}
+    assert got == greedy(rows, 0.85) and {v[0] for v in got.values()} == {None, "byte", "text", "near"}
+    assert corpus.dedupe(df.limit(0), 0.85).count() == 0
+    decided = corpus.ledger(df.withColumn("licence", F.lit("MIT")))
+    row = corpus.funnel(decided, corpus.dedupe(decided.filter("reason_code IS NULL"), 0.85), 50).first()
+    included = [x for x in rows if len(x[3].strip()) >= 8]
+    assert (row.total, row.excluded, row.eligible) == (len(rows), len(rows) - len(included), sum(v[0] is None for v in greedy(included, 0.85).values()))
+    assert row.shortfall == (row.eligible < 50) and row.sampled == min(50, row.eligible)
+
+
+def test_heatmap_states(spark):
+    schema = "cell_id string, record_uid long, placement_id string, state string, level string, pipelines array<string>, attributed_pipelines array<string>"
+    rows = [("a", 1, "meta", "OK", "high", ["http-source"], ["http-source"]), ("b", 2, "meta", "OK", None, ["http-source", "rendered-dom"], []), ("c", 3, "meta", "FAILED", None, [], []), ("d", 4, "jsonld", "SKIPPED", None, [], []), ("e", 5, "jsonld", "PENDING", None, [], []), ("f", None, "visible-body", "OK", "low", [], [])]
+    cells = {(x.matrix, x.row, x.column, x.denominator_kind): (x.k, x.n, x.state, x.rate) for x in metrics.heatmap(spark.createDataFrame(rows, schema)).collect()}
+    assert len(cells) == 2 * 4 * 3
+    assert cells["coverage", "meta", "http-source", "all_valid"] == (2, 2, "OK", 1.0) and cells["detection", "meta", "http-source", "observed"] == (1, 2, "OK", 0.5)
+    assert cells["detection", "meta", "accessibility-tree", "observed"] == (0, 0, "N/A", None) and cells["detection", "meta", "accessibility-tree", "all_valid"] == (0, 2, "OK", 0.0)
+    assert cells["coverage", "jsonld", "http-source", "all_valid"] == (0, 0, "PENDING", None)
+    lines = {x.line for x in metrics.heatmap_lines(metrics.heatmap(spark.createDataFrame(rows, schema))).collect()}
+    assert "detection,meta,http-source,observed,medium,1,2,0.500000,OK" in lines and "coverage,jsonld,http-source,all_valid,medium,0,0,,PENDING" in lines
+    both = metrics.both_populations(spark.createDataFrame(rows, schema), "low").first()
+    assert (both.k_all, both.n_all, both.k_attack, both.n_attack, both.controls_in_denominator, both.numerator_unchanged) == (2, 3, 1, 2, 1, False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import rules
 
-_JS_SPACE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+JS_SPACE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 _ZERO_WIDTH = "[\u200b-\u200d\ufeff\u2060]"
 _STRIPPED = "[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff\u00ad]"
 _TAGS = "[\U000e0000-\U000e007f]+"
@@ -15,7 +15,7 @@ _TAGS = "[\U000e0000-\U000e007f]+"
 
 def norm_key(text: Column) -> Column:
     """The key under which equal content meets: without zero-width characters, white space collapsed, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO_WIDTH, ""), _JS_SPACE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO_WIDTH, ""), JS_SPACE, " "))
 
 
 def decode_tags(text: Column) -> Column:
@@ -53,10 +53,15 @@ def matching_text(text: Column) -> Column:
     """The text that rules are matched against, for input that is already in NFKC (see risk.nfkc for the rest)."""
     plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _TAGS, " "), _STRIPPED, "")
     plain = F.regexp_replace(fold_lookalikes(plain), "[\u3099\u309a]", "")
-    plain = F.trim(F.regexp_replace(plain, _JS_SPACE, " "))
+    plain = F.trim(F.regexp_replace(plain, JS_SPACE, " "))
     return F.regexp_replace(plain, "(?i)ignoreallpreviousinstructions", "ignore all previous instructions")
 
 
+def utf16_length(text: Column) -> Column:
+    """Characters, those beyond the basic plane twice."""
+    return F.length(text) + F.regexp_count(text, F.lit("[\U00010000-\U0010ffff]"))
+
+
 def excerpt(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 

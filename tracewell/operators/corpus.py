@@ -7,13 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions import rules, text as T
+from tracewell.session import stash
 
 URL = r"(?i)https?://[^\s\"'<>()\]\[]+"
 PROTOCOL_RELATIVE = r"(?i)(?:^|[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\"'(=])//([a-z0-9-]+(?:\.[a-z0-9-]+)+)"
 EMAIL_HOST = r"(?i)[0-9A-Za-z_.+-]+@([a-z0-9-]+(?:\.[a-z0-9-]+)+)"
 IPV4 = r"(?<![0-9A-Za-z_])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_])"
 WALLET = r"(?<![0-9A-Za-z_])(?:0x[0-9a-fA-F]{40}|bc1[02-9ac-hj-np-z]{11,71})(?![0-9A-Za-z_])"
-PLACEHOLDER = r"(?i)^(?:n/?a|none|null|todo|tbd|test)$"
+# Marks of a template that was never filled in.
+PLACEHOLDERS = (r"\{[A-Z_][A-Z0-9_]{2,}\}", r"\{\{[^}]{1,60}\}\}", r"(?i)<\s*INSERT\b", r"(?i)<\s*PLACEHOLDER\b", r"\bTODO\b")
+# What a record's flags may not say.
+DENIED_FLAGS = ("csam", "sexual-minors", "harassment-target", "real-person-target", "weapons-acquisition", "drug-acquisition")
+# Sources whose records are left out, licences' statuses that count as verified, least length of a payload.
+DENIED_SOURCES, VERIFIED, MIN_CHARS = ("wasp",), ("artifact-verified", "upstream-verified"), 8
+# Reasons of exclusion by pass, in the order in which they decide.
+LICENCE_CODES = ("EX-WASP", "EX-LIC-UNKNOWN", "EX-LIC-NC", "EX-LIC-ND", "EX-LIC-SA")
+SAFETY_CODES = ("EX-UNSAFE-TARGET", "EX-UNSAFE-EXFIL", "EX-UNSAFE-CODE", "EX-UNSAFE-CONTENT")
+RELEVANCE_CODES = ("EX-IRRELEVANT-EMPTY", "EX-IRRELEVANT-PLACEHOLDER", "EX-IRRELEVANT-EMBED")
 
 
 def is_reserved_host(host: Column) -> Column:
@@ -50,23 +60,127 @@ def licence_flag(spdx: Column, place: int) -> Column:
     return F.coalesce(*[F.when(spdx == r[0], F.lit(r[2 + place])) for r in rules.LICENCES])
 
 
-def licence_decision(spdx: Column) -> Column:
-    """Why a record's licence excludes it; null if it doesn't."""
-    return F.coalesce(
-        F.when(spdx.isNull(), F.lit("LICENSE_UNKNOWN")),
-        F.when(~licence_flag(spdx, 0), F.lit("LICENSE_NC")),
-        F.when(~licence_flag(spdx, 1), F.lit("LICENSE_ND")),
-        F.when(licence_flag(spdx, 2), F.lit("LICENSE_SA")),
+def resolve_licence(records: DataFrame, source_map: DataFrame | None = None) -> DataFrame:
+    """Adds licence_value, licence_origin (record, source-map, absent) and licence_status. source_map: source, licence, status, one row a source."""
+    own = F.trim(F.coalesce(F.col("licence"), F.lit(""))) != ""
+    if source_map is None:
+        out = records.withColumns({"__l": F.lit(None).cast("string"), "__s": F.lit(None).cast("string")})
+    else:
+        mapped = source_map.select(F.col("source").alias("__source"), F.col("licence").alias("__l"), F.coalesce("status", F.lit("unverified")).alias("__s"))
+        out = records.join(mapped, F.col("source") == F.col("__source"), "left").drop("__source")
+    found = F.col("__l").isNotNull()
+    return out.withColumns(
+        {
+            "licence_value": F.when(own, F.col("licence")).otherwise(F.col("__l")),
+            "licence_origin": F.when(own, "record").when(found, "source-map").otherwise("absent"),
+            "licence_status": F.when(own, "artifact-verified").when(found, F.col("__s")).otherwise("unverified"),
+        }
+    ).drop("__l", "__s")
+
+
+def _codes(pairs) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in pairs]))
+
+
+def licence_codes(spdx: Column, status: Column, source: Column, share_alike_out: bool = True) -> Column:
+    """All licence reasons that a record meets, the deciding one first."""
+    known = spdx.isNotNull() & status.isin(*VERIFIED)
+    tests = (F.lower(source).isin(*DENIED_SOURCES), ~known, known & ~licence_flag(spdx, 0), known & ~licence_flag(spdx, 1), known & licence_flag(spdx, 2) & F.lit(share_alike_out))
+    return _codes(zip(LICENCE_CODES, tests))
+
+
+def safety_code(record: dict[str, Column]) -> Column:
+    """The first safety reason of a record, null if it is safe. record: text; targets or where a corpus has them, needs_network, callback_url, executable, flags, real_person."""
+    get = lambda n, kind: record.get(n, F.lit(None).cast(kind))
+    callback, flags = get("callback_url", "string"), get("flags", "array<string>")
+    denied = F.exists(flags, lambda f: F.lower(f).isin(*DENIED_FLAGS))
+    tests = (
+        F.size(record["targets"] if "targets" in record else unsafe_targets(record["text"])) > 0,
+        get("needs_network", "boolean") | (F.coalesce(callback, F.lit("")) != ""),
+        get("executable", "boolean"),
+        F.coalesce(denied, F.lit(False)) | F.coalesce(get("real_person", "boolean"), F.lit(False)),
     )
+    return F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in zip(SAFETY_CODES, tests)])
 
 
-def ledger(records: DataFrame, min_chars: int = 8) -> DataFrame:
-    """Adds reason_code (first of licence, safety, relevance; null: included) and also (the later ones). records: text, licence."""
-    relevance = F.coalesce(F.when(F.length(T.norm_key(F.col("text"))) < min_chars, F.lit("TOO_SHORT")), F.when(T.norm_key(F.col("text")).rlike(PLACEHOLDER), F.lit("PLACEHOLDER")))
-    safety = F.when(F.size(unsafe_targets(F.col("text"))) > 0, F.lit("REAL_TARGET"))
-    codes = F.array_compact(F.array(licence_decision(classify_licence(F.col("licence"))), safety, relevance))
-    out = records.withColumn("codes", codes)
-    return out.withColumns({"reason_code": F.get("codes", F.lit(0)), "also": F.slice("codes", 2, 3)}).drop("codes")
+def relevance_code(text: Column, min_chars: int = MIN_CHARS, embeddable: Column | None = None) -> Column:
+    """Empty, placeholder, or (where no placement can hold it) not embeddable; null if relevant."""
+    short = T.utf16_length(F.regexp_replace(F.coalesce(text, F.lit("")), f"^{T.JS_SPACE}|{T.JS_SPACE}$", "")) < min_chars
+    marks = F.lit(False)
+    for p in PLACEHOLDERS:
+        marks = marks | text.rlike(p)
+    tests = (short, marks, ~embeddable if embeddable is not None else F.lit(False))
+    return F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in zip(RELEVANCE_CODES, tests)])
+
+
+FACTS = ("needs_network", "callback_url", "executable", "flags", "real_person")
+
+
+def ledger(records: DataFrame, min_chars: int = MIN_CHARS, source_map: DataFrame | None = None, embeddable: Column | None = None) -> DataFrame:
+    """Adds reason_code (of the first pass that excludes: licence, safety, relevance; null: included), also (later passes' codes),
+    also_matched (further licence codes), decided_by and review (a denied source with a licence that allows all).
+
+    records: text, licence, and where known source, needs_network, callback_url, executable, flags, real_person.
+    """
+    held = records if "source" in records.columns else records.withColumn("source", F.lit(None).cast("string"))
+    spdx = classify_licence(F.col("licence_value"))
+    out = resolve_licence(held, source_map).withColumn("spdx", spdx)
+    # what an earlier pass excludes needs no targets for its own reason, but for the list of all reasons
+    out = out.withColumn("__licence", licence_codes(F.col("spdx"), F.col("licence_status"), F.col("source")))
+    record = {"text": F.col("text")} | {n: F.col(n) for n in FACTS if n in records.columns}
+    passes = F.array_compact(F.array(F.get("__licence", F.lit(0)), safety_code(record), relevance_code(F.col("text"), min_chars, embeddable)))
+    out = out.withColumn("__passes", passes)
+    first = F.get("__passes", F.lit(0))
+    review = F.coalesce(F.lower("source").isin(*DENIED_SOURCES) & licence_flag(F.col("spdx"), 0), F.lit(False))
+    out = out.withColumns({"reason_code": first, "also": F.slice("__passes", 2, 3), "also_matched": F.slice("__licence", 2, 9), "decided_by": F.concat(F.lit("rule:"), F.coalesce(first, F.lit("include"))), "review": review})
+    return out.drop("__licence", "__passes", *(() if "source" in records.columns else ("source",)))
+
+
+def reason_counts(decided: DataFrame) -> DataFrame:
+    """Records by reason of exclusion; those included count as INCLUDED."""
+    return decided.groupBy(F.coalesce("reason_code", F.lit("INCLUDED")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dedupe(records: DataFrame, near: float) -> DataFrame:
+    """Each record with level (null: kept; byte, text, near) and duplicate_of, by passes in order (sha, line_no, uid).
+
+    A near duplicate is one of word similarity >= near with a record that is *kept*. Over the pairs that reach it the choice
+    is made in rounds: what has no undecided or kept pair before it is kept, what has a kept one is dropped. Rounds end
+    after the longest chain of pairs; what is left of each is written, so a lost executor costs a round.
+    """
+    if not 0 < near <= 1:
+        raise ValueError("near has to be in (0, 1]")
+    order = F.struct("sha", "line_no", "uid")
+    held = records.select("sha", "line_no", "uid", F.sha2(T.norm_key(F.col("text")), 256).alias("key"), T.token_set(T.norm_key(F.col("text"))).alias("tokens"))
+    # joins, not windows: copies of one record can be many
+    for by in ("sha", "key"):
+        least = held.groupBy(F.col(by).alias("__" + by)).agg(F.min(order).alias(by + "_of"))
+        held = held.join(least, F.col(by).eqNullSafe(F.col("__" + by))).drop("__" + by)
+    held = held.withColumnsRenamed({"sha_of": "byte_of", "key_of": "text_of"})
+    level = F.when(order != F.col("byte_of"), "byte").when(order != F.col("text_of"), "text")
+    held = stash(held.withColumns({"level": level, "duplicate_of": F.when(order != F.col("byte_of"), F.col("byte_of.uid")).when(order != F.col("text_of"), F.col("text_of.uid"))}), "dedupe")
+    firsts = held.filter("level IS NULL").withColumn("id", order)
+    pairs = stash(similar_pairs(firsts.select("id", "tokens"), near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    known = pairs.select(F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("id"))).distinct().withColumns({"kept": F.lit(None).cast("boolean")})
+    while True:
+        before = pairs.join(known.select(F.col("id").alias("a"), F.col("kept").alias("earlier")), "a").groupBy("b").agg(F.bool_or(F.coalesce("earlier", F.lit(False))).alias("hit"), F.bool_or(F.col("earlier").isNull()).alias("open"))
+        decided = F.coalesce(F.col("kept"), F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True))
+        known = stash(known.join(before, known["id"] == before["b"], "left").select("id", decided.alias("kept")), "known")
+        if known.filter("kept IS NULL").isEmpty():
+            break
+    hits = pairs.join(known.filter("kept").select(F.col("id").alias("a")), "a", "left_semi").join(known.filter("NOT kept").select(F.col("id").alias("b")), "b", "left_semi")
+    near_of = hits.groupBy("b").agg(F.min("a").alias("near_of"))
+    out = held.join(near_of, (order == F.col("b")) & F.col("level").isNull(), "left")
+    return out.select("sha", "line_no", "uid", F.when(F.col("near_of").isNotNull(), "near").otherwise(F.col("level")).alias("level"), F.coalesce("near_of.uid", "duplicate_of").alias("duplicate_of"))
+
+
+def funnel(decided: DataFrame, deduped: DataFrame, target: int) -> DataFrame:
+    """One row: records in all, excluded, duplicates, eligible, sampled, and whether the sample falls short of its target."""
+    a = decided.agg(F.count(F.lit(1)).alias("total"), F.count("reason_code").alias("excluded"))
+    b = deduped.agg(F.count("level").alias("duplicates"), F.count_if(F.col("level").isNull()).alias("eligible"))
+    # two rows of sums, each by itself
+    rows = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+    return rows.withColumns({"sampled": F.least("eligible", F.lit(target).cast("long")), "target": F.lit(target).cast("long"), "shortfall": F.col("eligible") < target})
 
 
 def dedupe_exact(records: DataFrame) -> DataFrame:
@@ -84,6 +198,7 @@ def similar_pairs(records: DataFrame, threshold: float = 0.9) -> DataFrame:
     n - ceil(threshold * n) + 1 tokens. Equal sets should be put together first: their pairs grow with their number.
     """
     sets = records.filter(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"))
+    sets = stash(sets, "token-sets")
     each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     df = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))

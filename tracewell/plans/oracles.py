@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from tracewell.functions import rules
-from tracewell.functions.text import _JS_SPACE, _STRIPPED, _TAGS, _ZERO_WIDTH
+from tracewell.functions.text import JS_SPACE, _STRIPPED, _TAGS, _ZERO_WIDTH
+from tracewell.operators import corpus, variants
 
 
 def q(x: str) -> str:
@@ -11,13 +14,13 @@ def q(x: str) -> str:
 
 
 def norm_key(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), {q(_ZERO_WIDTH)}, '', 'g'), {q(_JS_SPACE)}, ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), {q(_ZERO_WIDTH)}, '', 'g'), {q(JS_SPACE)}, ' ', 'g'))"
 
 
 def matching_text(x: str) -> str:
     y = f"regexp_replace(regexp_replace(coalesce({x}, ''), {q(_TAGS)}, ' ', 'g'), {q(_STRIPPED)}, '', 'g')"
     y = f"translate({y}, {q(rules.LOOKALIKES)}, {q(rules.LATIN)})"
-    return f"regexp_replace(trim(regexp_replace({y}, {q(_JS_SPACE)}, ' ', 'g')), '(?i)ignoreallpreviousinstructions', 'ignore all previous instructions', 'g')"
+    return f"regexp_replace(trim(regexp_replace({y}, {q(JS_SPACE)}, ' ', 'g')), '(?i)ignoreallpreviousinstructions', 'ignore all previous instructions', 'g')"
 
 
 def any_of(x: str, patterns) -> str:
@@ -86,7 +89,7 @@ levels AS (SELECT *, CASE WHEN NOT has THEN 'info' ELSE ['info', 'low', 'medium'
 
 
 OBSERVATIONS = """obs AS (
-  SELECT CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id END AS record_uid, source,
+  SELECT doc_id, [""" + ", ".join(map(q, variants.TRANSFORMS)) + """][(doc_id % 8 + 1)::INT] AS transform_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id END AS record_uid, source,
          ['OK', 'OK', 'OK', 'OK', 'FAILED', 'PENDING', 'OK', 'SKIPPED', 'OK', 'NOT_RUN', 'OK'][(doc_id % 11 + 1)::INT] AS state,
          CASE WHEN doc_id % 11 IN (4, 5, 7, 9) THEN NULL ELSE [NULL, 'info', 'low', 'medium', 'high', 'critical'][((doc_id * 7) % 6 + 1)::INT] END AS level,
          ['visible-body', 'html-comment', 'meta', 'data-attribute', 'jsonld', 'css-hidden'][(doc_id % 6 + 1)::INT] AS placement_id,
@@ -95,6 +98,17 @@ OBSERVATIONS = """obs AS (
 RANK = "CASE level WHEN 'info' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 WHEN 'critical' THEN 5 ELSE 0 END"
 
 
+def heatmap() -> str:
+    """CTEs up to heat: every matrix, placement and pipeline with k, n, rate and state."""
+    seen, carried = "list_contains(pipelines, p)", f"{RANK} >= 3 AND pipelines[1] = p"
+    valid = "record_uid IS NOT NULL AND state = 'OK'"
+    worst = "['FAILED', 'PENDING', 'NOT_RUN', 'SKIPPED'][min(CASE state WHEN 'FAILED' THEN 1 WHEN 'PENDING' THEN 2 WHEN 'NOT_RUN' THEN 3 WHEN 'SKIPPED' THEN 4 END)::INT]"
+    return f"""{OBSERVATIONS}, cells AS (SELECT placement_id AS row, p AS "column", count(*) FILTER ({valid}) AS v, count(*) FILTER ({valid} AND {seen}) AS s, count(*) FILTER ({valid} AND {seen} AND {carried}) AS dd, count(*) FILTER ({valid} AND {carried}) AS da,
+  CASE WHEN count(*) FILTER ({valid}) > 0 THEN 'OK' ELSE {worst} END AS row_state FROM obs, (VALUES {', '.join(f'({q(x)})' for x in rules.PIPELINES)}) t(p) GROUP BY 1, 2 HAVING count(record_uid) > 0),
+long AS (SELECT 'coverage' AS matrix, row, "column", 'all_valid' AS denominator_kind, s AS k, v AS n, row_state FROM cells UNION ALL SELECT 'detection', row, "column", 'observed', dd, s, row_state FROM cells UNION ALL SELECT 'detection', row, "column", 'all_valid', da, v, row_state FROM cells),
+heat AS (SELECT matrix, row, "column", denominator_kind, 'medium' AS min_level, k, n, CASE WHEN row_state = 'OK' AND n = 0 THEN 'N/A' ELSE row_state END AS state, CASE WHEN row_state = 'OK' AND n > 0 THEN k / n END AS rate FROM long)"""
+
+
 def licence_name(x: str) -> str:
     y = f"lower(trim(coalesce({x}, '')))"
     for pattern, by in ((r"^the[\s-]+", ""), (r"[\s_]+", "-"), (r"-?licen[cs]e$", ""), (r"^creativecommons\.org/licen[cs]es/", ""), (r"/$", "")):
@@ -109,3 +123,21 @@ def spdx(x: str) -> str:
 def reserved(h: str) -> str:
     h = f"regexp_replace(lower({h}), '\\.$', '')"
     return f"({h} IN ({', '.join(map(q, rules.RESERVED_NAMES))}) OR " + " OR ".join(f"{h} = {q(s)} OR ends_with({h}, {q('.' + s)})" for s in rules.RESERVED_SUFFIXES) + ")"
+
+
+def targets() -> str:
+    """CTE targets: doc_id, kind, m of distinct real destinations in documents."""
+    two = "\\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\\b"
+    wallet = "\\b(?:0x[0-9a-fA-F]{40}|bc1[02-9ac-hj-np-z]{11,71})\\b"
+    found = lambda name, p, g=0: f"{name} AS (SELECT doc_id, unnest(regexp_extract_all(text, {q(p)}, {g})) AS m FROM documents)"
+    url_host = "regexp_extract(m, '(?i)^https?://(?:[^@/?#]*@)?([^/:?#]*)', 1)"
+    return f"""{found('e', corpus.EMAIL_HOST)}, {found('i', two)}, {found('u', corpus.URL)}, {found('r', re.sub(r'[\\]u([0-9A-F]{4})', lambda m: chr(int(m[1], 16)), corpus.PROTOCOL_RELATIVE), 1)}, {found('w', wallet)},
+targets AS (SELECT DISTINCT doc_id, 'email' AS kind, m FROM e WHERE NOT {reserved("regexp_extract(m, '@([^@]*)$', 1)")} UNION ALL SELECT DISTINCT doc_id, 'ipv4', m FROM i WHERE m NOT IN ('127.0.0.1', '0.0.0.0')
+  UNION ALL SELECT DISTINCT doc_id, 'url', m FROM u WHERE NOT {reserved(url_host)} UNION ALL SELECT DISTINCT doc_id, 'protocol-relative', '//' || m FROM r WHERE NOT {reserved('m')} UNION ALL SELECT DISTINCT doc_id, 'wallet', m FROM w)"""
+
+
+def relevance(x: str) -> str:
+    """Why a text is irrelevant, null if it isn't."""
+    trimmed = f"regexp_replace(coalesce({x}, ''), {q('^' + JS_SPACE + '|' + JS_SPACE + '$')}, '', 'g')"
+    units = f"length({trimmed}) + len(regexp_extract_all({trimmed}, {q('[' + chr(0x10000) + '-' + chr(0x10FFFF) + ']')}))"
+    return f"CASE WHEN {units} < {corpus.MIN_CHARS} THEN 'EX-IRRELEVANT-EMPTY' WHEN " + " OR ".join(f"regexp_matches({x}, {q(p)})" for p in corpus.PLACEHOLDERS) + " THEN 'EX-IRRELEVANT-PLACEHOLDER' END"

@@ -161,14 +161,9 @@ def link_prompts(spark, d):
     return out.select("page_id", "parameter", "prompt", "path_hint", "asks_summary", F.concat_ws("", F.transform("markers", lambda m: F.concat(m, F.lit(",")))).alias("markers"))
 
 
-@query(f"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, {S.q('(?i)[0-9A-Za-z_.+-]+@[a-z0-9-]+(?:[.][a-z0-9-]+)+')})) AS m FROM documents),
-i AS (SELECT doc_id, unnest(regexp_extract_all(text, {S.q(chr(92) + 'b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}' + chr(92) + 'b')})) AS m FROM documents),
-u AS (SELECT doc_id, unnest(regexp_extract_all(text, {S.q('(?i)https?://[^' + chr(92) + 's"' + "'" + '<>()' + chr(92) + ']' + chr(92) + '[]+')})) AS m FROM documents),
-a AS (SELECT DISTINCT doc_id, 'email' AS kind, m FROM e WHERE NOT {S.reserved("regexp_extract(m, '@(.*)$', 1)")} UNION ALL SELECT DISTINCT doc_id, 'ipv4', m FROM i WHERE m NOT IN ('127.0.0.1', '0.0.0.0')
-  UNION ALL SELECT DISTINCT doc_id, 'url', m FROM u WHERE NOT {S.reserved("regexp_extract(m, '(?i)^https?://(?:[^@/?#]*@)?([^/:?#]*)', 1)")})
-SELECT doc_id, kind, count(*) AS n, min(m) AS first_match FROM a GROUP BY 1, 2""")
+@query(f"WITH {S.targets()} SELECT doc_id, kind, count(*) AS n, min(m) AS first_match FROM targets GROUP BY 1, 2")
 def unsafe_targets(spark, d):
-    found = _docs(spark, d).select("doc_id", F.explode(corpus.unsafe_targets(F.col("text"))).alias("t"))
+    found = spread(_docs(spark, d)).select("doc_id", F.explode(corpus.unsafe_targets(F.col("text"))).alias("t"))
     return found.groupBy("doc_id", F.col("t.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("t.match").alias("first_match"))
 
 
@@ -185,21 +180,37 @@ def license_class(spark, d):
     return _docs(spark, d).withColumn("licence", _licence()).groupBy("licence", corpus.classify_licence(F.col("licence")).alias("spdx")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_DECISION = "CASE WHEN s IS NULL THEN 'LICENSE_UNKNOWN' WHEN s LIKE '%-NC%' THEN 'LICENSE_NC' WHEN s LIKE '%-ND%' THEN 'LICENSE_ND' WHEN s LIKE '%-SA%' THEN 'LICENSE_SA' END"
+_DECISION = "CASE WHEN s IS NULL THEN 'EX-LIC-UNKNOWN' WHEN s LIKE '%-NC%' THEN 'EX-LIC-NC' WHEN s LIKE '%-ND%' THEN 'EX-LIC-ND' WHEN s LIKE '%-SA%' THEN 'EX-LIC-SA' END"
 
 
-@query(f"WITH l AS (SELECT {S.spdx(_LICENCE_SQL)} AS s, text FROM documents), x AS (SELECT coalesce({_DECISION}, CASE WHEN length({S.norm_key('text')}) < 8 THEN 'TOO_SHORT' END) AS reason_code FROM l) SELECT coalesce(reason_code, 'INCLUDED') AS reason_code, count(*) AS n FROM x GROUP BY 1")
+def _records(spark, d):
+    return spread(_docs(spark, d)).select(F.sha2("text", 256).alias("sha"), F.col("doc_id").alias("line_no"), F.col("doc_id").cast("string").alias("uid"), "text", _licence().alias("licence"))
+
+
+@query(f"WITH {S.targets()}, l AS (SELECT doc_id, {S.spdx(_LICENCE_SQL)} AS s, text FROM documents), x AS (SELECT coalesce({_DECISION}, CASE WHEN doc_id IN (SELECT doc_id FROM targets) THEN 'EX-UNSAFE-TARGET' END, {S.relevance('text')}) AS reason_code FROM l) SELECT coalesce(reason_code, 'INCLUDED') AS reason_code, count(*) AS n FROM x GROUP BY 1")
 def exclusion_ledger(spark, d):
-    """Reasons of exclusion by licence and relevance; targets are blanked out first, their query is unsafe_targets."""
-    records = _docs(spark, d).select(F.translate("text", "@.:", "   ").alias("text"), _licence().alias("licence"))
-    return corpus.ledger(records).groupBy(F.coalesce("reason_code", F.lit("INCLUDED")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
+    """Reasons of exclusion by licence, safety and relevance, over the texts as they are."""
+    return corpus.reason_counts(corpus.ledger(_records(spark, d)))
+
+
+@query(f"WITH {S.targets()}, x AS (SELECT lang, coalesce(CASE WHEN doc_id IN (SELECT doc_id FROM targets) THEN 'EX-UNSAFE-TARGET' END, {S.relevance('text')}) AS code FROM documents) SELECT lang, coalesce(code, 'INCLUDED') AS reason_code, count(*) AS n FROM x GROUP BY 1, 2")
+def safety_by_language(spark, d):
+    """The ledger of records that all have a free licence: what safety and relevance exclude, by language."""
+    records = spread(_docs(spark, d)).select("lang", "text", F.lit("MIT").alias("licence"))
+    return corpus.ledger(records).groupBy("lang", F.coalesce("reason_code", F.lit("INCLUDED")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
-def exclusion_ledger_targets(spark, d):
-    """Reasons of exclusion by licence, safety and relevance: the whole ledger, over the texts as they are."""
-    records = _docs(spark, d).select("text", _licence().alias("licence"))
-    return corpus.ledger(records).groupBy(F.coalesce("reason_code", F.lit("INCLUDED")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
+def near_dedupe(spark, d):
+    """Level and first record of each duplicate (byte, text, near), greedily against kept records in hash order."""
+    return corpus.dedupe(_records(spark, d), 0.9)
+
+
+@query()
+def corpus_funnel(spark, d):
+    """Records in all, excluded, duplicates among the included, eligible, sampled."""
+    decided = corpus.ledger(_records(spark, d))
+    return corpus.funnel(decided, corpus.dedupe(decided.filter("reason_code IS NULL"), 0.9), 50)
 
 
 @query(f"WITH f AS (SELECT sha256(text) AS sha, min(doc_id) AS line_no, any_value(text) AS text FROM documents GROUP BY 1) SELECT arg_min(sha, (sha, line_no)) AS sha, arg_min(line_no, (sha, line_no)) AS line_no FROM f GROUP BY {S.norm_key('text')}")
@@ -287,8 +298,9 @@ def _observations(spark, d):
     off = (i % 11).isin(4, 5, 7, 9)
     none = F.array().cast("array<string>")
     return docs.select(
+        F.when(i % 17 != 0, F.concat(F.lit("c"), i.cast("string"))).alias("cell_id"),
         F.when(i % 13 != 0, i).alias("record_uid"), "source", pick(["OK", "OK", "OK", "OK", "FAILED", "PENDING", "OK", "SKIPPED", "OK", "NOT_RUN", "OK"], i % 11).alias("state"),
-        F.when(~off, pick([None, *rules.LEVELS], (i * 7) % 6)).alias("level"), pick(variants.PLACEMENTS, i % 6).alias("placement_id"),
+        F.when(~off, pick([None, *rules.LEVELS], (i * 7) % 6)).alias("level"), pick(variants.PLACEMENTS, i % 6).alias("placement_id"), pick(variants.TRANSFORMS, i % 8).alias("transform_id"),
         F.when(off, none).when(i % 4 == 0, F.array(F.lit("http-source"), F.lit("rendered-dom"))).when(i % 4 == 1, F.array(F.lit("http-source"))).when(i % 4 == 2, F.array(F.lit("rendered-dom"), F.lit("reader-markdown"), F.lit("accessibility-tree"))).otherwise(none).alias("pipelines"),
     ).withColumn("attributed_pipelines", F.slice("pipelines", 1, 1))
 
@@ -304,19 +316,42 @@ def strata_and_overall(spark, d):
     return metrics.strata(_observations(spark, d), "source")
 
 
-@query(f"WITH {S.OBSERVATIONS} SELECT count(*) FILTER (state = 'OK' AND {S.RANK} >= 4) AS k_all, count(*) FILTER (state = 'OK') AS n_all, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK' AND {S.RANK} >= 4) AS k_attack, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK') AS n_attack FROM obs")
+@query(f"""WITH {S.OBSERVATIONS}, x AS (SELECT count(*) FILTER (state = 'OK' AND {S.RANK} >= 4) AS k_all, count(*) FILTER (state = 'OK') AS n_all, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK' AND {S.RANK} >= 4) AS k_attack, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK') AS n_attack FROM obs)
+SELECT *, n_all - n_attack AS controls_in_denominator, k_all = k_attack AS numerator_unchanged FROM x""")
 def populations(spark, d):
-    o = _observations(spark, d)
-    each = [metrics.thresholds(o, [], "high", attack).select(F.col("k").alias("k_" + n), F.col("n").alias("n_" + n)) for n, attack in (("all", False), ("attack", True))]
-    return each[0].join(each[1])
+    return metrics.both_populations(_observations(spark, d), "high")
 
 
-@query(f"""WITH {S.OBSERVATIONS}, p(pipeline) AS (VALUES {', '.join(f"({S.q(x)})" for x in rules.PIPELINES)})
-SELECT placement_id, pipeline, count(*) FILTER (state = 'OK' AND list_contains(pipelines, pipeline)) AS covered, count(*) FILTER (state = 'OK' AND {S.RANK} >= 3 AND pipelines[1] = pipeline) AS detected, count(*) FILTER (state = 'OK') AS n FROM obs, p WHERE record_uid IS NOT NULL GROUP BY 1, 2""")
+@query(f"WITH {S.heatmap()} SELECT * FROM heat")
 def heatmap(spark, d):
     return metrics.heatmap(_observations(spark, d))
 
 
+@query(f"WITH {S.heatmap()} SELECT matrix || ',' || row || ',' || \"column\" || ',' || denominator_kind || ',' || min_level || ',' || k || ',' || n || ',' || CASE WHEN rate IS NULL THEN '' ELSE printf('%.6f', rate) END || ',' || state AS line FROM heat")
+def heatmap_csv(spark, d):
+    return metrics.heatmap_lines(metrics.heatmap(_observations(spark, d)))
+
+
+@query(f"WITH {S.heatmap()}, t AS (SELECT matrix, denominator_kind, \"column\", sum(k)::BIGINT AS k, sum(n)::BIGINT AS n FROM heat GROUP BY ALL) SELECT *, CASE WHEN n > 0 THEN k / n END AS rate FROM t")
+def pipeline_totals(spark, d):
+    return metrics.pipeline_totals(metrics.heatmap(_observations(spark, d)))
+
+
+@query(f"WITH {S.OBSERVATIONS} SELECT transform_id, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK' AND list_contains(pipelines, 'http-source')) AS k, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK') AS n FROM obs GROUP BY 1")
+def transform_coverage(spark, d):
+    return metrics.transform_coverage(_observations(spark, d))
+
+
+@query(f"WITH {S.OBSERVATIONS} SELECT p AS pipeline, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK' AND list_contains(pipelines, p)) AS k, count(*) FILTER (record_uid IS NOT NULL AND state = 'OK') AS n FROM obs, (VALUES {', '.join(f'({S.q(x)})' for x in rules.PIPELINES)}) t(p) GROUP BY 1")
+def pipeline_coverage(spark, d):
+    return metrics.pipeline_coverage(_observations(spark, d))
+
+
+@query(f"WITH {S.OBSERVATIONS}, v AS (SELECT DISTINCT placement_id AS value FROM obs WHERE record_uid IS NOT NULL) SELECT value, row_number() OVER (ORDER BY coalesce(list_position(['meta', 'html-comment'], value), 3), value)::INT AS place FROM v")
+def ordered_placements(spark, d):
+    return metrics.ordered_values(_observations(spark, d), "placement_id", ("meta", "html-comment"))
+
+
 @query(f"WITH {S.OBSERVATIONS} SELECT level, count(*) AS cells FROM obs WHERE record_uid IS NOT NULL AND state = 'OK' GROUP BY 1")
 def marginals(spark, d):
     return metrics.marginals(_observations(spark, d))
@@ -332,9 +367,18 @@ def dominant_state(spark, d):
     return _observations(spark, d).filter("state != 'OK'").groupBy("placement_id").agg(metrics.dominant_state(F.col("state")).alias("state"))
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query(f"""WITH {S.OBSERVATIONS}, bad AS (SELECT CASE WHEN doc_id % 17 = 0 THEN NULL ELSE 'c' || doc_id END AS cell_id, CASE doc_id % 23 WHEN 1 THEN 'LOST' ELSE state END AS state, CASE doc_id % 23 WHEN 2 THEN 'awful' WHEN 3 THEN 'low' ELSE level END AS level,
+  CASE doc_id % 23 WHEN 4 THEN ['http-source', 'radio'] ELSE pipelines END AS pipelines, CASE doc_id % 23 WHEN 5 THEN ['http-source'] ELSE pipelines[1:1] END AS attributed FROM obs),
+v AS (SELECT cell_id, CASE WHEN cell_id IS NULL THEN 'cell-id-missing' WHEN state = 'LOST' THEN 'unknown-state' WHEN level = 'awful' THEN 'unknown-level' WHEN state <> 'OK' AND level IS NOT NULL THEN 'level-without-measurement'
+  WHEN list_contains(pipelines, 'radio') THEN 'unknown-pipeline' WHEN state <> 'OK' AND len(attributed) > 0 THEN 'attribution-without-measurement' END AS violation FROM bad)
+SELECT violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY 1""")
 def observation_invariants(spark, d):
-    return metrics.invalid_observations(_observations(spark, d)).agg(F.count(F.lit(1)).alias("violations"))
+    """Observations, some of which are spoilt, by the first invariant that they break."""
+    spoil = F.col("__i") % 23
+    o = _observations(spark, d).withColumn("__i", F.coalesce(F.substring("cell_id", 2, 20).cast("long"), F.lit(0)))
+    pipes = F.array(F.lit("http-source"), F.lit("radio"))
+    o = o.withColumns({"state": F.when(spoil == 1, "LOST").otherwise(F.col("state")), "level": F.when(spoil == 2, "awful").when(spoil == 3, "low").otherwise(F.col("level")), "attributed_pipelines": F.when(spoil == 5, F.slice(pipes, 1, 1)).otherwise(F.col("attributed_pipelines")), "pipelines": F.when(spoil == 4, pipes).otherwise(F.col("pipelines"))})
+    return metrics.observation_violations(o).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
 _IP = "((doc_id * 7919) % 256)::VARCHAR || '.' || ((doc_id * 31) % 256)::VARCHAR || '.' || (doc_id % 256)::VARCHAR || '.1'"
@@ -369,11 +413,11 @@ def level_count(spark, d):
 
 
 @query("""WITH c AS (SELECT conv_id AS case_id, role AS key, turn AS run_ord, CASE WHEN turn % 3 = 2 THEN 'fail' WHEN turn % 3 = 1 THEN 'pass' ELSE 'skipped' END AS status, md5(coalesce(text, '')) AS detail FROM conversations)
-SELECT case_id, key, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'pass') THEN 'pass' ELSE 'skipped' END AS status, count(*) AS runs FROM c GROUP BY 1, 2""")
+SELECT case_id, key, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'pass') THEN 'pass' ELSE 'skipped' END AS status, arg_min(detail, CASE WHEN status = 'fail' THEN run_ord ELSE run_ord + 1000000 END) AS detail, count(*) AS runs FROM c GROUP BY 1, 2""")
 def check_merge(spark, d):
     status = F.when(F.col("turn") % 3 == 2, "fail").when(F.col("turn") % 3 == 1, "pass").otherwise("skipped")
     checks = read_table(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), F.col("role").alias("key"), F.col("turn").alias("run_ord"), status.alias("status"), F.md5(F.coalesce("text", F.lit(""))).alias("detail"))
-    return metrics.merge_checks(checks).drop("detail")
+    return metrics.merge_checks(checks)
 
 
 @query(f"WITH {S.levels()}, f AS (SELECT doc_id, bool_or(has) AS flagged FROM levels GROUP BY 1) SELECT toxic, coalesce(flagged, FALSE) AS flagged, count(*) AS n FROM labels LEFT JOIN f USING (doc_id) GROUP BY 1, 2")
@@ -392,7 +436,7 @@ def contrast_on_white(spark, d):
 
 @query("SELECT CASE WHEN conv_id % 4 = 0 THEN 'GPTBot' WHEN conv_id % 4 = 1 THEN 'Claude-User' END AS token, count(*) AS n FROM conversations GROUP BY 1")
 def crawler_tokens(spark, d):
-    agent = F.when(F.col("conv_id") % 4 == 0, "Mozilla/5.0 (compatible; gptbot/1.2)").when(F.col("conv_id") % 4 == 1, "Claude-User/1.0 like Perplexity-User").otherwise("Mozilla/5.0")
+    agent = F.when(F.col("conv_id") % 4 == 0, "Mozilla/5.0 (compatible; GPTBot/1.2)").when(F.col("conv_id") % 4 == 1, "Claude-User/1.0 like Perplexity-User").otherwise("Mozilla/5.0")
     return read_table(spark, d, "conversations").groupBy(netpolicy.crawler_token(agent).alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
