@@ -44,11 +44,38 @@ def inspect_links(anchors: DataFrame) -> DataFrame:
     return out.withColumn("path_hint", path.rlike(rules.ASSISTANT_PATHS)).withColumns(classify_prompt(F.col("prompt")))
 
 
+def embedded_targets(text: Column) -> Column:
+    """URLs in a text, then e-mail addresses, each once among the latter. They are evidence and never requested."""
+    urls = F.regexp_extract_all(text, F.lit(r"((?i:https?)://[^\s\"'<>)\]]+)"), F.lit(1))
+    mails = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.]+)"), F.lit(1)))
+    return F.concat(urls, F.array_except(mails, urls))
+
+
 def fragments(urls: DataFrame) -> DataFrame:
-    """URL fragments, raw and decoded, with their key=value pairs. urls: url and more."""
-    raw = F.regexp_extract("url", "#(.*)$", 1)
-    out = urls.filter(F.col("url").contains("#")).withColumn("raw_fragment", raw).filter("raw_fragment != ''")
+    """URL fragments, raw and decoded, with their key=value pairs (the last of a repeated key). urls: url and more."""
+    out = urls.withColumn("raw_fragment", F.regexp_extract("url", "#([\\s\\S]*)$", 1)).filter("raw_fragment != ''")
     out = out.withColumn("fragment", url_decode(F.col("raw_fragment"), False))
-    pairs = F.filter(F.split("raw_fragment", "&"), lambda p: p.rlike("^[^=]+="))
+    plain = F.regexp_replace("fragment", r"^\?", "")
+    pairs = F.when(plain.rlike(r"^[^=&\s]+="), F.filter(F.split(plain, "&"), lambda p: p.rlike("^[^=]+="))).otherwise(F.array().cast("array<string>"))
     entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), url_decode(F.regexp_replace(p, "^[^=]*=", ""), True).alias("value")))
-    return out.withColumn("nested", entries)
+    out = out.withColumn("__entries", entries)
+    last = F.transform(F.array_distinct(F.transform("__entries", lambda e: e["key"])), lambda k: F.element_at(F.filter("__entries", lambda e: e["key"] == k), -1))
+    return out.withColumn("nested", last).drop("__entries")
+
+
+def channel_segments(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """The texts of a page's side channels, links first: page_id, channel, ord, text, delivery, visible, in_code, path, host, parameter, raw, markers, benign, targets.
+
+    links: page_id, ord, href, path; pages: page_id, url. Only links on a conversation's first page count.
+    """
+    raw = lambda p: F.regexp_extract("href", rf"[?&]{p}=([^&#]*)", 1)
+    found = inspect_links(links).filter("path_hint")
+    value = F.coalesce(*[F.when(F.col("parameter") == p, raw(p)) for p in rules.PROMPT_PARAMS])
+    one = found.select("page_id", F.lit("ai-summary-link").alias("channel"), F.col("ord").cast("int").alias("ord"), F.col("prompt").alias("text"), F.lit("ai-link-prompt").alias("delivery"), F.col("path"), "host", "parameter", value.alias("raw"), "markers", "benign")
+    of = F.when(F.size("nested") > 0, F.array_join(F.transform("nested", lambda e: e["value"]), "\n")).otherwise(F.col("fragment"))
+    two = fragments(pages).select(
+        "page_id", F.lit("url-fragment").alias("channel"), F.lit(1 << 30).alias("ord"), of.alias("text"), F.lit("url-fragment").alias("delivery"), F.lit("(URL fragment)").alias("path"), F.lit(None).cast("string").alias("host"),
+        F.lit(None).cast("string").alias("parameter"), F.col("raw_fragment").alias("raw"), F.array().cast("array<string>").alias("markers"), F.lit(False).alias("benign"),
+    )
+    both = one.unionByName(two)
+    return both.withColumns({"visible": F.lit(False), "in_code": F.lit(False), "targets": embedded_targets(F.col("text"))})

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules, text as T
 from tracewell.session import ship_package
 
-QUOTES = "[\"'`“”‘’「」]"
+# Fixed value: quotation marks.
+QUOTES = "[\"'“”‘’]"
 
 
 def _any(text: Column, patterns) -> Column:
@@ -76,7 +77,7 @@ def with_intents(segments: DataFrame, column: str = "text") -> DataFrame:
     step = step.withColumn("unquoted", F.when(quoted, F.filter(F.array(*loose), lambda x: x.isNotNull())).otherwise(F.col("intents")))
     step = step.drop(*[f"i_{n}" for n in rules.INTENTS])
     step = step.withColumn("override", may_match(low, "overrides") & _any(body, rules.OVERRIDES))
-    why = F.coalesce(F.when(may_match(low, "addressing"), F.coalesce(*[F.when(body.rlike(rules.java(p)), F.lit(w)) for w, p in rules.ADDRESSING])), F.when(F.col("override"), F.lit("overrides earlier instructions")))
+    why = F.coalesce(F.when(may_match(low, "addressing"), F.coalesce(*[F.when(body.rlike(rules.java(p)), F.lit(w)) for w, p in rules.ADDRESSING])), F.when(F.col("override"), F.lit("override")))
     return step.withColumns({"addressed_why": why, "secrecy": may_match(low, "secrecy-gate") & _any(body, [rules.SECRECY]), "imperative": may_match(low, "imperative") & _any(body, rules.IMPERATIVE)}).drop("low")
 
 
@@ -145,7 +146,7 @@ def explain(assessed: DataFrame) -> DataFrame:
     parts = [
         F.when(F.size("kept") == 0, F.lit("No instruction was found.")),
         F.when(F.size("kept") > 0, F.concat(F.lit("Intents: "), F.array_join("kept", ", "), F.lit("."))),
-        F.when(F.col("addressed_why").isNotNull(), F.concat(F.lit("It "), F.col("addressed_why"), F.lit("."))),
+        F.when(F.col("addressed_why").isNotNull(), F.concat(F.lit("Addressed to an automated reader ("), F.col("addressed_why"), F.lit(")."))),
         F.when(F.col("non_visible"), F.concat(F.lit("Delivered as "), F.col("delivery"), F.lit("."))),
         F.when(F.col("discounted"), F.lit("Discounted: it is quoted, or nothing matched outside quotes.")),
     ]

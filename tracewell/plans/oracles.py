@@ -27,7 +27,7 @@ def any_of(x: str, patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches({x}, {q(rules.re2(p))})" for p in patterns) + ")"
 
 
-QUOTED = "[\"'`“”‘’「」]"
+QUOTED = "[\"'“”‘’]"
 
 
 def outside(x: str, patterns) -> str:

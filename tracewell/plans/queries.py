@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import rules, text as T
-from tracewell.operators import channels, corpus, extract, grouping, metrics, netpolicy, risk, variants, visibility
+from tracewell.operators import channels, corpus, extract, grouping, metrics, netpolicy, report, risk, variants, visibility
 from tracewell.plans import oracles as S
 from tracewell.session import read_table, spread
 from tracewell.sources.corpus import parse_jsonl, rate_text
@@ -68,7 +68,7 @@ def intent_counts(spark, d):
     return f.select(names, "intents", "unquoted").groupBy("intent").agg(F.count_if(F.array_contains("intents", F.col("intent"))).alias("segments"), F.count_if(F.array_contains("unquoted", F.col("intent"))).alias("unquoted"))
 
 
-@query(f"WITH {S.LINES} SELECT CASE " + " ".join(f"WHEN {S.any_of('b', [p])} THEN {S.q(w)}" for w, p in rules.ADDRESSING) + f" WHEN {S.any_of('b', rules.OVERRIDES)} THEN 'overrides earlier instructions' END AS addressed_why, count(*) AS segments FROM body GROUP BY 1")
+@query(f"WITH {S.LINES} SELECT CASE " + " ".join(f"WHEN {S.any_of('b', [p])} THEN {S.q(w)}" for w, p in rules.ADDRESSING) + f" WHEN {S.any_of('b', rules.OVERRIDES)} THEN 'override' END AS addressed_why, count(*) AS segments FROM body GROUP BY 1")
 def addressed_counts(spark, d):
     return risk.with_intents(_segments(spark, d)).groupBy("addressed_why").agg(F.count(F.lit(1)).alias("segments"))
 
@@ -132,14 +132,35 @@ def page_groups(spark, d):
     return grouping.matrix(grouping.groups(source.unionByName(rendered)))
 
 
+def _assessed(spark, d, capabilities):
+    pages = spread(read_table(spark, d, "pages"))
+    return pages, report.assessed(report.grouped(report.Views(extract.items(pages))), capabilities)
+
+
+def _findings(spark, d, capabilities):
+    pages, groups = _assessed(spark, d, capabilities)
+    return report.findings(groups, channels.channel_segments(extract.links(pages), pages.select("page_id", "url")), capabilities=capabilities)
+
+
 @query()
 def page_findings(spark, d):
-    """Findings by page, level first: items assessed for a reader with full access."""
-    items = extract.items(read_table(spark, d, "pages")).filter("key != ''")
-    delivery = F.when(F.col("kind") == "comment", "comment").when(F.col("kind") == "meta", "meta").when(F.col("kind").startswith("jsonld"), "jsonld").when(F.col("kind").isin("attribute", "data-attribute", "hidden-input-value"), "attribute").when(F.size("hints") > 0, "css-hidden").otherwise("visible")
-    segments = items.withColumns({"delivery": delivery}).withColumn("visible", F.col("delivery") == "visible").withColumnRenamed("in_code", "in_code")
-    found = risk.explain(risk.assess(risk.with_intents(risk.nfkc(segments.drop("decoded"))), ["full-access"])).filter("level != 'info'")
-    return grouping.ordered_findings(found, ["page_id"], ["ord"]).select("page_id", "finding_no", "place", "level", "kind", "primary_intent", T.excerpt(F.col("text")).alias("excerpt"), "explanation")
+    """Findings of each page's source, links and address, level first, for a reader with full access."""
+    found = _findings(spark, d, ["full-access"])
+    return found.select("page_id", "finding_id", "shown_at", "level", "delivery", "instruction", "tier", "excerpt", F.array_join(F.transform("signals", lambda s: s["type"]), ",").alias("signals"))
+
+
+@query()
+def page_report(spark, d):
+    """One row for each page and capability: findings by level, strongest level, intents."""
+    out = report.report(_findings(spark, d, list(rules.CAPABILITIES)))
+    return out.withColumn("intents", F.array_join("intents", ","))
+
+
+@query()
+def page_matrix(spark, d):
+    """Presence by view of what matters on a page, for a reader with full access."""
+    out = report.matrix(_assessed(spark, d, ["full-access"])[1])
+    return out.withColumns({"kinds": F.array_join("kinds", ","), "paths": F.array_join("paths", "\n")})
 
 
 @query("SELECT page_id, regexp_extract(url, '#(.*)$', 1) AS raw_fragment, url_decode(regexp_extract(url, '#(.*)$', 1)) AS fragment FROM pages WHERE contains(url, '#') AND regexp_extract(url, '#(.*)$', 1) <> ''")
