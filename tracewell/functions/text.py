@@ -90,6 +90,31 @@ def escape_markup(text: Column, quotes: bool = False) -> Column:
     return text
 
 
+def escape_xml(text: Column) -> Column:
+    """For drawings: the five characters with a meaning in markup."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def unrepresentable(text: Column) -> Column:
+    """Holds the text a character that no page can carry? Only NUL is left, as strings are valid Unicode here."""
+    return F.contains(text, F.char(F.lit(0)))
+
+
+def presence_text(text: Column) -> Column:
+    """White space collapsed and trimmed: the form in which outputs are searched."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), JS_SPACE, " "))
+
+
+def needle(text: Column, most: int = 60, least: int = 20) -> Column:
+    """The beginning of a text that a search for it uses: cut at the last blank beyond `least` characters, else hard."""
+    whole = presence_text(text)
+    cut = F.substring(whole, 1, most)
+    at_blank = F.regexp_extract(cut, f"^([\\s\\S]{{{least + 1},}}) ", 1)
+    return F.when(F.length(whole) <= most, whole).when(at_blank != "", at_blank).otherwise(cut)
+
+
 def record_hash(raw: Column) -> Column:
     return F.sha2(F.regexp_replace(raw, r"\r?\n$", ""), 256)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import rules, text as T
-from tracewell.operators import channels, corpus, extract, grouping, metrics, netpolicy, report, risk, variants, visibility
+from tracewell.operators import channels, corpus, extract, grouping, metrics, netpolicy, report, risk, variants, verdict, visibility
 from tracewell.plans import oracles as S
 from tracewell.session import read_table, spread
 from tracewell.sources.corpus import parse_jsonl, rate_text
@@ -466,3 +466,57 @@ def fuzzy_attach(spark, d):
     """Near-equal lines of neighbouring turns: each line's group among the conversation's earlier ones."""
     c = read_table(spark, d, "conversations").select(F.col("conv_id").alias("page_id"), T.norm_key(F.col("text")).alias("key"), F.col("turn").alias("ord")).filter("key != ''")
     return grouping.fuzzy_attach(c.filter("ord % 2 = 0"), c.filter("ord % 2 = 1"))
+
+
+@query("""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(<\\s*script\\b[^>]*>)', 1)) AS x FROM pages),
+v AS (SELECT page_id, 'executable-script' AS rule FROM s WHERE NOT regexp_matches(x, '(?i)type\\s*=\\s*["'']application/ld\\+json["'']') """ + " ".join(f"UNION ALL SELECT page_id, 'external-or-active-element' FROM pages WHERE regexp_matches(html, '(?i)<\\s*{t}\\b')" for t in verdict.ACTIVE) + """
+UNION ALL SELECT page_id, 'inline-event-handler' FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(\\son[a-z]+\\s*=)', 1)) AS x FROM pages)
+UNION ALL SELECT page_id, 'external-subresource' FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\s(?:src|href|action|srcset|data)\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS x FROM pages) WHERE regexp_matches(x, '(?i)^(https?:)?//'))
+SELECT page_id, rule, count(*) AS n FROM v GROUP BY 1, 2""")
+def page_safety(spark, d):
+    """What makes a page unsafe to serve, but for real targets, by page and rule."""
+    found = F.filter(verdict.page_safety(F.col("html")), lambda v: ~v["rule"].startswith("non-reserved-"))
+    return verdict.violations(read_table(spark, d, "pages").select("page_id", "html"), found).groupBy("page_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<script\\b([^>]*)>', 1)) AS x FROM pages),
+v AS (SELECT page_id, 'script' AS rule FROM s WHERE NOT regexp_matches(x, '(?i)type\\s*=\\s*("\\s*application/ld\\+json\\s*"|''\\s*application/ld\\+json\\s*''|application/ld\\+json([\\s>]|$))')
+UNION ALL SELECT page_id, 'embedded' FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(iframe|object|embed|base|frame|frameset|applet)\\b', 1)) AS x FROM pages)
+UNION ALL SELECT page_id, 'url-host' FROM (SELECT page_id, regexp_extract(unnest(regexp_extract_all(html, '(?i)(?:https?|ftp|file)://([^\\s"''<>()\\\\]+)', 1)), '^[^/?#]*') AS h FROM pages) WHERE NOT regexp_matches(lower(h), '(\\.(example|invalid|test)|^127\\.0\\.0\\.1|^localhost)(:\\d*)?$'))
+SELECT rule, count(*) AS n FROM v GROUP BY 1""")
+def page_lint(spark, d):
+    """What a served page may not hold: scripts, embedded pages, hosts that aren't reserved."""
+    found = F.filter(verdict.page_lint(F.col("html")), lambda v: v["rule"].isin("script", "embedded", "url-host"))
+    return verdict.violations(read_table(spark, d, "pages").select("page_id", "html"), found).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FLAT = f"trim(regexp_replace(text, {S.q(T.JS_SPACE)}, ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FLAT} AS x, {_FLAT}[1:60] AS cut FROM documents), g AS (SELECT *, regexp_extract(cut, '^([\\s\\S]{{21,}}) ', 1) AS b FROM f)
+SELECT doc_id, CASE WHEN length(x) <= 60 THEN x WHEN b <> '' THEN b ELSE cut END AS needle, replace(replace(replace(replace(replace(cut, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS xml,
+  replace(replace(replace(replace(replace(cut, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS attribute FROM g""")
+def needles(spark, d):
+    """The beginning by which a text is searched, and it escaped for drawings and attributes."""
+    cut = F.substring(T.presence_text(F.col("text")), 1, 60)
+    return _docs(spark, d).select("doc_id", T.needle(F.col("text")).alias("needle"), T.escape_xml(cut).alias("xml"), T.escape_markup(cut, quotes=True).alias("attribute"))
+
+
+@query("""WITH c AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY page_id) AS r, t FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '<!--([\\s\\S]*?)-->', 1))) AS t FROM pages) WHERE t <> ''),
+e AS (SELECT page_id, 'ad ' || (page_id % 5)::VARCHAR AS contains FROM pages)
+SELECT e.page_id, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.page_id = e.page_id AND contains(c.t, e.contains)) THEN 'pass' ELSE 'fail' END AS status FROM e""")
+def evidence_checks(spark, d):
+    """Does a page's source carry the text that is expected in a comment of it?"""
+    pages = read_table(spark, d, "pages")
+    none = F.lit(None).cast("string")
+    seen = extract.comments(pages).select("page_id", F.lit("any").alias("capability"), F.lit("http-source").alias("pipeline"), "ord", F.lit("comment").alias("kind"), F.lit("(HTML comment)").alias("path"), "text", F.array().cast("array<string>").alias("intents"), none.alias("finding_id"))
+    expected = pages.select("page_id", F.lit("any").alias("capability"), F.lit("evidence[0]").alias("key"), F.lit("http-source").alias("pipeline"), F.concat(F.lit("ad "), (F.col("page_id") % 5).cast("string")).alias("contains"), F.lit("comment").alias("kind"), none.alias("path_contains"), F.array().cast("array<string>").alias("forbid"))
+    matches = verdict.evidence_matches(expected, seen, seen.withColumn("source", F.lit("output")).limit(0))
+    return verdict.evidence_checks(expected, matches).select("page_id", "status")
+
+
+@query("SELECT source, NOT (source = '' OR starts_with(source, '/') OR regexp_matches(source, '^[a-zA-Z]:') OR list_has_any(string_split(source, '/'), ['', '.', '..'])) AS safe, (starts_with('/' || source, '/') AND NOT contains('/' || source, '://')) AS route, count(*) AS n FROM documents GROUP BY 1, 2, 3")
+def path_rules(spark, d):
+    """Names of sources as relative paths and as routes."""
+    s = F.col("source")
+    return _docs(spark, d).groupBy("source", verdict.is_safe_relative_path(s).alias("safe"), verdict.is_route(F.concat(F.lit("/"), s)).alias("route")).agg(F.count(F.lit(1)).alias("n"))

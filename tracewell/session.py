@@ -60,14 +60,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage in a way that outlives executors."""
+def stash(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts lineage in a way that outlives executors.
+    parts: at most so many files, where parts_for() knows that the tables behind df are small."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+PART_BYTES = 4 << 20
+
+
+def parts_for(*tables: DataFrame) -> int:
+    """Files that what is made from written tables needs: two for each core, more from PART_BYTES of theirs on each. With
+    few rows behind many shuffle partitions, each task and file costs more than its work; large tables keep all of theirs."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(2 * tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or plain path; None for other stores."""
     if uri.startswith("file:"):
