@@ -46,13 +46,13 @@ def _print_of(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long). Returns node, component: the smallest id that each node reaches; nodes are those of the edges.
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """edges: u, v (long); parts: see stash(). Returns node, component: the smallest id that each node reaches; nodes are those of the edges.
 
     Each round writes its edges to the shared folder, so that a lost executor costs no more than a round. Hubs are
     handled by joins that can be split; no node's neighbours are gathered in one place.
     """
-    now = stash(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    now = stash(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges", parts)
     seen = _print_of(now)
     if seen[0] <= LOCAL_EDGES:
         ship_package(edges.sparkSession)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import map_rows
 from tracewell.llm.components import components
-from tracewell.session import ship_package, stash
+from tracewell.session import parts_for, ship_package, stash
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
@@ -186,28 +186,29 @@ def buckets(how: Settings, classes: DataFrame) -> DataFrame:
         .groupBy("rep", "n")  # at most 2 * collections rows each
         .agg(F.collect_list(F.when(left, F.col("ck"))).alias("l"), F.collect_list(F.when(~left, F.col("ck"))).alias("r"))
     )
-    members = stash(sides.select("rep", "n", F.explode("l").alias("lk"), "r").select("rep", "n", "lk", F.explode("r").alias("rk")).select("rep", "n", F.xxhash64("lk", "rk").alias("tk")), "tables")
+    members = stash(sides.select("rep", "n", F.explode("l").alias("lk"), "r").select("rep", "n", "lk", F.explode("r").alias("rk")).select("rep", "n", F.xxhash64("lk", "rk").alias("tk")), "tables", parts_for(classes))
     full = members.groupBy("tk").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tk")
-    return stash(members.join(full, "tk", "left_semi"), "buckets")
+    return stash(members.join(full, "tk", "left_semi"), "buckets", parts_for(members))
 
 
 def _link(how: Settings, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component over the classes that have a link. classes: rep, n, keys, id, text_key; docs: doc_id, text_key, text."""
     inside = buckets(how, classes)
+    few = parts_for(inside, classes)
     firsts = inside.groupBy("tk").agg(F.min(F.struct("rep", "n")).alias("m")).select("tk", F.col("m.rep").alias("y"), F.col("m.n").alias("ny"))
-    pairs = stash(_as_pairs(inside.select("tk", F.col("rep").alias("x"), F.col("n").alias("nx")).join(firsts, "tk")), "pairs")
+    pairs = stash(_as_pairs(inside.select("tk", F.col("rep").alias("x"), F.col("n").alias("nx")).join(firsts, "tk")), "pairs", few)
     wanted = classes.join(inside.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("id").alias("doc_id"), "text_key")
     # rows of equal id and text have one set
-    sets = stash(map_rows(docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text"), _sets(how), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
-    tested = stash(_tested(how, pairs, sets), "tested")
+    sets = stash(map_rows(docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text"), _sets(how), "rep long, shingles binary").dropDuplicates(["rep"]), "sets", few)
+    tested = stash(_tested(how, pairs, sets), "tested", few)
     label, open_, turn = None, None, 0
     while True:
         links = tested.filter("linked").select("u", "v")
         if open_ is None:
-            label = stash(components(links), "labels")
+            label = stash(components(links, few), "labels", few)
             known = inside.join(label, F.col("rep") == F.col("node"), "left").select("tk", "rep", "n", F.coalesce("component", "rep").alias("comp"))
             mixed = known.groupBy("tk").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("tk")
-            open_ = stash(known.join(mixed, "tk", "left_semi"), "open")
+            open_ = stash(known.join(mixed, "tk", "left_semi"), "open", few)
             if open_.isEmpty():
                 return label
         last = turn >= LEADER_ROUNDS
@@ -216,19 +217,19 @@ def _link(how: Settings, classes: DataFrame, docs: DataFrame) -> DataFrame:
         else:
             lead = _leaders(open_, links, turn)
             found = open_.join(lead, "tk").filter("comp != cy").select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")
-        more = stash(_as_pairs(found).join(tested.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+        more = stash(_as_pairs(found).join(tested.select("u", "v"), ["u", "v"], "left_anti"), "pairs", few)
         if more.isEmpty():
             if last:
                 return label
             turn = LEADER_ROUNDS
             continue
         turn += 1
-        checked = stash(_tested(how, more, sets), "tested")
+        checked = stash(_tested(how, more, sets), "tested", few)
         if not checked.filter("linked").isEmpty():
             open_ = None
         tested = tested.unionByName(checked)
         if last:
-            return label if open_ is not None else stash(components(tested.filter("linked").select("u", "v")), "labels")
+            return label if open_ is not None else stash(components(tested.filter("linked").select("u", "v"), few), "labels", few)
 
 
 def _each_shingle(cols: dict, _state: dict) -> dict:
@@ -262,7 +263,7 @@ def _peel(how: Settings, open_: DataFrame, sets: DataFrame) -> DataFrame:
     put others out of reach.
     """
     alive = open_.select("rep", "n", "comp").distinct()
-    rows = stash(map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _each_shingle, "rep long, sh long"), "shingles")
+    rows = stash(map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _each_shingle, "rep long, sh long"), "shingles", parts_for(open_, sets))
     for _ in range(PEEL_ROUNDS):
         inside = open_.join(alive.select("rep"), "rep", "left_semi")
         least = inside.groupBy("tk").agg(F.min("n").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("tk", "m")
@@ -271,7 +272,7 @@ def _peel(how: Settings, open_: DataFrame, sets: DataFrame) -> DataFrame:
         common = live.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sh")
         shared = live.join(common, "sh", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
         reach = 100 * F.col("s") >= how.per_cent * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * how.per_cent / 100)) - F.col("s"))
-        alive = stash(met.join(shared, "rep").filter(reach).select("rep", "n", "comp"), "alive")
+        alive = stash(met.join(shared, "rep").filter(reach).select("rep", "n", "comp"), "alive", parts_for(open_, rows))
     return alive
 
 
@@ -328,7 +329,7 @@ def _residue(how: Settings, open_: DataFrame, classes: DataFrame, sets: DataFram
     """
     alive = _peel(how, open_, sets)
     sketched = map_rows(sets.join(alive.select("rep"), "rep", "left_semi"), _sketch, "rep long, sketch binary")
-    named = stash(classes.join(alive.select("rep", "comp"), "rep").join(sketched, "rep").select("rep", "n", "comp", F.slice("keys", 1, how.collections).alias("left"), "sketch"), "residue")
+    named = stash(classes.join(alive.select("rep", "comp"), "rep").join(sketched, "rep").select("rep", "n", "comp", F.slice("keys", 1, how.collections).alias("left"), "sketch"), "residue", parts_for(alive, sets))
     met = named.select("*", F.posexplode("left").alias("pos", "ck"))
     mixed = met.groupBy("ck").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b")
     dealt = met.join(mixed.select("ck", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "ck")
@@ -354,12 +355,14 @@ def _judged(docs: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame]:
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # a class has the row number and the keys of its first row
     firsts = usable.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("m")).select("n", "h1", "h2", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("id"), F.col("m.text_key").alias("text_key"))
-    classes = stash(firsts.join(usable.select(F.col("row").alias("rep"), "keys"), "rep"), "classes")
+    classes = stash(firsts.join(usable.select(F.col("row").alias("rep"), "keys"), "rep"), "classes", parts_for(signed))
     label = _link(how, classes, slim)
     inside = classes.join(label, F.col("rep") == F.col("node")).select("n", "h1", "h2", "id", "text_key", "component")
     least = inside.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("m")).select("component", F.col("m.id").alias("component_id"), F.col("m.text_key").alias("first_key"))
     known = inside.join(least, "component").select("n", "h1", "h2", "component_id", "first_key")
-    return signed, classes.join(known, ["n", "h1", "h2"], "left").select("n", "h1", "h2", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("first_key", "text_key").alias("first_key"))
+    named = classes.join(known, ["n", "h1", "h2"], "left").select("n", "h1", "h2", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("first_key", "text_key").alias("first_key"))
+    # written, so that a join with all rows is a plain one, which Spark splits where a class has many copies
+    return signed, stash(named, "named", parts_for(classes))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, per_cent: int = THRESHOLD) -> DataFrame:
@@ -381,7 +384,7 @@ def keep_first_copies(docs: DataFrame, width: int = SHINGLE, per_cent: int = THR
     dropped = rows.join(classes, ["n", "h1", "h2"]).filter(~first).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     on = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     kept = docs.join(dropped, on, "left_anti")
-    twice = stash(rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "twice")
+    twice = stash(rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "twice", parts_for(signed))
     if twice.isEmpty():
         return kept
     one = kept.join(twice, on, "left_semi").withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")

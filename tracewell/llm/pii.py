@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import map_rows
-from tracewell.session import ship_package, stash
+from tracewell.session import parts_for, ship_package, stash
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSES, STEM = 0.9, 4
@@ -156,15 +156,15 @@ def entity_classes(held: DataFrame) -> DataFrame:
     return each.select("text_key", "e").join(alone, "e").select("text_key", "class", "ne").distinct()
 
 
-def disclosing(texts: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
+def disclosing(texts: DataFrame, terms: DataFrame, documents: int, parts: int | None = None) -> DataFrame:
     """text_key, t, at, ratio of the terms (and stems) that reveal an entity of their text. texts: text_key, copies, entities, places, one row each; terms: t, c."""
     n = F.lit(float(max(documents, 1)))
     most = F.pow(n, F.lit(1 - DISCLOSES)) * F.pow("ne", F.lit(DISCLOSES)) * (1 + 1e-9)
-    classes = stash(entity_classes(texts.select("text_key", "copies", "entities")), "classes")
+    classes = stash(entity_classes(texts.select("text_key", "copies", "entities")), "classes", parts)
     df = terms.groupBy("t").agg(F.sum("c").alias("nt"))
     top = classes.groupBy("text_key").agg(F.max(most).alias("top"))
     each = texts.select("text_key", "copies", F.explode("places").alias("x")).select("text_key", "copies", "x.t", "x.at")
-    rare = stash(each.join(df, "t").join(top, "text_key").filter(F.col("nt") <= F.col("top")).drop("top"), "rare")
+    rare = stash(each.join(df, "t").join(top, "text_key").filter(F.col("nt") <= F.col("top")).drop("top"), "rare", parts)
     pairs = rare.select("text_key", "t", "copies", "nt").join(classes, "text_key").filter(F.col("nt") <= most)
     joint = pairs.groupBy("t", "class").agg(F.sum("copies").alias("nte"), F.first("nt").alias("nt"), F.first("ne").alias("ne"))
     pmi = F.log2(n * F.col("nte") / (F.col("nt") * F.col("ne")))
@@ -179,11 +179,12 @@ def find(docs: DataFrame) -> DataFrame:
     scan = stash(map_rows(slim, _scan, SCAN), "pii")
     texts = scan.filter(F.size("entities") > 0).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("places").alias("places"))
     terms = map_rows(slim.select("text"), _document_terms, "t string, c long")
-    found = stash(disclosing(texts, terms, scan.count()).select("text_key", "t", "at"), "disclosing")
+    found = stash(disclosing(texts, terms, scan.count(), parts_for(scan)).select("text_key", "t", "at"), "disclosing", parts_for(scan))
     stems = found.filter(F.col("t").endswith("*")).select("text_key", F.col("t").alias("stem"), F.lit(True).alias("told"))
     each = found.filter(~F.col("t").endswith("*")).withColumn("stem", F.concat(F.substring("t", 1, STEM), F.lit("*"))).join(stems, ["text_key", "stem"], "left")
     each = each.select("text_key", (F.coalesce("told", F.lit(False)) | (F.length("t") <= STEM)).alias("cut"), F.explode("at").alias("x"))
-    cut = each.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.a", "x.b", "cut"))).alias("terms"))
+    # written, so that the join with all rows is a plain one, which Spark splits where a text has many copies
+    cut = stash(each.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("x.a", "x.b", "cut"))).alias("terms")), "cuts", parts_for(scan))
     joined = scan.drop("entities", "places").join(cut, "text_key", "left").select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "terms")
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<a: int, b: int, cut: boolean>>")))
 
