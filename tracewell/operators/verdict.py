@@ -52,7 +52,7 @@ def page_safety(html: Column) -> Column:
     """(rule, sample) of what makes a generated page unsafe: scripts but data, active elements, handlers, outside references, real targets."""
     scripts = F.filter(_all(html, r"(?i)(<\s*script\b[^>]*>)"), lambda x: ~x.rlike(DATA_TYPE))
     active = F.array_compact(F.array(*[F.when(html.rlike(rf"(?i)<\s*{t}\b"), F.lit(t)) for t in ACTIVE]))
-    handlers = F.transform(_all(html, r"(?i)(\son[a-z]+\s*=)"), F.trim)
+    handlers = F.transform(_all(html, r"(?i)(\son[a-z]+\s*=)"), lambda x: F.trim(x))
     outside = F.filter(_all(html, r"(?i)\s(?:src|href|action|srcset|data)\s*=\s*[\"']?([^\"'\s>]+)"), lambda x: x.rlike(r"(?i)^(https?:)?//"))
     targets = F.transform(corpus.unsafe_targets(html), lambda t: F.struct(F.concat(F.lit("non-reserved-"), t["kind"]).alias("rule"), F.substring(t["match"], 1, 120).alias("sample")))
     return F.concat(_of("executable-script", scripts), _of("external-or-active-element", active), _of("inline-event-handler", handlers), _of("external-subresource", outside), targets)
