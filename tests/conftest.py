@@ -23,4 +23,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from tracewell.session import drop_scratch
+
+    drop_scratch(s)
     s.stop()

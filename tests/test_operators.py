@@ -430,3 +430,18 @@ def test_heatmap_states(spark):
     assert "detection,meta,http-source,observed,medium,1,2,0.500000,OK" in lines and "coverage,jsonld,http-source,all_valid,medium,0,0,,PENDING" in lines
     both = metrics.both_populations(spark.createDataFrame(rows, schema), "low").first()
     assert (both.k_all, both.n_all, both.k_attack, both.n_attack, both.controls_in_denominator, both.numerator_unchanged) == (2, 3, 1, 2, 1, False)
+
+
+def test_tables_between_steps(spark):
+    import os
+
+    from tracewell import session
+
+    t = session.stash(spark.range(10), "t", 2)
+    path = session.local_path(t._tracewell_path)
+    assert t.count() == 10 and len([f for f in os.listdir(path) if f.endswith(".parquet")]) <= 2
+    session.discard(t, spark.range(1))
+    assert not os.path.exists(path)
+    assert session.parts_for(session.stash(spark.range(10), "t")) == 2 * spark.sparkContext.defaultParallelism
+    small = session.stash(spark.range(100).coalesce(1), "t")
+    assert session.spread(small).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and session.spread(small).count() == 100

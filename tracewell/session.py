@@ -45,10 +45,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset (tests, one machine) a temporary folder is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine a temporary folder is set where that is unset; on a cluster that is an error."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tracewell-shared-")
         sc.setCheckpointDir(known)
     elif not sc.getCheckpointDir():
@@ -56,8 +58,24 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for tables between steps."""
+    return f"{shared_dir(spark)}/tracewell/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all tables between steps of this application. Results that weren't written by then can't be read any more."""
+    _delete(spark, scratch_root(spark))
 
 
 def stash(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
@@ -66,7 +84,16 @@ def stash(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracewell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_tracewell_path", None):
+            _delete(t.sparkSession, path)
 
 
 PART_BYTES = 4 << 20
