@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import ship_package, stash
+from tracewell.session import discard, ship_package, stash
 
 LOCAL_EDGES = 500_000
 LABELS = "node long, component long"
@@ -66,7 +66,9 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         following = stash(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))), "edges")
-        last, seen, now = seen, _print_of(following), following
+        last, seen = seen, _print_of(following)
+        discard(now)
+        now = following
         if last == seen:
             break
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import map_rows
 from tracewell.llm.components import components
-from tracewell.session import parts_for, ship_package, stash
+from tracewell.session import discard, parts_for, ship_package, stash
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
@@ -188,7 +188,9 @@ def buckets(how: Settings, classes: DataFrame) -> DataFrame:
     )
     members = stash(sides.select("rep", "n", F.explode("l").alias("lk"), "r").select("rep", "n", "lk", F.explode("r").alias("rk")).select("rep", "n", F.xxhash64("lk", "rk").alias("tk")), "tables", parts_for(classes))
     full = members.groupBy("tk").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tk")
-    return stash(members.join(full, "tk", "left_semi"), "buckets", parts_for(members))
+    out = stash(members.join(full, "tk", "left_semi"), "buckets", parts_for(members))
+    discard(members)
+    return out
 
 
 def _link(how: Settings, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -201,6 +203,7 @@ def _link(how: Settings, classes: DataFrame, docs: DataFrame) -> DataFrame:
     # rows of equal id and text have one set
     sets = stash(map_rows(docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text"), _sets(how), "rep long, shingles binary").dropDuplicates(["rep"]), "sets", few)
     tested = stash(_tested(how, pairs, sets), "tested", few)
+    discard(pairs)
     label, open_, turn = None, None, 0
     while True:
         links = tested.filter("linked").select("u", "v")
@@ -225,6 +228,7 @@ def _link(how: Settings, classes: DataFrame, docs: DataFrame) -> DataFrame:
             continue
         turn += 1
         checked = stash(_tested(how, more, sets), "tested", few)
+        discard(more)
         if not checked.filter("linked").isEmpty():
             open_ = None
         tested = tested.unionByName(checked)
@@ -273,6 +277,7 @@ def _peel(how: Settings, open_: DataFrame, sets: DataFrame) -> DataFrame:
         shared = live.join(common, "sh", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
         reach = 100 * F.col("s") >= how.per_cent * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * how.per_cent / 100)) - F.col("s"))
         alive = stash(met.join(shared, "rep").filter(reach).select("rep", "n", "comp"), "alive", parts_for(open_, rows))
+    discard(rows)
     return alive
 
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import flat_files, main_text, near_dup, neighbours, packing, pii, quality, segmentations, sharding, warc
-from tracewell.session import read_table
+from tracewell.session import read_table, spread
 
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.host_quality(read_table(spark, sf_dir, "documents"))
+    return quality.host_quality(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentations.sample_segmentations(read_table(spark, sf_dir, "documents"))
+    return segmentations.sample_segmentations(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.extract(read_table(spark, sf_dir, "pages"))
+    return main_text.extract(spread(read_table(spark, sf_dir, "pages")))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+    return pii.personal_data(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"))
+    return packing.pack(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op9_flat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(spread(read_table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
