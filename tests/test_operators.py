@@ -205,7 +205,7 @@ def test_rendered_page_carries_its_text(spark):
     text = 'Say "hi" & <wave>'
     df = spark.createDataFrame([(p, text) for p in variants.PLACEMENTS], "p string, text string")
     for r in df.select("p", variants.render(F.col("text"), F.col("p")).alias("html")).collect():
-        if r.p == "html-comment":
+        if r.p == "p-html-comment":
             assert r.html is None  # it can't stand there
         else:
             assert any(i[2] == text for i in extract.page_items(r.html)), r.p
@@ -445,3 +445,24 @@ def test_tables_between_steps(spark):
     assert session.parts_for(session.stash(spark.range(10), "t")) == 2 * spark.sparkContext.defaultParallelism
     small = session.stash(spark.range(100).coalesce(1), "t")
     assert session.spread(small).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and session.spread(small).count() == 100
+
+
+def test_transforms_and_placements(spark):
+    df = spark.createDataFrame([(" ab\u00a0c  \U0001f600\u00e9f g ",)], "text string")
+    get = lambda k: df.select(variants.transform(F.col("text"), variants.TRANSFORMS[k])).first()[0]
+    assert get(2) == " a\u200bb\u00a0c  \U0001f600\u200b\u00e9\u200bf g " and get(3) == "\u202a ab\u00a0c  \U0001f600\u00e9f g \u202c"
+    assert get(6) == "\u3000\uff41\uff42\u00a0\uff43\u3000\u3000\U0001f600\u00e9\uff46\u3000\uff47\u3000"
+    assert get(7) == " a\u00adb\u00a0c\u2060  \U0001f600\u180e\u00e9f g\u061c "
+    rows = {r.transform_id: r for r in variants.transformed(df).collect()}
+    assert (rows["T2c-tag-encoded"].encoded, rows["T2c-tag-encoded"].passed, rows["T2d-homoglyph-mixed"].replaced) == (10, 3, 2)
+    assert [r.human_visible for r in variants.descriptors(spark).coalesce(1).collect()] == [True, True, False, False, False, True, True, False]
+    made = variants.cells(spark.createDataFrame([("u1",), ("u|2",)], "uid string"))
+    assert made.count() == 2 * 8 * 8 and {r.uid for r in variants.bad_cell_ids(made).select("uid").distinct().collect()} == {"u|2"}
+    text = "plain words for a page"
+    pages = spark.createDataFrame([(p, r, text) for p, r in variants.placements(tuple(variants.HIDDEN))] + [("p-visible-body", None, None)], "p string, r string, text string")
+    for r in pages.select("p", "r", "text", variants.render(F.col("text"), F.col("p"), F.col("r"), "w-faq-note").alias("html"), variants.expected_path(F.col("p")).alias("path")).collect():
+        found = [(p.replace(":nth-of-type(1)", ""), h) for _, p, t, _, _, h in extract.page_items(r.html) if t == text]
+        assert (not found) if r.text is None else [p for p, _ in found] == [r.path], r
+    states = spark.createDataFrame([("real", True, "abc", ["f"]), ("synthetic", True, "abc", ["f"]), (None, None, " ", [])], "dataset_kind string, integrated_base boolean, revision string, evidence array<string>").coalesce(1)
+    got = [(r.result_status, r.reasons) for r in variants.result_state(states).collect()]
+    assert got == [("FINAL", []), ("PROVISIONAL", ["dataset-not-real"]), ("PROVISIONAL", ["dataset-kind-unknown", "base-not-confirmed", "no-revision", "no-evidence"])]

@@ -92,7 +92,7 @@ OBSERVATIONS = """obs AS (
   SELECT doc_id, [""" + ", ".join(map(q, variants.TRANSFORMS)) + """][(doc_id % 8 + 1)::INT] AS transform_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id END AS record_uid, source,
          ['OK', 'OK', 'OK', 'OK', 'FAILED', 'PENDING', 'OK', 'SKIPPED', 'OK', 'NOT_RUN', 'OK'][(doc_id % 11 + 1)::INT] AS state,
          CASE WHEN doc_id % 11 IN (4, 5, 7, 9) THEN NULL ELSE [NULL, 'info', 'low', 'medium', 'high', 'critical'][((doc_id * 7) % 6 + 1)::INT] END AS level,
-         ['visible-body', 'html-comment', 'meta', 'data-attribute', 'jsonld', 'css-hidden'][(doc_id % 6 + 1)::INT] AS placement_id,
+         [""" + ", ".join(map(q, variants.PLACEMENTS)) + """][(doc_id % 6 + 1)::INT] AS placement_id,
          CASE WHEN doc_id % 11 IN (4, 5, 7, 9) THEN []::VARCHAR[] WHEN doc_id % 4 = 0 THEN ['http-source', 'rendered-dom'] WHEN doc_id % 4 = 1 THEN ['http-source'] WHEN doc_id % 4 = 2 THEN ['rendered-dom', 'reader-markdown', 'accessibility-tree'] ELSE []::VARCHAR[] END AS pipelines
   FROM documents)"""
 RANK = "CASE level WHEN 'info' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 WHEN 'critical' THEN 5 ELSE 0 END"

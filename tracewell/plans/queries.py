@@ -257,21 +257,26 @@ def jsonl_records(spark, d):
     return parse_jsonl(_docs(spark, d).select(F.col("doc_id").alias("line_no"), raw.alias("raw")), "docs").agg(F.count(F.lit(1)).alias("records"), F.count_if("malformed").alias("malformed"))
 
 
-@query(f"""WITH p(placement_id, sub_recipe) AS (VALUES {', '.join(f"({S.q(x)}, NULL)" for x in variants.PLACEMENTS[:-1])}, {', '.join(f"('css-hidden', {S.q(x)})" for x in variants.HIDDEN)}),
-t(transform_id) AS (VALUES {', '.join(f"({S.q(x)})" for x in variants.TRANSFORMS)})
-SELECT item_id::VARCHAR || '|' || transform_id || '|' || placement_id || coalesce('|' || sub_recipe, '') || '|decision-agent' AS cell_id FROM benchmark, t, p""")
+@query(f"""WITH p(placement_id, sub_recipe, k) AS (VALUES {', '.join(f"({S.q(x)}, {S.q(r) if r else 'NULL'}, {k})" for k, (x, r) in enumerate(variants.placements()))}),
+t(transform_id, t) AS (VALUES {', '.join(f"({S.q(x)}, {k})" for k, x in enumerate(variants.TRANSFORMS))})
+SELECT item_id::VARCHAR || '|' || transform_id || '|' || placement_id || coalesce('|' || sub_recipe, '') || '|decision-agent' AS cell_id, ((item_id * 64 + t * 8 + k) % 4)::INT AS shard FROM benchmark, t, p""")
 def cells(spark, d):
-    return variants.cells(read_table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("uid"))).select("cell_id")
+    made = variants.cells(read_table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("uid")))
+    return made.select("cell_id", variants.shard_of(F.col("uid").cast("long") * 64 + F.col("ord"), 4).alias("shard"))
 
 
 _ENC = "".join(map(chr, range(0x20, 0x7F)))
 
 
-@query(f"""SELECT item_id, md5(text) AS t0, md5(chr(8238) || text || chr(8236)) AS t2b, md5(translate(text, {S.q(_ENC)}, {S.q(''.join(chr(0xE0000 + ord(c)) for c in _ENC))})) AS t2c,
-  md5(translate(text, {S.q(rules.MIX_LATIN)}, {S.q(rules.MIX_LOOKALIKE)})) AS t2d, md5(translate(text, {S.q(_ENC[1:])}, {S.q(''.join(chr(0xFEE0 + ord(c)) for c in _ENC[1:]))})) AS t2e FROM benchmark""")
+@query(f"""SELECT item_id, md5(text) AS t0, md5(chr(8234) || text || chr(8236)) AS t2b, md5(translate(text, {S.q(_ENC)}, {S.q(''.join(chr(0xE0000 + ord(c)) for c in _ENC))})) AS t2c,
+  md5(translate(text, {S.q(rules.MIX_LATIN)}, {S.q(rules.MIX_LOOKALIKE)})) AS t2d, md5(translate(text, {S.q(_ENC)}, {S.q(chr(0x3000) + ''.join(chr(0xFEE0 + ord(c)) for c in _ENC[1:]))})) AS t2e,
+  md5(list_aggregate(list_transform(regexp_extract_all(text, '\\s+|\\S+'), lambda c: CASE WHEN regexp_matches(c, '^\\s') THEN c ELSE list_aggregate(list_transform(range(1, length(c)::BIGINT + 1), lambda j: c[j]), 'string_agg', chr(8203)) END), 'string_agg', '')) AS t2a,
+  length(regexp_replace(text, '[^ -~]', '', 'g')) AS encoded, length(regexp_replace(text, '[^{rules.MIX_LATIN}]', '', 'g')) AS replaced FROM benchmark""")
 def transforms(spark, d):
-    short = {"t0": 0, "t2b": 3, "t2c": 4, "t2d": 5, "t2e": 6}
-    return read_table(spark, d, "benchmark").select("item_id", *[F.md5(variants.transform(F.col("text"), variants.TRANSFORMS[k])).alias(n) for n, k in short.items()])
+    short = {"t0": 0, "t2a": 2, "t2b": 3, "t2c": 4, "t2d": 5, "t2e": 6}
+    of = lambda k: variants.TRANSFORMS[k]
+    notes = {"encoded": variants.transform_notes(F.col("text"), of(4))["encoded"], "replaced": variants.transform_notes(F.col("text"), of(5))["replaced"]}
+    return read_table(spark, d, "benchmark").select("item_id", *[F.md5(variants.transform(F.col("text"), of(k))).alias(n) for n, k in short.items()], *[c.alias(n) for n, c in notes.items()])
 
 
 @query("SELECT item_id, md5(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g')) AS decoded FROM benchmark")
@@ -285,12 +290,28 @@ def homoglyph_roundtrip(spark, d):
     return read_table(spark, d, "benchmark").select("item_id", (T.fold_lookalikes(variants.transform(x, variants.TRANSFORMS[5])) == x).alias("same"))
 
 
-@query("""WITH t AS (SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, text FROM benchmark), a AS (SELECT '<!doctype html><html><head><title>Page</title>' AS h, '</head><body><main><p>Text.</p>' AS m, '</main></body></html>' AS e)
-SELECT item_id, md5(h || m || '<p>' || x || '</p>' || e) AS visible_md5, CASE WHEN NOT (contains(text, '--') OR contains(text, '>') OR ends_with(text, '-')) THEN md5(h || m || '<!-- ' || text || ' -->' || e) END AS comment_md5,
-md5(h || m || '<div style="display:none">' || x || '</div>' || e) AS hidden_md5 FROM t, a""")
+_BEGIN = '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>A page</title>'
+_MIDDLE = f"<style>{variants.STYLE}</style></head><body><main><h1>A page</h1>"
+
+
+@query(f"""WITH t AS (SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, text FROM benchmark), a AS (SELECT {S.q(_BEGIN)} AS h, {S.q(_MIDDLE)} AS m, '</main></body></html>' AS e)
+SELECT item_id, md5(h || m || '<p>' || x || '</p>' || e) AS visible_md5, CASE WHEN NOT (contains(text, '--') OR contains(text, '>') OR ends_with(text, '-')) THEN md5(h || m || '<!--' || text || '-->' || e) END AS comment_md5,
+md5(h || '<meta name="description" content="' || replace(replace(x, '"', '&quot;'), chr(39), '&#39;') || '">' || m || e) AS meta_md5, md5(h || m || '<div data-agent-note="' || replace(replace(x, '"', '&quot;'), chr(39), '&#39;') || '">A card.</div>' || e) AS data_md5,
+""" + ", ".join(f"md5(h || m || {S.q(f'<p {how}>')} || x || '</p>' || e) AS {r.replace('-', '_')}" for r, how in variants.HIDDEN.items()) + " FROM t, a")
 def rendered_pages(spark, d):
-    page = lambda p: F.md5(variants.render(F.col("text"), F.lit(p)))
-    return read_table(spark, d, "benchmark").select("item_id", page("visible-body").alias("visible_md5"), page("html-comment").alias("comment_md5"), page("css-hidden").alias("hidden_md5"))
+    """Pages that carry a text at each placement, the hidden one by all of its recipes."""
+    page = lambda p, r=None: F.md5(variants.render(F.col("text"), F.lit(p), F.lit(r) if r else None))
+    named = {"visible_md5": "p-visible-body", "comment_md5": "p-html-comment", "meta_md5": "p-meta-content", "data_md5": "p-data-attribute"}
+    hidden = [page("p-css-hidden", r).alias(r.replace("-", "_")) for r in variants.HIDDEN]
+    return read_table(spark, d, "benchmark").select("item_id", *[page(p).alias(n) for n, p in named.items()], *hidden)
+
+
+@query("""SELECT p AS placement_id, CASE WHEN p = 'p-html-comment' AND (contains(text, '--') OR contains(text, '>') OR ends_with(text, '-')) THEN 'SKIPPED' ELSE 'PENDING' END AS state, count(*) AS n
+FROM benchmark, (VALUES """ + ", ".join(f"('{p}')" for p in variants.PLACEMENTS) + """) t(p) GROUP BY 1, 2""")
+def cell_feasibility(spark, d):
+    """Cells by placement and state before the run."""
+    each = read_table(spark, d, "benchmark").select("text", F.explode(F.array(*map(F.lit, variants.PLACEMENTS))).alias("placement_id"))
+    return variants.feasibility(each).groupBy("placement_id", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -368,9 +389,9 @@ def pipeline_coverage(spark, d):
     return metrics.pipeline_coverage(_observations(spark, d))
 
 
-@query(f"WITH {S.OBSERVATIONS}, v AS (SELECT DISTINCT placement_id AS value FROM obs WHERE record_uid IS NOT NULL) SELECT value, row_number() OVER (ORDER BY coalesce(list_position(['meta', 'html-comment'], value), 3), value)::INT AS place FROM v")
+@query(f"WITH {S.OBSERVATIONS}, v AS (SELECT DISTINCT placement_id AS value FROM obs WHERE record_uid IS NOT NULL) SELECT value, row_number() OVER (ORDER BY coalesce(list_position(['p-meta-content', 'p-html-comment'], value), 3), value)::INT AS place FROM v")
 def ordered_placements(spark, d):
-    return metrics.ordered_values(_observations(spark, d), "placement_id", ("meta", "html-comment"))
+    return metrics.ordered_values(_observations(spark, d), "placement_id", ("p-meta-content", "p-html-comment"))
 
 
 @query(f"WITH {S.OBSERVATIONS} SELECT level, count(*) AS cells FROM obs WHERE record_uid IS NOT NULL AND state = 'OK' GROUP BY 1")
