@@ -274,6 +274,21 @@ def page_anchors(html: str) -> list[tuple]:
     return [(x.attrs["href"].strip(), plain(x.all_text()), x.path() + "@href", x.inside(CODE)) for x in links]
 
 
+# Elements of an article that are segments of its own.
+SEGMENTS = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote td figcaption".split())
+
+
+def article_segments(html: str) -> list[tuple]:
+    """(path, text, in_code) of the segments of an article that a reader view has cut out: an element's own text, else all of it."""
+    out = []
+    for el in read_page(html).body.walk():
+        if isinstance(el, Element) and el.tag in SEGMENTS:
+            raw = el.own_text() or el.all_text()
+            if plain(raw):
+                out.append((f"reader > {el.tag}", raw, el.inside(("pre", "code", "blockquote"))))
+    return out
+
+
 ROWS_AT_ONCE = 2000
 
 
@@ -311,6 +326,11 @@ def items(pages: DataFrame) -> DataFrame:
     return out.withColumns({"key": T.norm_key(F.col("text")), "invisible": T.invisible_classes(F.col("text")), "decoded": T.decode_tags(F.col("text"))})
 
 
+def reader_segments(articles: DataFrame) -> DataFrame:
+    """Segments of articles (page_id, html): page_id, ord, path, text, in_code."""
+    return _mapped(articles, "article_segments", "page_id long, ord int, path string, text string, in_code boolean")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """All links of pages (page_id, html): page_id, ord, href, text, path, in_code."""
     return _mapped(pages, "page_anchors", ANCHORS)
