@@ -78,17 +78,54 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_root(spark))
 
 
-def stash(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, parts: int | None = None, by_workers: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage in a way that outlives executors.
-    parts: at most so many files, where parts_for() knows that the tables behind df are small."""
+    parts: at most so many files, where parts_for() knows that the tables behind df are small.
+
+    by_workers: in a folder that is mounted as file:, Hadoop starts a process (chmod) for each file that an executor's
+    JVM writes, which for a moment counts the whole JVM twice. There Python workers write the files, in the worker that
+    made the rows where one did (see `_tracewell_rows`); only files of tasks that ended well are moved into the table.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    folder = local_path(path) if by_workers else None
+    if folder:
+        _write_by_workers(df, folder, parts)
+    else:
+        (df if parts is None else df.coalesce(parts)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
     return out
 
 
+def _write_by_workers(df: DataFrame, folder: str, parts: int | None) -> None:
+    made, rows = getattr(df, "_tracewell_rows", (df, None))
+    ship_package(df.sparkSession)
+    drafts = f"{folder}/_drafts"
+    os.makedirs(drafts, exist_ok=True)
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        name, out, n = f"{drafts}/{uuid.uuid4().hex}.parquet", None, 0
+        for batch in rows(batches) if rows else batches:
+            if batch.num_rows:
+                out = out or pq.ParquetWriter(name, batch.schema, compression="zstd")
+                out.write_batch(batch)
+                n += batch.num_rows
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n"])
+
+    files = (made if parts is None else made.coalesce(parts)).mapInArrow(write, "file string, n long").collect()
+    for k, row in enumerate(files):  # one for each task at most
+        os.replace(row["file"], f"{folder}/part-{k:06d}.parquet")
+    for left in os.listdir(drafts):  # of attempts that failed
+        os.remove(f"{drafts}/{left}")
+    os.rmdir(drafts)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stashed tables that nothing reads any more."""
     for t in tables:
