@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tracewell import session
 from tracewell.session import ship_package
 
 
@@ -43,10 +44,22 @@ def give_back() -> None:
         pass
 
 
+def stash(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """session.stash(), written by Python workers where that is lighter."""
+    return session.stash(df, name, parts, by_workers=True)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow() whose result stash() can write in the worker that makes it."""
+    out = df.mapInArrow(run, schema)
+    out._tracewell_rows = (df, run)
+    return out
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list]], schema: T.StructType | str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Applies fn to each Arrow batch as lists by column (and a state dict that lives as long as the task); fn returns lists by column."""
     ship_package(df.sparkSession)
@@ -62,4 +75,4 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list], dict], dict[str, list
             out = batch = None
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import discard, ship_package, stash
+from tracewell.llm.arrow import stash
+from tracewell.session import discard, ship_package
 
 LOCAL_EDGES = 500_000
 LABELS = "node long, component long"

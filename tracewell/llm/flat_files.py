@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import arrow_schema, give_back, slices
+from tracewell.llm.arrow import arrow_schema, give_back, map_batches, slices, stash
 from tracewell.llm.tokens import encoder
-from tracewell.session import RangeReader, ensure_folder, local_path, put_bytes, scratch, ship_package, stash
+from tracewell.session import RangeReader, ensure_folder, local_path, put_bytes, scratch, ship_package
 
 END_ID = 0
 MAGIC = b"TWFLAT01"
@@ -104,7 +104,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str | None = None) -> D
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row"))
     ranged = slim.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
-    manifest = stash(ranged.mapInArrow(write, MANIFEST), "manifest")
+    manifest = stash(map_batches(ranged, write, MANIFEST), "manifest")
     # a row for each file
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))

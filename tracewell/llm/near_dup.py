@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import map_rows
+from tracewell.llm.arrow import map_rows, stash
 from tracewell.llm.components import components
-from tracewell.session import discard, parts_for, ship_package, stash
+from tracewell.session import discard, parts_for, ship_package
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
@@ -137,7 +137,7 @@ def _sign(how: Settings):
         with np.errstate(over="ignore"):
             a = [int(np.bitwise_xor.reduce(_mix(s + _M1)).view(np.int64)) if len(s) else 0 for s in sets]
             b = [int(_mix(s ^ _M2).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-        return {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "n": [len(s) for s in sets], "h1": a, "h2": b, "keys": [collection_keys(s, c) if len(s) else None for s in sets]}
+        return {"row": cols["row"], "doc_id": cols["doc_id"], "text_key": cols["text_key"], "n": [len(s) for s in sets], "h1": a, "h2": b, "keys": [collection_keys(s, c) if len(s) else None for s in sets]}
 
     return fn
 
@@ -355,8 +355,8 @@ def _leaders(open_: DataFrame, links: DataFrame, turn: int) -> DataFrame:
 def _judged(docs: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame]:
     """Each row's doc_id, text_key, n, h1, h2; each class's n, h1, h2, id and text_key of its first row, node (what it is linked with has the same) and component_id."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
-    signed = map_rows(slim, _sign(how), "doc_id long, text_key long, n long, h1 long, h2 long, keys array<long>")
-    signed = stash(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = slim.withColumn("row", F.monotonically_increasing_id())
+    signed = stash(map_rows(rows, _sign(how), "row long, doc_id long, text_key long, n long, h1 long, h2 long, keys array<long>"), "signed")
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # a class has the row number and the keys of its first row
     firsts = usable.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("m")).select("n", "h1", "h2", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("id"), F.col("m.text_key").alias("text_key"))

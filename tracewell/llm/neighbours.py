@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import map_rows
-from tracewell.session import ship_package, stash
+from tracewell.llm.arrow import map_rows, stash
+from tracewell.session import ship_package
 
 NEAREST = 5
 EVERY = 50

@@ -22,9 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import map_rows
+from tracewell.llm.arrow import map_rows, stash
 from tracewell.llm.tokens import encoder
-from tracewell.session import stash
 
 LENGTH = 2048
 END_ID = 0
@@ -42,12 +41,12 @@ def pieces_of(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def _cut(path: str | None, length: int):
     def fn(cols: dict, _state: dict) -> dict:
-        out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "row")}
         end = np.array([END_ID], "<u4").tobytes()
-        for doc, ids in zip(cols["doc_id"], encoder(path).encode([x or "" for x in cols["text"]])):
+        for doc, row, ids in zip(cols["doc_id"], cols["row"], encoder(path).encode([x or "" for x in cols["text"]])):
             ids += end
             for k, (start, n) in enumerate(pieces_of(len(ids) // 4, length)):
-                for name, value in zip(out, (doc, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]))):
+                for name, value in zip(out, (doc, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), row)):
                     out[name].append(value)
         return out
 
@@ -102,8 +101,8 @@ def _pack(capacity: int):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs (doc_id, text)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    cut = stash(map_rows(slim, _cut(vocabulary, length), PIECES).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+    cut = stash(map_rows(slim, _cut(vocabulary, length), PIECES + ", row long"), "pieces").withColumn("row", F.xxhash64("row", "piece"))
     whole = cut.filter(F.col("length") == length).drop("row")
     parts = cut.filter(F.col("length") < length)
     groups = max(1, round(parts.count() / group))

@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import map_rows
-from tracewell.session import parts_for, ship_package, stash
+from tracewell.llm.arrow import map_rows, stash
+from tracewell.session import parts_for, ship_package
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSES, STEM = 0.9, 4

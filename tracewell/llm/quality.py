@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import map_rows
-from tracewell.session import stash
+from tracewell.llm.arrow import map_rows, stash
 
 MIN_WORDS = 10
 REPEAT_SHARE = 20  # per cent of words in repeated windows
@@ -74,7 +73,7 @@ def _measure(cols: dict, _state: dict) -> dict:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host, text_key, the five counts, base_failed and n_soft (failed soft rules) of each row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    m = map_rows(slim, _measure, "doc_id long, host string, text_key long, " + STATS)
+    m = stash(map_rows(slim, _measure, "doc_id long, host string, text_key long, " + STATS), "quality")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     soft = [
         100 * F.col("n_symbols") > SYMBOL_SHARE * F.col("n_words"),
@@ -103,7 +102,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each document: doc_id, text_key, counts, base_failed, n_soft, host_rate, host_trusted, kept."""
-    measured = stash(measure(docs, id_col, text_col, host_col), "quality")
+    measured = measure(docs, id_col, text_col, host_col)
     hosts = host_rates(measured).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), F.col("trusted").alias("host_trusted"))
     kept = ~F.col("base_failed") & (F.col("n_soft") < SOFT_LIMIT) & ((F.col("n_soft") == 0) | F.col("host_trusted"))
     return measured.join(hosts, measured["host"].eqNullSafe(hosts["h"]), "left").drop("h").withColumn("kept", kept)

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import arrow_schema, slices
-from tracewell.session import RangeReader, ensure_folder, put_bytes, scratch, ship_package, stash
+from tracewell.llm.arrow import arrow_schema, map_batches, slices, stash
+from tracewell.session import RangeReader, ensure_folder, put_bytes, scratch, ship_package
 
 MIN_REVISIT = 100
 BLOCK_LINES = 1000
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
         _key_of("url").alias("url_key"), "page_id", "url", "html", "digest", F.when(later, F.col("first_id")).alias("refers_to"), later.alias("revisit"), F.monotonically_increasing_id().alias("row")
     )
     ranged = roles.repartitionByRange("url_key", "page_id", "row").sortWithinPartitions("url_key", "page_id", "row").drop("row")
-    return stash(ranged.mapInArrow(_archive(root), ARCHIVES), "archives")
+    return stash(map_batches(ranged, _archive(root), ARCHIVES), "archives")
 
 
 class Archive:
