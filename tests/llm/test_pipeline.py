@@ -47,3 +47,39 @@ def test_stages(spark):
             assert sum(r.length for r in after) == sum(map(len, ids.values()))
             assert all(crc(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 for r in after)
     assert 0 < kept[1] < kept[0] < 200
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, row string, host string, __v string"
+
+
+def odd_rows():
+    word = " ".join("w%d" % k for k in range(60))
+    mail = "Zorblatt reach zed@corp.example " + " ".join("u%d" % k for k in range(40))
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, word), (3, word), (4, word + " tail"), (5, mail), (5, word.upper()), (None, mail + " again"), (6, "ab " * 20000), (7, " ".join("v%d" % k for k in range(30000)))]
+    return [(i, t, None, "h" if k % 2 else None, len(t or ""), "clash", None, "clash", "x") for k, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rows", [[], odd_rows()], ids=["empty", "odd"])
+def test_stages_on_odd_tables(spark, rows):
+    """Nulls, empty and very long texts, repeated rows and ids, further columns: each stage gives its defined result."""
+    docs = spark.createDataFrame(rows, ODD)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        path = scratch(spark, name)
+        stage(spark, docs, "").write.parquet(path)
+        docs = spark.read.parquet(path)
+        if name != "packing":
+            assert docs.columns == columns
+        after = sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.collect())
+        if not rows:
+            assert after == []
+        elif name == "quality_rules":
+            assert after == [-1, 3, 3, 4, 5, 5, 7]  # no words, and one word repeated, go
+        elif name == "near_dedup":
+            assert after == [-1, 3, 5, 7]  # one of equal rows, of a near copy, of a copy in capitals; a null id stays
+        elif name == "pii":
+            assert after == [-1, 3, 5, 7]
+            texts = {r.doc_id: r for r in docs.collect()}
+            assert "zed@corp" not in texts[5].text and "<EMAIL>" in texts[None].text and texts[5].n_chars == len(texts[5].text)
+        else:
+            assert set(after) == {-1, 3, 5, 7} and sum(r.length for r in docs.collect()) > 30000
