@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
@@ -15,10 +16,20 @@ def parse_jsonl(lines: DataFrame, slug: str) -> DataFrame:
     return out.withColumns({"record_uid": T.record_uid(F.lit(slug), F.col("line_no"), F.col("record_sha256")), "value": F.try_parse_json("raw"), "malformed": F.try_parse_json("raw").isNull()})
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, raw of text files. Files are read in splits; a line's number is its place in the split and the lines of the splits before."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    # a row for each split
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("file", "split", "first", before.alias("before"))
+    return lines.join(placed, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+
+
 def read_jsonl(spark: SparkSession, path: str, slug: str) -> DataFrame:
-    """A JSON-lines file with line numbers; one file is one row before it is split, as line numbers need it whole."""
-    whole = spark.read.text(path, wholetext=True)
-    return parse_jsonl(whole.select(F.posexplode(F.split("value", "\n")).alias("pos", "raw")).select((F.col("pos") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw")), slug)
+    """The records of JSON-lines files, with line numbers, malformed ones too; blank lines count but give none."""
+    return parse_jsonl(numbered_lines(spark, path), slug)
 
 
 def pinned_file(spark: SparkSession, path: str) -> DataFrame:
@@ -30,13 +41,14 @@ def pinned_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def merge_shards(shards: list[DataFrame], fingerprint: str = "fingerprint") -> DataFrame:
-    """The union of shards, which must agree on their fingerprint."""
+def merge_shards(shards: list[DataFrame], same: tuple[str, ...] = ("fingerprint",)) -> DataFrame:
+    """The union of shards; reading it fails where they disagree on one of the columns `same` (corpus, plan, revision)."""
     out = shards[0]
     for s in shards[1:]:
         out = out.unionByName(s)
-    if out.select(fingerprint).distinct().limit(2).count() > 1:
-        raise ValueError("shards come from different corpora or plans")
+    for name in same:
+        kinds = out.agg(F.count_distinct(name) + F.max(F.col(name).isNull().cast("int"))).scalar()
+        out = out.filter(F.assert_true(F.coalesce(kinds, F.lit(0)) <= 1, F.lit(f"shards differ in {name}")).isNull())
     return out
 
 
