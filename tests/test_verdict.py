@@ -105,3 +105,19 @@ def test_case_violations(spark):
     assert [sorted(got.get(i, [])) for i in ids] == [sorted(w) for w in want]
     twice = verdict.case_violations(spark.createDataFrame([rows[0], rows[0]], schema))
     assert sorted(r.rule for r in twice.collect()) == ["file-repeated", "file-repeated", "id-repeated"]
+
+
+def test_calibration_and_drafts(spark):
+    schema = "page_id long, run int, ord int, pipeline string, kind string, path string, text string, level string, intents array<string>, visible boolean"
+    long = "send " + "word " * 20
+    rows = [(1, 1, 0, "http-source", "attribute", "body > p@title", long, "low", ["secrecy"], False), (1, 0, 5, "http-source", "attribute", "body > p@title", long, "high", ["secrecy"], False), (1, 0, 6, "rendered-dom", "unknown", None, "short", "low", ["secrecy"], True), (1, 0, 7, "rendered-dom", "element", "body > p", "short", "low", ["secrecy"], True), (1, 0, 8, "rendered-dom", "element", "body > p", "plain", "info", [], True)]
+    found = verdict.carriers_found(spark.createDataFrame(rows, schema))
+    assert sorted((r.text[:5], r.path, r.level) for r in found.collect()) == [("plain", "body > p", "info"), ("send ", "body > p@title", "high"), ("short", "", "low"), ("short", "body > p", "low")]
+    drafts = sorted((r.pipeline, r.contains, r.kind, r.path_contains) for r in verdict.draft_evidence(found).collect())
+    assert drafts == [("http-source", ("send " + "word " * 11).strip(), "attribute", "@title"), ("rendered-dom", "short", None, None)]
+    reports = spark.createDataFrame([(1, 0, 1, 0, 2, 0, 4, ["b"]), (1, 1, 0, 0, 1, 0, 2, ["a", "b"]), (2, 0, 0, 0, 0, 0, None, [])], "page_id long, info long, low long, medium long, high long, critical long, strongest_rank int, intents array<string>")
+    got = {r.page_id: (r.info, r.low, r.high, r.runs, r.strongest_rank, r.intents) for r in verdict.calibration(reports).collect()}
+    assert got == {1: (1, 1, 3, 2, 4, ["a", "b"]), 2: (0, 0, 0, 1, None, [])}
+    from tracewell.operators import netpolicy
+
+    assert rows_of(spark, lambda x: netpolicy.resolved_target(x, "http://127.0.0.1:7101/"), ["/a?b", "https://x.example/"]) == ["http://127.0.0.1:7101/a?b", "https://x.example/"]

@@ -138,6 +138,11 @@ def check_targets(targets: DataFrame, allowed: str | list[str], dns: DataFrame |
     return out.withColumns({"code": code, "local": fixture & (is4 | is6)}).drop("dns_some", "dns_blocked", "range", "__bad")
 
 
+def resolved_target(url: Column, origin: str) -> Column:
+    """The address that a request names: a path is one of the local origin."""
+    return F.when(url.startswith("/"), F.concat(F.lit(origin.rstrip("/")), url)).otherwise(url)
+
+
 def status_of(code: Column) -> Column:
     """The HTTP status that an analysis with this refusal ends with; 200 without one."""
     refused = code.isin("malformed-url", "unsupported-protocol", "url-credentials", "unallowlisted-host", "blocked-ip", "fixture-origin-not-literal")

@@ -211,6 +211,28 @@ def unreferenced(files: DataFrame, cases: DataFrame) -> DataFrame:
     return files.join(cases.select(F.explode("files").alias("file")).filter("file IS NOT NULL"), "file", "left_anti")
 
 
+def carriers_found(occurrences: DataFrame) -> DataFrame:
+    """One row for each distinct carrier of a page over all of its runs, as its first run saw it. occurrences: page_id, run, ord, pipeline, kind, path, text, level, intents, visible."""
+    by = ["page_id", "pipeline", "kind", "path", "text"]
+    held = occurrences.withColumn("path", F.coalesce("path", F.lit("")))
+    first = held.groupBy(*by).agg(F.min_by(F.struct("level", "intents", "visible", "run", "ord"), F.struct("run", "ord")).alias("m"))
+    return first.select(*by, "m.*")
+
+
+def calibration(reports: DataFrame) -> DataFrame:
+    """Each page over all runs: findings by level summed, strongest rank, intents. reports: of report.report()."""
+    sums = [F.sum(x).alias(x) for x in rules.LEVELS]
+    return reports.groupBy("page_id").agg(*sums, F.count(F.lit(1)).alias("runs"), F.max("strongest_rank").alias("strongest_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("intents")))).alias("intents"))
+
+
+def draft_evidence(found: DataFrame) -> DataFrame:
+    """What a case of each page could expect: its carriers with an intent, each needle once for a pipeline. found: of carriers_found()."""
+    at = F.when(F.contains("path", F.lit("@")), F.concat(F.lit("@"), F.regexp_extract("path", "@([\\s\\S]*)$", 1)))
+    kind = F.when(~((F.col("pipeline") == "rendered-dom") & (F.col("kind") == "unknown")), F.col("kind"))
+    held = found.filter(F.size("intents") > 0).select("page_id", "pipeline", T.needle(F.col("text")).alias("contains"), kind.alias("kind"), at.alias("path_contains"), "run", "ord")
+    return held.groupBy("page_id", "pipeline", "contains").agg(F.min_by(F.struct("kind", "path_contains"), F.struct("run", "ord")).alias("m")).select("page_id", "pipeline", "contains", "m.*")
+
+
 # What a case may be and need.
 MODES, STATUSES = ("static", "ua-conditional"), ("active", "known-gap", "retired")
 
