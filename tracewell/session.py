@@ -133,7 +133,7 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def parts_for(*tables: DataFrame) -> int:
