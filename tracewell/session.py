@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tracewell-shared-")
         sc.setCheckpointDir(known)
