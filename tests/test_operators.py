@@ -268,6 +268,52 @@ def test_copies_stay_in_the_similarity_join(spark, tmp_path):
     assert pairs == [(2, 3)] and members == {4: 2, 2: 2, 9: 2, 3: 3, 5: 5, 6: 6, 7: 6}
 
 
+def _family(r, size, n, most, vocabulary):
+    base = ["w%d" % r.randrange(vocabulary) for _ in range(n)]
+    for _ in range(size):
+        t = list(base)
+        for _ in range(r.randrange(most)):
+            t[r.randrange(len(t))] = "e%d" % r.randrange(10**6)
+        yield " ".join(t)
+
+
+def test_similar_pairs_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+    from tracewell.functions import text as T
+
+    r, texts = random.Random(5), ["", None, "a b", "one two", "two one", "one two six"]
+    for g in range(6):
+        texts += _family(r, 14, (9, 10, 11, 40, 200, 900)[g], (2, 2, 2, 6, 24, 90)[g], 3000)
+    texts += [" ".join(reversed(t.split())) for t in texts[20:24]] + texts[30:33]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.sha2("text", 256).alias("same"), T.token_set(F.col("text")).alias("tokens"))
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+    sets = {k: {w for w in t.split() if len(w) > 2} for t, k in first.items() if t}
+    for most, slice_words, threshold in ((corpus.BLOCK_PAIRS, corpus.SLICE_WORDS, 0.9), (5, 300, 0.8), (5, 300, 1.0)):
+        monkeypatch.setattr(corpus, "BLOCK_PAIRS", most)
+        monkeypatch.setattr(corpus, "SLICE_WORDS", slice_words)
+        want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) / len(x | y) >= threshold}
+        got = [((x.a, x.b), x.similarity) for x in corpus.similar_pairs(df, threshold).collect()]
+        assert len(got) == len(want) and dict(got) == want and len(want) > 2
+
+
+def test_similar_pairs_send_sets_and_not_a_set_for_each_pair(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from tracewell.functions import text as T
+
+    texts = sorted(set(_family(random.Random(6), 120, 1500, 40, 10**6)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.sha2("text", 256).alias("same"), T.token_set(F.col("text")).alias("tokens"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert corpus.similar_pairs(df, 0.9).count() == len(texts) * (len(texts) - 1) // 2
+    assert written() - before < 8 * sum(map(len, texts))
+
+
 def test_whole_ledger_has_the_safety_rule(spark, tmp_path):
     from tracewell.plans import queries
 
@@ -418,6 +464,32 @@ def test_greedy_near_duplicates(spark):
     assert row.shortfall == (row.eligible < 50) and row.sampled == min(50, row.eligible)
 
 
+def test_greedy_near_duplicates_of_equal_sets(spark):
+    import hashlib
+    import random
+
+    from tracewell import session
+
+    r, texts = random.Random(8), []
+    for _ in range(4):
+        texts += _family(r, 10, 30, 5, 500)
+    # other orders of the same words make equal sets, which follow the first of them
+    texts += [" ".join(reversed(t.split())) for t in texts] + texts[:3] + ["", "a b"]
+    rows = [(hashlib.sha256(t.encode()).hexdigest(), k, f"u{k:03d}", t) for k, t in enumerate(texts)]
+    wide, seen = [], session.stash
+
+    def watched(df, name, *a, **b):
+        wide.extend([name] if "array" in str(dict(df.dtypes)) and name not in ("word-sets", "sketches") else [])
+        return seen(df, name, *a, **b)
+
+    corpus.stash = watched
+    try:
+        got = {(x.uid, x.line_no): (x.level, x.duplicate_of) for x in corpus.dedupe(spark.createDataFrame(rows, "sha string, line_no long, uid string, text string"), 0.85).collect()}
+    finally:
+        corpus.stash = seen
+    assert got == greedy(rows, 0.85) and not wide  # only two tables between steps hold words
+
+
 def test_heatmap_states(spark):
     schema = "cell_id string, record_uid long, placement_id string, state string, level string, pipelines array<string>, attributed_pipelines array<string>"
     rows = [("a", 1, "meta", "OK", "high", ["http-source"], ["http-source"]), ("b", 2, "meta", "OK", None, ["http-source", "rendered-dom"], []), ("c", 3, "meta", "FAILED", None, [], []), ("d", 4, "jsonld", "SKIPPED", None, [], []), ("e", 5, "jsonld", "PENDING", None, [], []), ("f", None, "visible-body", "OK", "low", [], [])]

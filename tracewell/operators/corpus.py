@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions import rules, text as T
-from tracewell.session import stash
+from tracewell.session import discard, ship_package, stash
 
 URL = r"(?i)https?://[^\s\"'<>()\]\[]+"
 PROTOCOL_RELATIVE = r"(?i)(?:^|[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\"'(=])//([a-z0-9-]+(?:\.[a-z0-9-]+)+)"
@@ -144,33 +148,46 @@ def reason_counts(decided: DataFrame) -> DataFrame:
 def dedupe(records: DataFrame, near: float) -> DataFrame:
     """Each record with level (null: kept; byte, text, near) and duplicate_of, by passes in order (sha, line_no, uid).
 
-    A near duplicate is one of word similarity >= near with a record that is *kept*. Over the pairs that reach it the choice
-    is made in rounds: what has no undecided or kept pair before it is kept, what has a kept one is dropped. Rounds end
-    after the longest chain of pairs; what is left of each is written, so a lost executor costs a round.
+    A near duplicate is one of word similarity >= near with a record that is *kept*. Records of equal word sets share their
+    fate: the first of them is kept or has a kept one before it, and the others follow it. Over the pairs of different sets
+    that reach `near` the choice is made in rounds: what has no undecided or kept pair before it is kept, what has a kept one
+    is dropped. Rounds end after the longest chain of pairs; what is left of each is written, so a lost executor costs a round.
     """
     if not 0 < near <= 1:
         raise ValueError("near has to be in (0, 1]")
     order = F.struct("sha", "line_no", "uid")
-    held = records.select("sha", "line_no", "uid", F.sha2(T.norm_key(F.col("text")), 256).alias("key"), T.token_set(T.norm_key(F.col("text"))).alias("tokens"))
+    key = T.norm_key(F.col("text"))
+    sets = _word_sets(records.select("sha", "line_no", "uid", F.sha2(key, 256).alias("key"), T.token_set(key).alias("tokens")))
+    classes, pairs = _similar_sets(sets, near)
+    held = sets.select("row", "sha", "line_no", "uid", "key")
     # joins, not windows: copies of one record can be many
     for by in ("sha", "key"):
         least = held.groupBy(F.col(by).alias("__" + by)).agg(F.min(order).alias(by + "_of"))
         held = held.join(least, F.col(by).eqNullSafe(F.col("__" + by))).drop("__" + by)
     held = held.withColumnsRenamed({"sha_of": "byte_of", "key_of": "text_of"})
     level = F.when(order != F.col("byte_of"), "byte").when(order != F.col("text_of"), "text")
-    held = stash(held.withColumns({"level": level, "duplicate_of": F.when(order != F.col("byte_of"), F.col("byte_of.uid")).when(order != F.col("text_of"), F.col("text_of.uid"))}), "dedupe")
-    firsts = held.filter("level IS NULL").withColumn("id", order)
-    pairs = stash(similar_pairs(firsts.select("id", "tokens"), near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-    known = pairs.select(F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("id"))).distinct().withColumns({"kept": F.lit(None).cast("boolean")})
+    held = held.withColumns({"level": level, "duplicate_of": F.when(order != F.col("byte_of"), F.col("byte_of.uid")).when(order != F.col("text_of"), F.col("text_of.uid"))})
+    held = stash(held.join(classes, "row", "left").select("sha", "line_no", "uid", "level", "duplicate_of", "set"), "dedupe")
+    discard(sets, classes)
+    leaders = held.filter("set IS NOT NULL").groupBy("set").agg(F.min(order).alias("id"))
+    first, second = leaders.select(F.col("set").alias("a"), F.col("id").alias("ia")), leaders.select(F.col("set").alias("b"), F.col("id").alias("ib"))
+    found = pairs.join(first, "a").join(second, "b")
+    ordered = stash(found.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")), "pairs")
+    discard(pairs)
+    known = ordered.select(F.col("b").alias("id")).unionByName(ordered.select(F.col("a").alias("id"))).distinct().withColumns({"kept": F.lit(None).cast("boolean")})
     while True:
-        before = pairs.join(known.select(F.col("id").alias("a"), F.col("kept").alias("earlier")), "a").groupBy("b").agg(F.bool_or(F.coalesce("earlier", F.lit(False))).alias("hit"), F.bool_or(F.col("earlier").isNull()).alias("open"))
+        before = ordered.join(known.select(F.col("id").alias("a"), F.col("kept").alias("earlier")), "a").groupBy("b").agg(F.bool_or(F.coalesce("earlier", F.lit(False))).alias("hit"), F.bool_or(F.col("earlier").isNull()).alias("open"))
         decided = F.coalesce(F.col("kept"), F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True))
-        known = stash(known.join(before, known["id"] == before["b"], "left").select("id", decided.alias("kept")), "known")
+        last, known = known, stash(known.join(before, known["id"] == before["b"], "left").select("id", decided.alias("kept")), "known")
+        discard(last)
         if known.filter("kept IS NULL").isEmpty():
             break
-    hits = pairs.join(known.filter("kept").select(F.col("id").alias("a")), "a", "left_semi").join(known.filter("NOT kept").select(F.col("id").alias("b")), "b", "left_semi")
-    near_of = hits.groupBy("b").agg(F.min("a").alias("near_of"))
-    out = held.join(near_of, (order == F.col("b")) & F.col("level").isNull(), "left")
+    hits = ordered.join(known.filter("kept").select(F.col("id").alias("a")), "a", "left_semi").join(known.filter("NOT kept").select(F.col("id").alias("b")), "b", "left_semi")
+    near_of = hits.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("near_of"))
+    fate = leaders.join(near_of, "id", "left")
+    out = held.join(fate, "set", "left")
+    near_of = F.when(F.col("level").isNull(), F.coalesce("near_of", F.when(order != F.col("id"), F.col("id"))))
+    out = out.withColumn("near_of", near_of)
     return out.select("sha", "line_no", "uid", F.when(F.col("near_of").isNotNull(), "near").otherwise(F.col("level")).alias("level"), F.coalesce("near_of.uid", "duplicate_of").alias("duplicate_of"))
 
 
@@ -191,23 +208,214 @@ def dedupe_exact(records: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(F.struct(*records.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """a, b, similarity of records (id, tokens array) with Jaccard of the token sets >= threshold.
-
-    A prefix filter: tokens are ranked by rarity, two sets that reach the threshold share one of their first
-    n - ceil(threshold * n) + 1 tokens. Equal sets should be put together first: their pairs grow with their number.
+BUCKETS = 20  # bits of a word's hash that choose its counter
+BITS = 256  # of a set's parity sketch
+WIDE, LONG = 4096, 800  # bits of a second sketch, and how many words a set has that gets one
+SLICE_WORDS = 1 << 19
+SLACK = 1e-9  # for products of sizes and thresholds, which are rounded
+
+
+def _word_sets(records: DataFrame) -> DataFrame:
+    """records with the words (tokens) of each as a written table: a number for each row, the words' 64-bit hashes in order."""
+    hashes = F.sort_array(F.transform("tokens", lambda w: F.xxhash64(w)))
+    return stash(records.withColumns({"row": F.monotonically_increasing_id(), "words": hashes}).drop("tokens"), "word-sets")
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Which row each value of a list column belongs to, and the values."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _slices(batches):
+    """Batches cut into rows of SLICE_WORDS words together, or one row, so that memory doesn't follow the rows' length."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("words").value_lengths().to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _counts(batches):
+    """Records by bucket of their words' hashes."""
+    n = np.zeros(1 << BUCKETS, np.int64)
+    for batch in _slices(batches):
+        _, words = _flat(batch.column("words"))
+        n += np.bincount(words.view(np.uint64) >> np.uint64(64 - BUCKETS), minlength=len(n))
+    at = np.flatnonzero(n)
+    for k in range(0, len(at), 1 << 16):
+        part = at[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["bucket", "n"])
+
+
+def _sketches(rarity, threshold: float):
+    """row, digest, n, parity sketch and prefix of each set: its first words by rarity that others can share."""
+
+    def fn(batches):
+        step = rarity.value
+        for batch in _slices(batches):
+            column = batch.column("words")
+            who, words = _flat(column)
+            n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n)
+            bits = np.bincount(who * BITS + (words & (BITS - 1)), minlength=len(n) * BITS).astype(np.uint8) & 1
+            bits = np.packbits(bits).view(np.int64).reshape(len(n), BITS // 64)
+            rare = step[words.view(np.uint64) >> np.uint64(64 - BUCKETS)]
+            # words are in order of hashes, which a stable sort leaves among equally rare ones
+            by = np.lexsort((rare, who))
+            most = np.minimum(n, n - np.ceil(n * threshold - SLACK).astype(np.int64) + 1)
+            rank = np.arange(len(by)) - np.repeat(ends - n, n)
+            taken = by[(rank < np.repeat(most, n)) & (rare[by] > 0)]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(who[taken], minlength=len(n)))]).astype(np.int32)
+            digests = [hashlib.blake2b(words[b - k : b].tobytes(), digest_size=16).digest() for b, k in zip(ends.tolist(), n.tolist())]
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words[taken]))
+            sketch = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(BITS // 64)]
+            wide = np.full(len(n), None, object)
+            if len(long := np.flatnonzero(n >= LONG)):
+                mine, place = n[who] >= LONG, np.cumsum(n >= LONG) - 1
+                odd = np.bincount(place[who[mine]] * WIDE + ((words[mine] >> 8) & (WIDE - 1)), minlength=len(long) * WIDE).astype(np.uint8) & 1
+                wide[long] = [x.tobytes() for x in np.packbits(odd).reshape(len(long), WIDE // 8)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), *sketch, pa.array(wide.tolist(), pa.binary()), prefix], names=["row", "digest", "n", *_SKETCH, "wide", "prefix"])
+
+    return fn
+
+
+_SKETCH = [f"s{k}" for k in range(BITS // 64)]
+
+
+BLOCK_BYTES = 4 << 20  # of sets that are compared in one group
+BLOCK_PAIRS = 1 << 17  # of one family in a group
+
+
+def _block_count(sets: DataFrame) -> int:
+    size = int(str(sets._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * sets.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
+
+
+def _blocks(found: DataFrame, blocks: int) -> DataFrame:
+    """Pairs (a, b) with the block in which they are compared. A family (sets with one smallest neighbour) meets in one block,
+    so that its sets are sent once and not for each pair; one of very many pairs is dealt to several."""
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    family = ends.groupBy("a").agg(F.least("a", F.min("b")).alias("f"))
+    pairs = found.join(family.withColumnRenamed("f", "fa"), "a").join(family.withColumnsRenamed({"a": "b", "f": "fb"}), "b")
+    pairs = pairs.select("a", "b", F.least("fa", "fb").alias("f"))
+    many = pairs.groupBy("f").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / BLOCK_PAIRS)).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    key = F.xxhash64("f", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))
+    return pairs.join(many, "f").select("a", "b", F.pmod(key, F.lit(blocks)).cast("int").alias("block"))
+
+
+def _closer(threshold: float):
+    """Pairs of one block without those of long sets whose wide sketches differ in too many bits."""
+
+    def fn(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        keep = np.ones(pairs.num_rows, bool)
+        if sets.num_rows and pairs.num_rows:
+            rows = sets.column("row").to_numpy()
+            by_row = np.argsort(rows)
+            rows, n = rows[by_row], sets.column("n").to_numpy()[by_row].astype(np.int64)
+            bits = np.frombuffer(b"".join(sets.column("wide").to_pylist()), np.uint64).reshape(len(rows), WIDE // 64)[by_row]
+            at = [np.minimum(np.searchsorted(rows, x), len(rows) - 1) for x in (pairs.column(c).to_numpy() for c in "ab")]
+            both = np.flatnonzero((rows[at[0]] == pairs.column("a").to_numpy()) & (rows[at[1]] == pairs.column("b").to_numpy()))
+            for k in range(0, len(both), 1 << 13):
+                part = both[k : k + (1 << 13)]
+                a, b = at[0][part], at[1][part]
+                keep[part] = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= (n[a] + n[b]) * ((1 - threshold) / (1 + threshold)) + SLACK
+        return pairs.select(["a", "b", "block"]).filter(pa.array(keep))
+
+    return fn
+
+
+def _count_shared(threshold: float):
+    """Jaccard of the pairs of one block over whole sets; those that reach the threshold."""
+
+    def fn(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        rows = sets.column("row").to_numpy()
+        column = sets.column("words").combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        who, words = _flat(column)
+        vocabulary, codes = np.unique(words, return_inverse=True)
+        n = np.bincount(who, minlength=len(rows))
+        starts = np.cumsum(n) - n
+        by_row = np.argsort(rows)
+        a, b = (by_row[np.searchsorted(rows[by_row], pairs.column(c).to_numpy())] for c in "ab")
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        shared, mark = np.zeros(len(a), np.int64), np.zeros(len(vocabulary), bool)
+        # pairs of one a, as many at once as have SLICE_WORDS words
+        total = np.cumsum(n[b])
+        at = 0
+        while at < len(a):
+            to = int(np.searchsorted(a, a[at], "right"))
+            to = min(to, max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_WORDS, "right"))))
+            mine = codes[starts[a[at]] : starts[a[at]] + n[a[at]]]
+            mark[mine] = True
+            size = n[b[at:to]]
+            heads = np.cumsum(size) - size
+            theirs = codes[np.repeat(starts[b[at:to]] - heads, size) + np.arange(int(size.sum()))]
+            shared[at:to] = np.add.reduceat(mark[theirs].astype(np.int64), heads)
+            mark[mine] = False
+            at = to
+        similarity = shared / (n[a] + n[b] - shared)
+        good = similarity >= threshold
+        return pa.table({"a": rows[a[good]], "b": rows[b[good]], "similarity": similarity[good]})
+
+    return fn
+
+
+def _similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """classes (row, set: a number for rows of equal words; none for rows without words) and pairs (a, b, similarity) of
+    different sets with Jaccard >= threshold, as written tables. sets: a table of _word_sets.
+
+    A prefix filter: words are in one order, two sets that reach the threshold share one of their first
+    n - ceil(threshold * n) + 1 words. Any order will do; here words of buckets with fewer records come first, and what is
+    alone in its bucket is shared by none. Pairs with too different sizes go at once, as do those whose sketches (of each
+    bit the parity of words) differ in more bits than so similar sets can differ in words; long sets have a second, wider sketch. Only ids and sketches are dealt
+    out for this; all pairs that are left are counted over whole sets, which go to blocks and not to each pair.
     """
-    sets = records.filter(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"))
-    sets = stash(sets, "token-sets")
-    each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    df = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).select("id", "n", F.col("x.t").alias("t"))
-    a, b = prefix.select("t", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("t", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    found = a.join(b, "t").filter(near).select("a", "b").distinct()
-    both = found.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.withColumn("similarity", T.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    spark = sets.sparkSession
+    ship_package(spark)
+    full = sets.filter(F.size("words") > 0).select("row", "words")
+    counts = full.select("words").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    step = np.zeros(1 << BUCKETS, np.uint8)  # 0: one record, from there on eight steps to a doubling
+    step[counts.column("bucket").to_numpy()] = np.minimum(8 * np.log2(counts.column("n").to_numpy()), 255).astype(np.uint8)
+    rarity = spark.sparkContext.broadcast(step)
+    kinds = "row long, digest binary, n int, " + ", ".join(f"{c} long" for c in _SKETCH) + ", wide binary, prefix array<long>"
+    each = stash(full.mapInArrow(_sketches(rarity, threshold), kinds), "sketches")
+    own = each.groupBy("digest").agg(F.min("row").alias("set"))
+    classes = stash(each.select("row", "digest").join(own, "digest").select("row", "set"), "set-classes")
+    firsts = each.join(classes.filter("row = set").select("row"), "row", "left_semi").withColumnRenamed("row", "id")
+    prefix = firsts.select(F.explode("prefix").alias("t"), "id", "n", *_SKETCH)
+    a, b = (prefix.withColumnsRenamed({c: c + x for c in ("id", "n", *_SKETCH)}) for x in "ab")
+    differ = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _SKETCH), F.lit(0))
+    close = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - SLACK) & (differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + SLACK)
+    found = stash(a.join(b, "t").filter((F.col("ida") < F.col("idb")) & close).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "candidates")
+    keyed = stash(_blocks(found, _block_count(full)), "candidate-blocks")
+    to = lambda t, pairs: t.join(pairs.select(F.explode(F.array("a", "b")).alias("row"), F.col("block").alias("to")).distinct(), "row")
+    sketched = to(each.filter("wide IS NOT NULL").select("row", "n", "wide"), keyed)
+    closer = stash(keyed.groupBy("block").cogroup(sketched.groupBy("to")).applyInArrow(_closer(threshold), "a long, b long, block int"), "closer")
+    shipped = to(full, closer).select("to", "row", "words")
+    counted = closer.groupBy("block").cogroup(shipped.groupBy("to")).applyInArrow(_count_shared(threshold), "a long, b long, similarity double")
+    pairs = stash(counted, "similar-sets")
+    rarity.unpersist()
+    discard(each, found, keyed, closer)
+    return classes, pairs
+
+
+def similar_pairs(records: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """a, b, similarity of records (id, same, tokens array) with Jaccard of the token sets >= threshold. Records of equal
+    `same`, which have equal tokens, are one with the smallest id. Tokens are compared by 64-bit hashes."""
+    sets = _word_sets(records.select("id", "same", "tokens"))
+    classes, pairs = _similar_sets(sets, threshold)
+    firsts = sets.select("row", "id", "same").join(classes, "row").groupBy("same").agg(F.min("id").alias("id"), F.min("set").alias("set"))
+    firsts = stash(firsts.select("id", "set"), "set-members")
+    discard(sets, classes)
+    a, b = firsts.select(F.col("id").alias("a"), F.col("set").alias("sa")), firsts.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    equal = a.join(b, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("similarity"))
+    other = pairs.withColumnsRenamed({"a": "sa", "b": "sb"}).join(a, "sa").join(b, "sb").filter(F.col("a") != F.col("b"))
+    return other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(equal)
 
 
 def keyed_sample(records: DataFrame, n: int, seed: str) -> DataFrame:

@@ -85,8 +85,8 @@ SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t
 FROM s x JOIN s y ON x.id < y.id AND least(len(x.t), len(y.t)) >= 0.9 * greatest(len(x.t), len(y.t)) AND len(x.t) > 0
 WHERE len(list_intersect(x.t, y.t)) >= 0.9 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))""")
 def token_jaccard_pairs(spark, d):
-    distinct = _docs(spark, d).groupBy("text").agg(F.min("doc_id").alias("id"))
-    return corpus.similar_pairs(distinct.select("id", T.token_set(F.col("text")).alias("tokens")), 0.9)
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("same"), T.token_set(F.col("text")).alias("tokens"))
+    return corpus.similar_pairs(docs, 0.9)
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS id FROM documents")
