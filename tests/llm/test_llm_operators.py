@@ -494,6 +494,22 @@ def test_segmentations_against_all_of_a_lattice():
             assert abs(first[ids] / 4000 - w / whole) < 5 * math.sqrt(w / whole / 4000)
 
 
+def test_segmentations_leave_no_set_out(monkeypatch):
+    """The same samples however far the first draw of sets goes; sets of next to no probability are there, too."""
+    v = segmentations.Vocabulary()
+    texts = [words(400, 70 + k) for k in range(6)] + ["a" * 300, "the cat", "x"]
+    get = lambda: [[(x[0].tolist(), *x[1:]) for x in rows] for rows in segmentations.sample(v, list(range(len(texts))), texts, 3)]
+    some = get()
+    monkeypatch.setattr(segmentations, "AHEAD", 1.0)
+    few = get()
+    monkeypatch.setattr(segmentations, "AHEAD", float("inf"))
+    assert some == few == get()
+    v.log_weight = v.log_weight.copy()
+    ids = [k for k, x in enumerate(v.bytes) if x == b" a"]
+    v.log_weight[ids] = 40.0  # so likely that " ", "a" has a probability of under 1e-12 beside it
+    assert len(segmentations.sample(v, [1], ["a"], 3)[0]) == 2
+
+
 def test_segmentations_draw_afresh_for_each_key_and_place():
     v = segmentations.Vocabulary()
     get = lambda key, text: segmentations.sample(v, [key], [text], 1)[0][0]
