@@ -490,6 +490,52 @@ def test_greedy_near_duplicates_of_equal_sets(spark):
     assert got == greedy(rows, 0.85) and not wide  # only two tables between steps hold words
 
 
+def test_near_duplicates_send_few_words_and_no_records_in_rounds(spark):
+    import hashlib
+    import random
+
+    from tracewell import session
+
+    r = random.Random(12)
+    texts = [" ".join("w%04d" % w for w in r.sample(range(6000), 1500)) for _ in range(200)]
+    texts += [t + " another" for t in texts[:3]]
+    rows = [(hashlib.sha256(t.encode()).hexdigest(), k, f"u{k:03d}", t) for k, t in enumerate(texts)]
+    rounds, seen, limit = {}, session.stash, "spark.sql.autoBroadcastJoinThreshold"
+
+    def watched(df, name, *a, **b):
+        rounds.update({name: {kind for _, kind in df.dtypes}} if name in ("pairs", "known") else {})
+        return seen(df, name, *a, **b)
+
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    df = spark.createDataFrame(rows, "sha string, line_no long, uid string, text string")
+    was, corpus.stash = spark.conf.get(limit), watched
+    spark.conf.set(limit, "-1")
+    try:
+        before = written()
+        got = {(x.uid, x.line_no): (x.level, x.duplicate_of) for x in corpus.dedupe(df, 0.9).collect()}
+        sent = written() - before
+    finally:
+        corpus.stash = seen
+        spark.conf.set(limit, was)
+    assert got == greedy(rows, 0.9) and sum(v[0] == "near" for v in got.values()) == 3
+    assert set().union(*rounds.values()) <= {"bigint", "boolean"}
+    assert sent < 8 * 1500 * len(texts)  # less than all words' hashes
+
+
+def test_keys_and_words_of_odd_white_space(spark):
+    import re
+
+    from tracewell.functions import text as T
+
+    texts = [None, "", " ", "  ", "a b", " a  b ", "a\n b", "a \nb", "a\u00a0b", "\ta\u2003\u2003 b\r\n", "ig\u200bnore  all\ufeff x", "Foo_1\u212aelvin BAR bar ab", "a\x00 b", "\u0130stanbul \u3000 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: (x.key, sorted(x.tokens)) for x in df.select("id", T.norm_key(F.col("text")).alias("key"), T.token_set(T.without_zero_width(F.col("text"))).alias("tokens")).collect()}
+    for k, t in enumerate(texts):
+        plain = re.sub("[\u200b-\u200d\ufeff\u2060]", "", t or "")
+        key = re.sub(T.JS_SPACE, " ", plain).strip(" ")
+        assert got[k] == (key, sorted({w for w in re.split("[^0-9A-Za-z_]+", key.lower()) if len(w) > 2})), (k, t)
+
+
 def test_heatmap_states(spark):
     schema = "cell_id string, record_uid long, placement_id string, state string, level string, pipelines array<string>, attributed_pipelines array<string>"
     rows = [("a", 1, "meta", "OK", "high", ["http-source"], ["http-source"]), ("b", 2, "meta", "OK", None, ["http-source", "rendered-dom"], []), ("c", 3, "meta", "FAILED", None, [], []), ("d", 4, "jsonld", "SKIPPED", None, [], []), ("e", 5, "jsonld", "PENDING", None, [], []), ("f", None, "visible-body", "OK", "low", [], [])]

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from tracewell.functions import rules
 
 JS_SPACE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+_SPACES = JS_SPACE[1:-2]
+# Runs of white space that aren't one blank already: most words stand one blank apart, and each replacement costs.
+_UNEVEN_SPACE = f"[{_SPACES.replace(' ', '')}][{_SPACES}]*+| [{_SPACES}]++"
 _ZERO_WIDTH = "[\u200b-\u200d\ufeff\u2060]"
 _STRIPPED = "[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff\u00ad]"
 _TAGS = "[\U000e0000-\U000e007f]+"
 
 
+def without_zero_width(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO_WIDTH, "")
+
+
 def norm_key(text: Column) -> Column:
     """The key under which equal content meets: without zero-width characters, white space collapsed, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO_WIDTH, ""), JS_SPACE, " "))
+    return F.trim(F.regexp_replace(without_zero_width(text), _UNEVEN_SPACE, " "))
 
 
 def decode_tags(text: Column) -> Column:
@@ -68,7 +75,7 @@ def excerpt(text: Column, most: int = 200) -> Column:
 
 def token_set(text: Column) -> Column:
     """Distinct lower-case ASCII words of three characters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^0-9A-Za-z_]+"), lambda w: F.length(w) > 2))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z_]{3,}"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

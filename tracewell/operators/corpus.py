@@ -155,26 +155,27 @@ def dedupe(records: DataFrame, near: float) -> DataFrame:
     """
     if not 0 < near <= 1:
         raise ValueError("near has to be in (0, 1]")
-    order = F.struct("sha", "line_no", "uid")
-    key = T.norm_key(F.col("text"))
-    sets = _word_sets(records.select("sha", "line_no", "uid", F.sha2(key, 256).alias("key"), T.token_set(key).alias("tokens")))
+    order, place = F.struct("sha", "line_no", "uid"), F.struct("line_no", "uid")
+    key, tokens = F.unhex(F.sha2(T.norm_key(F.col("text")), 256)), T.token_set(T.without_zero_width(F.col("text")))
+    sets = _word_sets(records.select("sha", "line_no", "uid", key.alias("key"), tokens.alias("tokens")))
     classes, pairs = _similar_sets(sets, near)
-    held = sets.select("row", "sha", "line_no", "uid", "key")
-    # joins, not windows: copies of one record can be many
-    for by in ("sha", "key"):
-        least = held.groupBy(F.col(by).alias("__" + by)).agg(F.min(order).alias(by + "_of"))
-        held = held.join(least, F.col(by).eqNullSafe(F.col("__" + by))).drop("__" + by)
-    held = held.withColumnsRenamed({"sha_of": "byte_of", "key_of": "text_of"})
-    level = F.when(order != F.col("byte_of"), "byte").when(order != F.col("text_of"), "text")
-    held = held.withColumns({"level": level, "duplicate_of": F.when(order != F.col("byte_of"), F.col("byte_of.uid")).when(order != F.col("text_of"), F.col("text_of.uid"))})
+    held = sets.select("row", "sha", "line_no", "uid", "key").withColumns({"level": F.lit(None).cast("string"), "duplicate_of": F.lit(None).cast("string")})
+    # joins, not windows: copies of one record can be many. What a join finds is cut to level and uid before the next one
+    for level, by, mine in (("byte", "sha", place), ("text", "key", order)):
+        least = sets.groupBy(F.col(by).alias("of")).agg(F.min(mine).alias("first"))
+        held = held.join(least, F.col(by).eqNullSafe(F.col("of")))
+        later = F.col("level").isNull() & (mine != F.col("first"))
+        held = held.withColumns({"level": F.when(later, level).otherwise(F.col("level")), "duplicate_of": F.when(later, F.col("first.uid")).otherwise(F.col("duplicate_of"))}).drop("of", "first")
     held = stash(held.join(classes, "row", "left").select("sha", "line_no", "uid", "level", "duplicate_of", "set"), "dedupe")
     discard(sets, classes)
-    leaders = held.filter("set IS NOT NULL").groupBy("set").agg(F.min(order).alias("id"))
+    leaders = stash(held.filter("set IS NOT NULL").groupBy("set").agg(F.min(order).alias("id")), "leaders")
     first, second = leaders.select(F.col("set").alias("a"), F.col("id").alias("ia")), leaders.select(F.col("set").alias("b"), F.col("id").alias("ib"))
-    found = pairs.join(first, "a").join(second, "b")
-    ordered = stash(found.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")), "pairs")
+    # from here on a set is its number, and only the pair's direction says which comes first
+    forward = F.struct("ia", "a") < F.struct("ib", "b")
+    found = pairs.select("a", "b").join(first, "a").join(second, "b")
+    ordered = stash(found.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("b")), "pairs")
     discard(pairs)
-    known = ordered.select(F.col("b").alias("id")).unionByName(ordered.select(F.col("a").alias("id"))).distinct().withColumns({"kept": F.lit(None).cast("boolean")})
+    known = ordered.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumns({"kept": F.lit(None).cast("boolean")})
     while True:
         before = ordered.join(known.select(F.col("id").alias("a"), F.col("kept").alias("earlier")), "a").groupBy("b").agg(F.bool_or(F.coalesce("earlier", F.lit(False))).alias("hit"), F.bool_or(F.col("earlier").isNull()).alias("open"))
         decided = F.coalesce(F.col("kept"), F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True))
@@ -183,8 +184,8 @@ def dedupe(records: DataFrame, near: float) -> DataFrame:
         if known.filter("kept IS NULL").isEmpty():
             break
     hits = ordered.join(known.filter("kept").select(F.col("id").alias("a")), "a", "left_semi").join(known.filter("NOT kept").select(F.col("id").alias("b")), "b", "left_semi")
-    near_of = hits.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("near_of"))
-    fate = leaders.join(near_of, "id", "left")
+    near_of = hits.join(first, "a").groupBy(F.col("b").alias("set")).agg(F.min("ia").alias("near_of"))
+    fate = leaders.join(near_of, "set", "left")
     out = held.join(fate, "set", "left")
     near_of = F.when(F.col("level").isNull(), F.coalesce("near_of", F.when(order != F.col("id"), F.col("id"))))
     out = out.withColumn("near_of", near_of)
@@ -365,6 +366,18 @@ def _count_shared(threshold: float):
     return fn
 
 
+MARKS = 17  # bits of an id's hash that choose its long in a bitmap, whatever the number of ids
+
+
+def _marked(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """table without most of the rows that are in no pair (a, b), before anything of it is dealt out. The bitmap of the ids' hashes
+    has a fixed size, so it can go to all; what it lets through goes to a join that is exact."""
+    h = F.xxhash64("row")
+    slot, bit = F.shiftrightunsigned(h, 64 - MARKS), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("marks"))
+    return table.join(F.broadcast(marks), (slot == F.col("slot")) & (F.col("marks").bitwiseAND(bit) != 0)).select(table.columns)
+
+
 def _similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """classes (row, set: a number for rows of equal words; none for rows without words) and pairs (a, b, similarity) of
     different sets with Jaccard >= threshold, as written tables. sets: a table of _word_sets.
@@ -393,7 +406,7 @@ def _similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     close = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - SLACK) & (differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + SLACK)
     found = stash(a.join(b, "t").filter((F.col("ida") < F.col("idb")) & close).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "candidates")
     keyed = stash(_blocks(found, _block_count(full)), "candidate-blocks")
-    to = lambda t, pairs: t.join(pairs.select(F.explode(F.array("a", "b")).alias("row"), F.col("block").alias("to")).distinct(), "row")
+    to = lambda t, pairs: _marked(t, pairs).join(pairs.select(F.explode(F.array("a", "b")).alias("row"), F.col("block").alias("to")).distinct(), "row")
     sketched = to(each.filter("wide IS NOT NULL").select("row", "n", "wide"), keyed)
     closer = stash(keyed.groupBy("block").cogroup(sketched.groupBy("to")).applyInArrow(_closer(threshold), "a long, b long, block int"), "closer")
     shipped = to(full, closer).select("to", "row", "words")
